@@ -30,10 +30,24 @@ def build_decks(games: DataFrame) -> DataFrame:
 def initial_deal(seats: DataFrame, seed: int) -> DataFrame:
     """Ten distinct cards of a new deck for each (game_id, username, seat).
 
-    The seeded order is a row-local function of the game id: no shuffle.
+    The seats of a game (never more than MAX_SEATS) meet in one row; its deck
+    is then ordered once, inside the row, and cut into hands. The only shuffle
+    is that of the seats.
     """
-    own = F.slice(shuffled_deck("game_id", seed), (F.col("seat") - 1) * HAND_SIZE + 1, F.lit(HAND_SIZE))
-    return seats.select("game_id", "username", F.explode(own.cast("array<bigint>")).alias("card_id"))
+    games = (
+        seats.filter(F.col("seat") <= MAX_SEATS)
+        .groupBy("game_id")
+        .agg(F.map_from_entries(F.collect_list(F.struct(F.col("seat").cast("int"), "username"))).alias("names"))
+    )
+    return (
+        games.select("game_id", "names", F.posexplode(shuffled_deck("game_id", seed)).alias("pos", "card_id"))
+        .select(
+            "game_id",
+            F.try_element_at("names", (F.floor(F.col("pos") / HAND_SIZE) + 1).cast("int")).alias("username"),
+            F.col("card_id").cast("bigint").alias("card_id"),
+        )
+        .filter(F.col("username").isNotNull())
+    )
 
 
 def sample(decks: DataFrame, k: int, seed: int | str) -> DataFrame:

@@ -50,14 +50,19 @@ VIEWS = {
         SELECT game_id, card_id,
                row_number() OVER (PARTITION BY game_id ORDER BY md5('7:' || card_id), card_id) AS pos
         FROM decks""",
+    "laid": """
+        SELECT game_id, game_id * 1000 + id AS card_id, p
+        FROM (SELECT DISTINCT game_id FROM seats) g, range(108) t(p)
+        JOIN (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM card_type) c
+          ON c.n = (29 * p + 17 * game_id) % 108""",
     "games": """
         SELECT game_id, CASE WHEN game_id % 4 <> 0 THEN card_id END AS card_on_table,
                (CASE WHEN game_id % 4 = 0 THEN 1 ELSE 1 + game_id % 11 END)::INT AS game_phase
-        FROM dealt WHERE pos = 61""",
+        FROM laid WHERE p = 60""",
     "hands": """
-        SELECT card_id, username FROM seats JOIN dealt USING (game_id)
-        WHERE ((pos - 1) // 10 + 1 = seat AND NOT (on_turn AND game_id % 4 = 2 AND pos = seat * 10))
-           OR (on_turn AND game_id % 4 = 1 AND pos = 62)""",
+        SELECT card_id, username FROM seats JOIN laid USING (game_id)
+        WHERE (p // 10 + 1 = seat AND NOT (on_turn AND game_id % 4 = 2 AND p = seat * 10 - 1))
+           OR (on_turn AND game_id % 4 = 1 AND p = 61)""",
     "users": """
         SELECT 'u' || c_custkey AS username, md5('pw:u' || c_custkey) AS u_password,
                coalesce((SELECT max(ts) FROM events WHERE user_id = c_custkey),

@@ -124,8 +124,9 @@ def shuffled_deck(game_id: str, seed: int) -> Column:
     Row-local on purpose: a deck is generated from its game id, so dealing it
     needs neither a shuffle nor a window. 108 elements is the fixed deck size.
     """
-    key = card_key(game_id, "n")
+    key = f"({game_id} * 1000 + id)"
+    types = f"transform(sequence(0, {DECK_SIZE - 1}), n -> {nth_card_id('n')})"
     return F.expr(
-        f"transform(sort_array(transform(sequence(0, {DECK_SIZE - 1}), n -> named_struct("
+        f"transform(sort_array(transform({types}, id -> named_struct("
         f"'h', md5(concat('{seed}:', cast({key} as string))), 'card_id', {key}))), c -> c.card_id)"
     )

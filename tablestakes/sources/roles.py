@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablestakes.sources.catalog import (
-    COLORS, DECK_SIZE, HAND_SIZE, MAX_CLAIM, card_catalog, card_key, nth_card_id, shuffled_deck,
+    COLORS, DECK_SIZE, HAND_SIZE, MAX_CLAIM, card_catalog, card_key, nth_card_id,
 )
 from tablestakes.sources.schema import load
 
@@ -25,6 +25,15 @@ def as_of():
     return F.expr(AS_OF)
 
 
+def laid_card(pos: str) -> str:
+    """SQL text: the card at a place of a game's deck as it lies in these views.
+
+    A fixed permutation (29 and 108 share no factor), so the views stay plain
+    arithmetic; seeded dealing is the library's business.
+    """
+    return f"cast({card_key('game_id', f'((29 * ({pos}) + 17 * game_id) % {DECK_SIZE})')} as bigint)"
+
+
 def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers in credit sit five to a table, in key order."""
     table = W.partitionBy("game_id")
@@ -65,9 +74,7 @@ def games(spark: SparkSession, sf_dir: str) -> DataFrame:
         .distinct()
         .select(
             "game_id",
-            F.when(F.expr("game_id % 4 <> 0"), F.element_at(shuffled_deck("game_id", SEED), 61)).alias(
-                "card_on_table"
-            ),
+            F.expr(f"CASE WHEN game_id % 4 <> 0 THEN {laid_card('60')} END AS card_on_table"),
             F.expr("cast(CASE WHEN game_id % 4 = 0 THEN 1 ELSE 1 + game_id % 11 END as int)").alias("game_phase"),
         )
     )
@@ -93,18 +100,14 @@ def cards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ten cards a seat; whoever is on turn may hold eleven (took) or nine (placed)."""
-    own = F.slice(F.col("deck"), (F.col("seat") - 1) * HAND_SIZE + 1, F.lit(HAND_SIZE))
+    first = (F.col("seat") - 1) * HAND_SIZE
+    size = F.when(F.expr("on_turn AND game_id % 4 = 2"), HAND_SIZE - 1).otherwise(HAND_SIZE)
+    places = F.sequence(first, first + size - 1)
     took = F.expr("on_turn AND game_id % 4 = 1")
-    placed = F.expr("on_turn AND game_id % 4 = 2")
-    held = (
-        F.when(took, F.concat(own, F.array(F.element_at("deck", 62))))
-        .when(placed, F.slice(own, 1, HAND_SIZE - 1))
-        .otherwise(own)
-    )
     return (
         seats(spark, sf_dir)
-        .withColumn("deck", shuffled_deck("game_id", SEED))
-        .select(F.explode(held).alias("card_id"), "username")
+        .select("username", "game_id", F.explode(F.when(took, F.concat(places, F.array(F.lit(61)))).otherwise(places)).alias("p"))
+        .select(F.expr(laid_card("p")).alias("card_id"), "username")
     )
 
 
