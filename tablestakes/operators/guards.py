@@ -79,10 +79,13 @@ def account_guards(looked: DataFrame) -> DataFrame:
 
 
 def with_account(
-    state: Mapping[str, DataFrame], requests: DataFrame, table_rank: bool = False
+    state: Mapping[str, DataFrame],
+    requests: DataFrame,
+    table_rank: bool = False,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     facts = accounts(state, table_rank).withColumnRenamed("username", "login")
-    return account_guards(lookup(requests, facts, ["login"], "request_id"))
+    return account_guards(lookup(requests, facts, ["login"], "request_id", counted=counted))
 
 
 def entry_rules(messages: Mapping[str, str] = MESSAGES) -> list:

@@ -43,15 +43,18 @@ def lookup(
     how: str = "left",
     hot_rows: int = HOT_ROWS,
     salts: int = SALTS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join `facts` to `dim`, whose `key` is unique, however skewed facts are.
 
     Rows of a hot key spread over `salts` buckets by their `row_id`; only the
     dim rows of hot keys are copied once per bucket. NULL keys match nothing
     and are spread the same way. Works for left, inner, left_semi, left_anti.
+    Keys are counted on `counted` when given: the plain table `facts` was
+    built from, so that its joins do not run a second time for the count.
     """
     key = list(key)
-    hot = F.broadcast(hot_keys(facts, key, hot_rows))
+    hot = F.broadcast(hot_keys(facts if counted is None else counted, key, hot_rows))
     bucket = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
     some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
     left = facts.join(hot, key, "left").withColumn(

@@ -127,7 +127,7 @@ def create_games(
     per batch; its deck and the host's hand come with it.
     """
     judged = _checked(state, requests).select(
-        "*",
+        "request_id", "ts", "login", "pl_count", "game_id",
         *first_match(
             [
                 (F.col("bad_password"), "wrong_password", MESSAGES["wrong_password"]),
@@ -138,7 +138,8 @@ def create_games(
             ("ok", "ok"),
         ),
     )
-    first = cut(_first_per(judged.filter("status_code = 'ok'"), "login", "_f").select(F.col("_f.request_id").alias("request_id")))
+    judged = cut(judged)
+    first = _first_per(judged.filter("status_code = 'ok'"), "login", "_f").select("_f.request_id")
     won = F.col("_done").isNotNull()
     status = judged.join(first.withColumn("_done", F.lit(True)), "request_id", "left").select(
         "request_id",
@@ -147,7 +148,7 @@ def create_games(
         F.when((F.col("status_code") == "ok") & ~won, MESSAGES["seated"]).otherwise(F.col("message")).alias("message"),
         F.when(won, F.col("game_id")).alias("game_id"),
     )
-    made = requests.join(first, "request_id", "left_semi").select(
+    made = judged.join(first, "request_id", "left_semi").select(
         "game_id", F.col("login").alias("username"), F.col("pl_count").alias("p_count")
     )
     deck = build_decks(made)
@@ -195,8 +196,8 @@ def join_games(
         .join(last, "game_id")
     )
     tables = state["games"].select("game_id", F.lit(True).alias("_known")).join(room, "game_id", "left")
-    judged = lookup(_checked(state, requests), tables, ["game_id"], "request_id").select(
-        "*",
+    judged = lookup(_checked(state, requests), tables, ["game_id"], "request_id", counted=requests).select(
+        "request_id", "ts", "login", "game_id", "seats", "p_count", "host", "last_in",
         *first_match(
             [
                 (F.col("bad_password"), "wrong_password", MESSAGES["wrong_password"]),
@@ -207,8 +208,9 @@ def join_games(
             ("ok", "ok"),
         ),
     )
+    judged = cut(judged)
     asked = judged.filter("status_code = 'ok'")
-    one_each = _first_per(asked, "login", "_f").select(F.col("_f.request_id").alias("request_id"))
+    one_each = _first_per(asked, "login", "_f").select("_f.request_id")
     queue = W.partitionBy("game_id").orderBy("ts", "request_id")
     taken = cut(
         asked.join(one_each, "request_id", "left_semi")

@@ -153,11 +153,15 @@ def claim(
         ],
         ("ok", ACCEPTED),
     )
-    status = seen.join(judged, "request_id", "left").select("*", code, text)
+    # Six tables follow from the status: judge the batch once.
+    status = cut(
+        seen.join(judged, "request_id", "left").select(
+            "request_id", "ts", "login", "game_id", "hand_size", "game_phase", "next_player", "fail_pos", code, text
+        )
+    )
     winners = serialise(status.filter("status_code = 'ok'")).filter("admitted").select(
         "request_id", "game_id", F.col("login").alias("username"), "hand_size", "game_phase", "next_player"
     )
-    winners = cut(winners)  # six tables follow from the winners: judge the batch once
     done = winners.select("request_id", F.lit(True).alias("_done"))
     status = status.join(done, "request_id", "left").select(
         "request_id", "login", "game_id", "game_phase", "fail_pos",

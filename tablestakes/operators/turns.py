@@ -17,11 +17,13 @@ from tablestakes.session import cut
 from tablestakes.sources.catalog import HAND_SIZE, LAST_PHASE, SKIP
 
 
+# What the effects of a judged request need; judged once, then written.
+JUDGED = ["request_id", "ts", "login", "game_id", "hand_size", "next_player", "card_on_table"]
+
+
 def _settle(judged: DataFrame, detail: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Split judged requests: those carried out (one per game) and, for every
-    request, whether it was. The winners are small and feed several tables, so
-    they are frozen."""
-    winners = cut(
+    """Requests carried out (one per game), and their ids as a marker."""
+    winners = (
         serialise(judged.filter("status_code = 'ok'"))
         .filter("admitted")
         .select("request_id", "login", "game_id", "hand_size", "next_player", "card_on_table", *detail)
@@ -61,7 +63,9 @@ def draw(
     card on the table passes it twice. The table card is only for ten.
     """
     seen = with_account(state, requests, table_rank=True)
-    judged = seen.select("*", *first_match(take_rules(), ("ok", "ok")))
+    judged = cut(
+        seen.select(*JUDGED, "source", "table_rank", *first_match(take_rules(), ("ok", "ok")))
+    )
     winners, done = _settle(judged, ["source", "table_rank"])
 
     from_deck = winners.filter("source = 'deck'").select("request_id", "game_id", "card_on_table")
@@ -109,8 +113,8 @@ def discard(
     (a skip card passes it twice); at ten a card has still to be taken.
     """
     owners = state["hands"].select("card_id", F.col("username").alias("owner"))
-    seen = with_account(state, lookup(requests, owners, ["card_id"], "request_id"))
-    judged = seen.select("*", *first_match(place_rules(), ("ok", "ok")))
+    seen = with_account(state, lookup(requests, owners, ["card_id"], "request_id"), counted=requests)
+    judged = cut(seen.select(*JUDGED, "card_id", *first_match(place_rules(), ("ok", "ok"))))
     winners, done = _settle(judged, ["card_id"])
 
     faces = state["cards"].join(F.broadcast(state["card_type"]), "id").select("card_id", "rank")

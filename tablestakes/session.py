@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every job here wants; all can be changed on a live session.
 RUNTIME = {
@@ -46,9 +46,13 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df):
-    """Reliable checkpoint: freezes `df` and drops its lineage."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch_dir(df.sparkSession, "checkpoints"))
-    return df.checkpoint(eager=True)
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` once below the shared folder and go on from the files.
+
+    For results several outputs depend on: the work is done once, the lineage
+    ends here, and losing executors later costs no recomputation. (A reliable
+    checkpoint would do as well but computes its last stage twice.)
+    """
+    path = scratch_dir(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
