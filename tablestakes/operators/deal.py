@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tablestakes.functions.scalars import seeded_hash
 from tablestakes.operators.changes import append, apply_deletes
+from tablestakes.session import cut
 from tablestakes.sources.catalog import (
     DECK_SIZE, HAND_SIZE, MAX_SEATS, card_key, nth_card_id, shuffled_deck,
 )
@@ -103,7 +104,7 @@ def redeal_hands(
 
 def redeal(state: Mapping[str, DataFrame], games: DataFrame, seed: int | str) -> dict[str, DataFrame]:
     """State with the hands of `games` (game_id) replaced; other games keep theirs."""
-    target = state["games"].join(games.select("game_id").distinct(), "game_id", "left_semi")
+    target = cut(state["games"].join(games.select("game_id").distinct(), "game_id", "left_semi"))
     fresh = redeal_hands(state["players"], state["decks"], target, seed)
     owners = state["players"].join(target.select("game_id"), "game_id", "left_semi").select("username")
     out = dict(state)

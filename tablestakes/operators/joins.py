@@ -1,12 +1,11 @@
-"""Join shapes: natural, zip, skew-safe lookup, semi, anti, NOT IN, scalar."""
+"""Join shapes: natural, skew-safe lookup, semi, anti, NOT IN, fan-out."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # a key below this many rows needs no splitting
@@ -106,18 +105,3 @@ def fanout_distinct(decks: DataFrame, hands: DataFrame) -> DataFrame:
     the free cards if any hand exists, nothing otherwise."""
     return free_cards(decks, hands).filter(hands.limit(1).exists())
 
-
-def numbered(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], out: str = "rn") -> DataFrame:
-    """1, 2, … inside a bounded group (a deck, a table's seats)."""
-    return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
-
-
-def zip_join(
-    a: DataFrame,
-    b: DataFrame,
-    by: Sequence[str],
-    order_a: Sequence[Column | str],
-    order_b: Sequence[Column | str],
-) -> DataFrame:
-    """Pair the k-th row of `a` with the k-th row of `b` inside each group."""
-    return numbered(a, by, order_a).join(numbered(b, by, order_b), [*by, "rn"], "inner")

@@ -175,7 +175,9 @@ def join_games(
     """Join requests (request_id, ts, login, pw, game_id), served in order.
 
     Free seats go to the first comers; a game that fills up starts: it gets a
-    table card, its ring closes and the joiner before the last is on turn.
+    table card, its ring closes and the joiner before the last is on turn. Each
+    login is served with its first sound request; if that finds the game full,
+    its later ones are deferred to the next batch.
     A game asked for by millions costs MAX_SEATS rows per map task, because
     the rank filter runs below the shuffle.
     """
@@ -219,14 +221,19 @@ def join_games(
         .filter(F.col("place") <= F.col("p_count") - F.col("seats"))
         .select("request_id", "login", "game_id", "place", "seats", "p_count", "host", "last_in")
     )
-    lost = (F.col("status_code") == "ok") & F.col("_done").isNull()
-    status = judged.join(taken.select("request_id", F.lit(True).alias("_done")), "request_id", "left").select(
-        "request_id",
-        "login",
-        "game_id",
-        F.when(lost, "full").otherwise(F.col("status_code")).alias("status_code"),
-        F.when(lost, MESSAGES["wrong_game"]).otherwise(F.col("message")).alias("message"),
+    first = one_each.withColumn("_first", F.lit(True))
+    seated = taken.select("login", F.col("request_id").alias("_seat"))
+    settled = lookup(judged.join(first, "request_id", "left"), seated, ["login"], "request_id", counted=judged)
+    ok = F.col("status_code") == "ok"
+    code, text = first_match(
+        [
+            (~ok | (F.col("_seat") == F.col("request_id")), F.col("status_code"), F.col("message")),
+            (F.col("_seat").isNotNull(), F.lit("seated"), MESSAGES["seated"]),
+            (F.col("_first"), F.lit("full"), MESSAGES["wrong_game"]),
+        ],
+        ("deferred", "ok"),
     )
+    status = settled.select("request_id", "login", "game_id", code, text)
     by_place = W.partitionBy("game_id").orderBy("place")
     joined = taken.select(
         "*", F.coalesce(F.lag("login").over(by_place), F.col("last_in")).alias("next_player")

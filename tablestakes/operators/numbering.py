@@ -1,9 +1,10 @@
-"""Order-dependent operators that never put one key, or all rows, in one task.
+"""Order-dependent operators that never put a heavy key, or all rows, in one task.
 
-A plain running window sends a whole key to one task. Here the order is cut
-into slices (an hour, a block of ids); each slice runs its own small window,
-slice totals are pre-aggregated map-side, and the carried-over value of each
-slice is joined back. `slice_by` must not decrease along `order`.
+A plain running window sends a whole key to one task. Here the rows of a heavy
+key are cut along the order into slices (a second, a block of ids); each slice
+runs its own small window, slice totals are pre-aggregated map-side, and the
+value carried into each slice is joined back. Light keys stay in one slice, so
+they cost one extra row each. `slice_by` must not decrease along the order.
 """
 
 from __future__ import annotations
@@ -14,10 +15,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablestakes.operators.joins import HOT_ROWS, hot_keys
 
-def hour_slice(ts: str) -> Column:
-    """Hours since 1970: the usual slice for rows ordered by time."""
-    return F.expr(f"datediff(cast({ts} as date), date'1970-01-01') * 24 + hour({ts})")
+
+def time_slice(ts: str) -> Column:
+    """Seconds since 1970: the usual slice for rows ordered by time."""
+    return F.expr(
+        f"datediff(cast({ts} as date), date'1970-01-01') * 86400L"
+        f" + hour({ts}) * 3600 + minute({ts}) * 60 + cast(floor(second({ts})) as int)"
+    )
 
 
 def id_slice(column: str, rows: int = 1 << 20) -> Column:
@@ -25,6 +31,18 @@ def id_slice(column: str, rows: int = 1 << 20) -> Column:
     return F.floor(F.col(column) / F.lit(rows))
 
 
+def with_slices(df: DataFrame, by: Sequence[str], slice_by: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds `_slice`: `slice_by` for keys of `hot_rows` rows and more, else 0.
+
+    Without a key everything is one group and always sliced.
+    """
+    if not by:
+        return df.withColumn("_slice", slice_by.cast("bigint"))
+    hot = F.broadcast(hot_keys(df, by, hot_rows))
+    fine = F.when(F.col("_hot"), slice_by.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    return df.join(hot, list(by), "left").withColumn("_slice", fine).drop("_hot")
+
+
 def running_sum(
     df: DataFrame,
     by: Sequence[str],
@@ -32,10 +50,11 @@ def running_sum(
     slice_by: Column,
     delta: Column,
     out: str,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Exact running sum of `delta` along `order` inside each `by` group."""
     by = list(by)
-    sliced = df.withColumn("_slice", slice_by).withColumn("_delta", delta)
+    sliced = with_slices(df, by, slice_by, hot_rows).withColumn("_delta", delta)
     totals = sliced.groupBy(*by, "_slice").agg(F.sum("_delta").alias("_total"))
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(
@@ -46,7 +65,7 @@ def running_sum(
         sliced.withColumn("_local", F.sum("_delta").over(upto))
         .join(carried, [*by, "_slice"], "inner")
         .withColumn(out, F.col("_carried") + F.col("_local"))
-        .drop("_slice", "_delta", "_local", "_carried")
+        .select(*df.columns, out)
     )
 
 
@@ -60,3 +79,32 @@ def number_rows(
     first = start if isinstance(start, Column) else F.lit(start)
     numbered = running_sum(df, [], order, slice_by, F.lit(1).cast("bigint"), "_n")
     return numbered.withColumn(out, (F.col("_n") + first - 1).cast("bigint")).drop("_n")
+
+
+def numbered(
+    df: DataFrame,
+    by: Sequence[str],
+    order: Sequence[str],
+    out: str = "rn",
+    slice_by: Column | None = None,
+) -> DataFrame:
+    """1, 2, … inside each group. Groups without a fixed bound (more than a
+    deck or a table's seats) need `slice_by`."""
+    if slice_by is None:
+        return df.withColumn(out, F.row_number().over(W.partitionBy(*by).orderBy(*order)))
+    return running_sum(df, by, order, slice_by, F.lit(1).cast("bigint"), out)
+
+
+def zip_join(
+    a: DataFrame,
+    b: DataFrame,
+    by: Sequence[str],
+    order_a: Sequence[str],
+    order_b: Sequence[str],
+    slice_a: Column | None = None,
+    slice_b: Column | None = None,
+) -> DataFrame:
+    """Pair the k-th row of `a` with the k-th row of `b` inside each group."""
+    left = numbered(a, by, order_a, "rn", slice_a)
+    right = numbered(b, by, order_b, "rn", slice_b)
+    return left.join(right, [*by, "rn"], "inner")

@@ -44,15 +44,24 @@ def assemble(attempts: DataFrame, held: DataFrame) -> DataFrame:
     )
 
 
-def _rule_arrays(spark) -> DataFrame:
-    """Ten rows: per phase its size, kind, block starts, steps and refusals."""
-    rows = []
-    for phase, (kind, _, _) in PHASES.items():
-        mine = [r for r in rule_rows() if r[0] == phase]
-        rows.append((phase, claim_size(phase), kind, [r[4] for r in mine], [r[6] for r in mine], [r[7] for r in mine]))
-    return spark.createDataFrame(
-        rows, "phase INT, n INT, kind STRING, starts ARRAY<INT>, steps ARRAY<INT>, texts ARRAY<STRING>"
-    )
+def _rules_of(phase: str):
+    """Size, kind, block starts, steps and refusals of a phase as one struct.
+
+    Ten constant entries indexed by the phase: no rule table has to be joined.
+    """
+    entries = []
+    for number, (kind, _, _) in sorted(PHASES.items()):
+        mine = [r for r in rule_rows() if r[0] == number]
+        entries.append(
+            F.struct(
+                F.lit(claim_size(number)).alias("n"),
+                F.lit(kind).alias("kind"),
+                F.array(*[F.lit(r[4]) for r in mine]).alias("starts"),
+                F.array(*[F.lit(r[6]) for r in mine]).alias("steps"),
+                F.array(*[F.lit(r[7]) for r in mine]).alias("texts"),
+            )
+        )
+    return F.when(F.col(phase).between(1, LAST_PHASE), F.try_element_at(F.array(*entries), F.col(phase).cast("int")))
 
 
 def verdicts(rows: DataFrame) -> DataFrame:
@@ -69,8 +78,11 @@ def verdicts(rows: DataFrame) -> DataFrame:
     packed = (F.col("id") * 1000 + F.col("rank") * 10 + color_no).cast("bigint")
     slots = [F.max(F.when(F.col("pos") == k, packed)).alias(f"s{k}") for k in range(1, MAX_CLAIM + 1)]
     claims = rows.groupBy("attempt_id", "phase").agg(*slots)
-    ruled = claims.join(F.broadcast(_rule_arrays(rows.sparkSession)), "phase", "inner").withColumn(
-        "c", F.slice(F.array(*[f"s{k}" for k in range(1, MAX_CLAIM + 1)]), F.lit(1), F.col("n"))
+    ruled = (
+        claims.withColumn("rule", _rules_of("phase"))
+        .filter(F.col("rule").isNotNull())
+        .select("attempt_id", "phase", "rule.*", *[f"s{k}" for k in range(1, MAX_CLAIM + 1)])
+        .withColumn("c", F.slice(F.array(*[f"s{k}" for k in range(1, MAX_CLAIM + 1)]), F.lit(1), F.col("n")))
     )
     blue = len(PALETTE) - 1
     rank, color = "((c[k - 1] div 10) % 100)", "(c[k - 1] % 10)"

@@ -83,7 +83,7 @@ def start_games(state: Mapping[str, DataFrame], seed: int | str) -> DataFrame:
     The last joiner is the seat nobody points to; the turn starts with the one
     who joined just before.
     """
-    ready = seats_filled(state).filter("filled").select("game_id")
+    ready = cut(seats_filled(state).filter("filled").select("game_id"))
     inside = state["players"].join(ready, "game_id", "left_semi")
     pointed = inside.filter(F.col("next_player").isNotNull()).select(F.col("next_player").alias("username"))
     last = inside.join(pointed, "username", "left_anti").select(

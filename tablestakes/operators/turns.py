@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from tablestakes.functions.scalars import first_match, seeded_hash
 from tablestakes.operators.changes import append, apply_deletes, apply_updates, serialise, teardown
 from tablestakes.operators.guards import MESSAGES, entry_rules, place_rules, take_rules, with_account
-from tablestakes.operators.joins import lookup
+from tablestakes.operators.joins import HOT_ROWS, lookup
+from tablestakes.operators.numbering import with_slices
 from tablestakes.operators.ring import unlink
 from tablestakes.session import cut
 from tablestakes.sources.catalog import HAND_SIZE, LAST_PHASE, SKIP
@@ -158,7 +159,12 @@ def leave_status(state: Mapping[str, DataFrame], requests: DataFrame) -> DataFra
     """Status of leave requests; `route` says what follows for the game:
     'teardown' when nobody stays, else 'unlink'. The first request of a
     player counts, later ones find no seat any more."""
-    judged = with_account(state, requests).select("*", *first_match(leave_rules(), ("ok", MESSAGES["left"])))
+    judged = cut(
+        with_account(state, requests).select(
+            "request_id", "ts", "login", "game_id", "players_in_game",
+            *first_match(leave_rules(), ("ok", MESSAGES["left"])),
+        )
+    )
     first = (
         judged.filter("status_code = 'ok'")
         .groupBy("login", "game_id", "players_in_game")
@@ -208,15 +214,15 @@ def leave(
     return status, out
 
 
-def ledger(moves: DataFrame, slice_by: Column, start: int = HAND_SIZE) -> DataFrame:
+def ledger(moves: DataFrame, slice_by: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Hand size after every move (username, ts, event_id, delta, fresh).
 
     A player goes 10, 11, 10 or 10, 9, 10; anything else is flagged. A `fresh`
-    row (redeal) sets the count back to `start`. A player with a third of all
+    row (redeal) sets the count back to ten. A player with a third of all
     moves is split by time slices: each slice runs on its own, and per slice
     only its sum and the sum at its last redeal are carried on.
     """
-    sliced = moves.withColumn("_slice", slice_by)
+    sliced = with_slices(moves, ["username"], slice_by, hot_rows)
     upto = W.partitionBy("username", "_slice").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
     local = sliced.withColumn("_sum", F.sum("delta").over(upto)).withColumn(
         "_base", F.last(F.when(F.col("fresh"), F.col("_sum")), ignorenulls=True).over(upto)
@@ -232,7 +238,7 @@ def ledger(moves: DataFrame, slice_by: Column, start: int = HAND_SIZE) -> DataFr
         .select("username", "_slice", "_carried", F.coalesce("_at_reset", F.lit(0)).alias("_at_reset"))
     )
     size = (
-        F.lit(start) + F.col("_carried") + F.col("_sum")
+        F.lit(HAND_SIZE) + F.col("_carried") + F.col("_sum")
         - F.coalesce(F.col("_carried") + F.col("_base"), F.col("_at_reset"))
     )
     return (

@@ -519,13 +519,17 @@ oracle(
 oracle(
     "join_games",
     """SELECT request_id, login, game_id,
-         CASE WHEN code = 'ok' AND (again OR place > free) THEN 'full' ELSE code END AS status_code,
+         CASE WHEN code <> 'ok' OR sits THEN code WHEN has_seat THEN 'seated'
+              WHEN again THEN 'deferred' ELSE 'full' END AS status_code,
          CASE WHEN code = 'wrong_password' THEN 'Wrong password'
-              WHEN code = 'seated' THEN 'You are in game already'
-              WHEN code = 'ok' AND NOT again AND place <= free THEN 'ok'
+              WHEN code = 'seated' OR (code = 'ok' AND has_seat AND NOT sits) THEN 'You are in game already'
+              WHEN code = 'ok' AND (sits OR again) THEN 'ok'
               ELSE 'Wrong game_id, check list of games' END AS message
-       FROM (SELECT *, row_number() OVER (PARTITION BY game_id, code, again ORDER BY ts, request_id) AS place
-             FROM (SELECT *, row_number() OVER (PARTITION BY login, code ORDER BY ts, request_id) > 1 AS again FROM asked))""",
+       FROM (SELECT *, bool_or(sits) OVER (PARTITION BY login) AS has_seat
+             FROM (SELECT *, coalesce(code = 'ok' AND NOT again AND row_number() OVER (
+                          PARTITION BY game_id, code, again ORDER BY ts, request_id) <= free, false) AS sits
+                   FROM (SELECT *, row_number() OVER (PARTITION BY login, code ORDER BY ts, request_id) > 1 AS again
+                         FROM asked)))""",
     room="""
         SELECT game_id, max(p_count) FILTER (WHERE next_player IS NULL) - count(*) AS free
         FROM players JOIN users USING (username) JOIN games USING (game_id) WHERE card_on_table IS NULL GROUP BY game_id""",

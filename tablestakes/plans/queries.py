@@ -11,7 +11,7 @@ from tablestakes.functions import scalars
 from tablestakes.operators import (
     audits, changes, columnar, deal, guards, joins, lobby, numbering, phases, ring, turns,
 )
-from tablestakes.session import cut, scratch_dir
+from tablestakes.session import scratch_dir
 from tablestakes.sources import catalog, roles, schema
 from tablestakes.streaming import feeds
 
@@ -204,7 +204,7 @@ def hand_slots(spark, d):
 def zip_join(spark, d):
     """The k-th player of each game with its k-th card in seeded order."""
     cards = deal.sample(roles.decks(spark, d), catalog.MAX_SEATS, SEED).drop("rn")
-    return joins.zip_join(
+    return numbering.zip_join(
         roles.players(spark, d).select("game_id", "username"),
         cards.withColumn("h", scalars.seeded_hash("card_id", SEED)),
         ["game_id"],
@@ -552,7 +552,7 @@ def attempt_cards(spark, d):
     Every second claim is entered by the next player instead of the owner.
     """
     state = roles.state(spark, d)
-    hand = joins.numbered(state["hands"], ["username"], ["card_id"]).filter("rn <= 5")
+    hand = numbering.numbered(state["hands"], ["username"], ["card_id"]).filter("rn <= 5")
     lists = hand.groupBy("username").agg(F.sort_array(F.collect_list("card_id")).alias("cards"))
     attempts = lists.join(state["players"], "username").select(
         col("username").alias("attempt_id"),
@@ -621,7 +621,7 @@ def final_standings(spark, d):
 
 @query
 def move_ledger(spark, d):
-    return turns.ledger(roles.moves(spark, d), numbering.hour_slice("ts"))
+    return turns.ledger(roles.moves(spark, d), numbering.time_slice("ts"))
 
 
 @query
@@ -652,7 +652,7 @@ def claim_phase(spark, d):
     """Whoever is on turn claims the phase with the first cards of the hand."""
     state = roles.state(spark, d)
     size = F.create_map(*[lit(x) for p in catalog.PHASES for x in (p, catalog.claim_size(p))])
-    hand = joins.numbered(state["hands"], ["username"], ["card_id"]).filter(col("rn") <= catalog.MAX_CLAIM)
+    hand = numbering.numbered(state["hands"], ["username"], ["card_id"]).filter(col("rn") <= catalog.MAX_CLAIM)
     lists = hand.groupBy("username").agg(F.sort_array(F.collect_list("card_id")).alias("all_cards"))
     asked = (
         state["players"].join(lists, "username").join(state["games"], "game_id")
@@ -688,7 +688,7 @@ def stream_last_activity(spark, d):
 @query
 def stream_state_changes(spark, d):
     events = _stream(spark, d).selectExpr("concat('u', user_id) AS username", "ts", "event_id", "event_type AS fp")
-    return feeds.state_changes(events, scratch_dir(spark, "changes"), numbering.hour_slice("ts"))
+    return feeds.state_changes(events, scratch_dir(spark, "changes"), numbering.time_slice("ts"))
 
 
 @query
@@ -698,4 +698,4 @@ def stream_move_ledger(spark, d):
         "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS delta",
         "event_type = 'purchase' AS fresh",
     )
-    return feeds.ledger_stream(moves, scratch_dir(spark, "ledger"), numbering.hour_slice("ts"))
+    return feeds.ledger_stream(moves, scratch_dir(spark, "ledger"), numbering.time_slice("ts"))

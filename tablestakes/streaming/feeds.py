@@ -1,8 +1,8 @@
 """Structured Streaming forms of last activity, change feed and move ledger.
 
-The keyed operators run in foreachBatch as set operations: rows of a key are
-split by time slices inside the batch, so a key with a third of all events does
-not sit in one task. State between batches is a small keyed table (one row per
+The keyed operators run in foreachBatch as set operations: rows of a heavy key
+are split by time slices inside the batch, so a key with a third of all events
+does not sit in one task. State between batches is a small keyed table (one row per
 key) kept as deltas with a periodic base, written below the shared folder. A
 batch that is run again overwrites its own files, so results stay exact.
 """
@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablestakes.operators.joins import lookup
+from tablestakes.operators.joins import HOT_ROWS, lookup
+from tablestakes.operators.numbering import with_slices
 from tablestakes.operators.turns import ledger
 from tablestakes.sources.catalog import HAND_SIZE
 from tablestakes.sources.schema import INPUTS
@@ -99,13 +100,20 @@ class KeyedState:
             kept.unionByName(new).write.mode("overwrite").parquet(f"{self.root}/base/b={batch}")
 
 
-def change_rows(events: DataFrame, key: str, value: str, slice_by: Column, before: DataFrame | None = None) -> DataFrame:
+def change_rows(
+    events: DataFrame,
+    key: str,
+    value: str,
+    slice_by: Column,
+    before: DataFrame | None = None,
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
     """Rows whose `value` differs from the key's row before, in (ts, event_id) order.
 
     Inside a slice by lag; the first row of a slice is compared with the last
     value of the slice before, and the first of all with `before` (key, value).
     """
-    sliced = events.withColumn("_slice", slice_by)
+    sliced = with_slices(events, [key], slice_by, hot_rows)
     inner = W.partitionBy(key, "_slice").orderBy("ts", "event_id")
     local = sliced.withColumn("_prev", F.lag(value).over(inner)).withColumn("_n", F.row_number().over(inner))
     ends = sliced.groupBy(key, "_slice").agg(F.max_by(value, F.struct("ts", "event_id")).alias("_end"))

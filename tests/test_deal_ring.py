@@ -1,8 +1,9 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
-from tablestakes.operators import deal, joins, ring
+from tablestakes.operators import deal, numbering, ring
 from tables import as_map, as_set, build
 
 
@@ -49,7 +50,10 @@ def test_zip_and_slots(spark):
     assert as_set(slots, "rn") == set(range(1, 31))
     a = spark.createDataFrame([(1, "x"), (1, "y"), (2, "z")], "g int, a string")
     b = spark.createDataFrame([(1, 9), (1, 8), (2, 7)], "g int, b int")
-    assert as_set(joins.zip_join(a, b, ["g"], ["a"], ["b"]), "g", "a", "b") == {(1, "x", 8), (1, "y", 9), (2, "z", 7)}
+    pairs = {(1, "x", 8), (1, "y", 9), (2, "z", 7)}
+    assert as_set(numbering.zip_join(a, b, ["g"], ["a"], ["b"]), "g", "a", "b") == pairs
+    sliced = numbering.zip_join(a, b, ["g"], ["a"], ["b"], F.ascii("a"), F.col("b"))
+    assert as_set(sliced, "g", "a", "b") == pairs
 
 
 def test_ring_closes_and_walks(spark):

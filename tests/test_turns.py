@@ -1,6 +1,5 @@
 from datetime import datetime
 
-import pytest
 from pyspark.sql import functions as F
 
 from tablestakes.operators import numbering, turns
@@ -10,17 +9,25 @@ TAKE = "request_id long, ts timestamp_ntz, login string, pw string, source strin
 PLACE = "request_id long, ts timestamp_ntz, login string, pw string, card_id long"
 
 
-def game(spark, held, table=1330, phase=1, seats=3):
-    ring = {3: [("a", "c"), ("b", "a"), ("c", "b")], 2: [("a", "b"), ("b", "a")]}[seats]
-    mine = [1010, 1020, 1030, 1040, 1050, 1060, 1070, 1080, 1530, 1090, 1100][:held]
-    other = [1000 + 10 * k for k in range(20, 30)]
-    return build(
-        spark,
-        {1: dict(ring=ring, table=table, phase=phase), 2: dict(ring=[("w", None)], table=None)},
-        {"a": mine, "b": other},
-        turns=["a"] if phase < 11 else [],
-        users=["idle"],
-    )
+MINE = [10, 20, 30, 40, 50, 60, 70, 80, 530, 90, 100]
+
+
+def one(g, held, table=330, phase=1, seats=3):
+    """Game g as (game, hands): player a<g> is on turn with `held` cards."""
+    a, b, c = (f"{x}{g}" for x in "abc")
+    ring = {3: [(a, c), (b, a), (c, b)], 2: [(a, b), (b, a)]}[seats]
+    hands = {a: [1000 * g + k for k in MINE[:held]], b: [1000 * g + 10 * k for k in range(20, 30)]}
+    return dict(ring=ring, table=1000 * g + table, phase=phase), hands
+
+
+def site(spark, *games):
+    """One state with game 1, 2, … and a waiting game of player w."""
+    table, hands = {0: dict(ring=[("w", None)], table=None)}, {}
+    for g, spec in enumerate(games, start=1):
+        table[g], held = one(g, **spec)
+        hands.update(held)
+    on = [f"a{g}" for g, spec in enumerate(games, start=1) if spec.get("phase", 1) < 11]
+    return build(spark, table, hands, turns=on, users=["idle"])
 
 
 def ask(spark, schema, *rows):
@@ -29,69 +36,70 @@ def ask(spark, schema, *rows):
     )
 
 
-@pytest.mark.parametrize(
-    "held, source, table, code, next_turn",
-    [
-        (10, "deck", 1330, "ok", None),
-        (10, "table", 1330, "ok", None),
-        (10, "table", 1531, "deck_only", None),
-        (9, "deck", 1330, "ok", "c"),
-        (9, "deck", 1531, "ok", "b"),
-        (9, "table", 1330, "deck_only", None),
-        (11, "deck", 1330, "hand_full", None),
-        (10, "pocket", 1330, "bad_source", None),
-    ],
-)
-def test_draw(spark, held, source, table, code, next_turn):
-    state = game(spark, held, table)
-    status, after = turns.draw(state, ask(spark, TAKE, ("a", source)), 7)
-    row = status.first()
-    assert (row.status_code, row.next_turn) == (code, next_turn)
-    mine = as_set(after["hands"].filter("username = 'a'"), "card_id")
-    assert len(mine) == held + (code == "ok")
-    if code == "ok":
-        assert row.card_id in mine
-        assert (row.card_id == table) == (source == "table")
-        assert row.card_id not in as_set(state["hands"], "card_id")
-    assert as_set(after["turns"], "current_player") == {next_turn or "a"}
+def test_draw(spark):
+    # held, source, table card, status, who is on turn after
+    cases = [
+        (10, "deck", 330, "ok", "a"),
+        (10, "table", 330, "ok", "a"),
+        (10, "table", 531, "deck_only", "a"),
+        (9, "deck", 330, "ok", "c"),
+        (9, "deck", 531, "ok", "b"),
+        (9, "table", 330, "deck_only", "a"),
+        (11, "deck", 330, "hand_full", "a"),
+        (10, "pocket", 330, "bad_source", "a"),
+    ]
+    state = site(spark, *[dict(held=h, table=t) for h, _, t, _, _ in cases])
+    status, after = turns.draw(state, ask(spark, TAKE, *[(f"a{g}", c[1]) for g, c in enumerate(cases, 1)]), 7)
+    rows = {r.login: r for r in status.collect()}
+    before = as_set(state["hands"], "card_id")
+    owned = after["hands"].collect()
+    for g, (held, source, table, code, turn) in enumerate(cases, start=1):
+        row, mine = rows[f"a{g}"], {r.card_id for r in owned if r.username == f"a{g}"}
+        assert row.status_code == code
+        assert row.next_turn == (None if turn == "a" else f"{turn}{g}")
+        assert len(mine) == held + (code == "ok")
+        if code == "ok":
+            assert row.card_id in mine - before and row.card_id // 1000 == g
+            assert (row.card_id == 1000 * g + table) == (source == "table")
+    assert as_set(after["turns"], "current_player") == {f"{c[4]}{g}" for g, c in enumerate(cases, 1)}
 
 
 def test_draw_guards_and_one_request_per_game(spark):
-    state = game(spark, 10)
+    state = site(spark, dict(held=10), dict(held=10, phase=11))
     status, after = turns.draw(
-        state, ask(spark, TAKE, ("idle", "deck"), ("w", "deck"), ("b", "deck"), ("a", "deck"), ("a", "deck"), ("ghost", "deck")), 7
+        state,
+        ask(spark, TAKE, *[(who, "deck") for who in ("idle", "w", "b1", "a1", "a1", "ghost", "a2")]),
+        7,
     )
     assert as_map(status, "request_id", "status_code") == {
-        0: "not_in_game", 1: "waiting", 2: "not_your_turn", 3: "ok", 4: "deferred", 5: "wrong_password"
+        0: "not_in_game", 1: "waiting", 2: "not_your_turn", 3: "ok", 4: "deferred", 5: "wrong_password", 6: "game_over"
     }
     assert after["hands"].count() == state["hands"].count() + 1
-    over = game(spark, 10, phase=11)
-    assert turns.draw(over, ask(spark, TAKE, ("a", "deck")), 7)[0].first().status_code == "game_over"
-
-
-@pytest.mark.parametrize(
-    "held, card, seats, code, next_turn",
-    [
-        (11, 1010, 3, "ok", "c"),
-        (11, 1530, 3, "ok", "b"),
-        (11, 1530, 2, "ok", "a"),
-        (10, 1010, 3, "ok", None),
-        (9, 1010, 3, "already_placed", None),
-        (11, 1200, 3, "wrong_card", None),
+
+
+def test_discard(spark):
+    # held, card, seats, status, who is on turn after
+    cases = [
+        (11, 10, 3, "ok", "c"),
+        (11, 530, 3, "ok", "b"),
+        (11, 530, 2, "ok", "a"),
+        (10, 10, 3, "ok", None),
+        (9, 10, 3, "already_placed", None),
+        (11, 200, 3, "wrong_card", None),
         (11, None, 3, "wrong_card", None),
-    ],
-)
-def test_discard(spark, held, card, seats, code, next_turn):
-    state = game(spark, held, seats=seats)
-    status, after = turns.discard(state, ask(spark, PLACE, ("a", card)))
-    row = status.first()
-    assert (row.status_code, row.next_turn) == (code, next_turn)
-    assert as_set(after["turns"], "current_player") == {next_turn or "a"}
-    assert as_map(after["games"], "game_id", "card_on_table")[1] == (card if code == "ok" else 1330)
-    assert as_set(after["hands"].filter("username = 'b'"), "card_id") == as_set(
-        state["hands"].filter("username = 'b'"), "card_id"
-    )
-    assert after["hands"].filter("username = 'a'").count() == held - (code == "ok")
+    ]
+    state = site(spark, *[dict(held=h, seats=s) for h, _, s, _, _ in cases])
+    asked = [(f"a{g}", None if c[1] is None else 1000 * g + c[1]) for g, c in enumerate(cases, 1)]
+    status, after = turns.discard(state, ask(spark, PLACE, *asked))
+    rows = {r.login: r for r in status.collect()}
+    shown, owned = as_map(after["games"], "game_id", "card_on_table"), after["hands"].collect()
+    for g, (held, card, _, code, turn) in enumerate(cases, start=1):
+        row = rows[f"a{g}"]
+        assert (row.status_code, row.next_turn) == (code, turn and f"{turn}{g}")
+        assert shown[g] == 1000 * g + (card if code == "ok" else 330)
+        assert sum(r.username == f"a{g}" for r in owned) == held - (code == "ok")
+        assert sum(r.username == f"b{g}" for r in owned) == 10
+    assert as_set(after["turns"], "current_player") == {f"{c[4] or 'a'}{g}" for g, c in enumerate(cases, 1)}
 
 
 LEAVE = "request_id long, ts timestamp_ntz, login string, pw string"
@@ -130,9 +138,9 @@ def test_leave_unlinks_passes_and_tears_down(spark):
 
 
 def test_leave_needs_ten_cards_unless_the_game_is_over(spark):
-    for phase, code in ((1, "end_turn"), (11, "ok")):
-        state = game(spark, 11, phase=phase)
-        assert turns.leave_status(state, leaves(spark, "a")).first().status_code == code
+    state = site(spark, dict(held=11), dict(held=11, phase=11))
+    status = turns.leave_status(state, leaves(spark, "a1", "a2"))
+    assert as_map(status, "login", "status_code") == {"a1": "end_turn", "a2": "ok"}
 
 
 def brute_ledger(moves):
@@ -154,6 +162,7 @@ def test_ledger_with_a_hot_player(spark):
         moves.append((user, datetime(2024, 1, 1 + eid // 60, rng.randrange(24), rng.randrange(60)), eid,
                       0 if fresh else rng.choice([1, -1, 0]), fresh))
     df = spark.createDataFrame(moves, "username string, ts timestamp_ntz, event_id long, delta int, fresh boolean")
-    got = turns.ledger(df, numbering.hour_slice("ts"))
-    assert as_map(got, "event_id", "hand_size") == brute_ledger(moves)
+    for hot_rows in (50, 10**9):
+        got = turns.ledger(df, numbering.time_slice("ts"), hot_rows)
+        assert as_map(got, "event_id", "hand_size") == brute_ledger(moves)
     assert got.filter((F.col("hand_size") > 11) & F.col("legal")).count() == 0
