@@ -91,7 +91,15 @@ def game_invariants(state: Mapping[str, DataFrame]) -> DataFrame:
         .agg(F.count("*").alias("n"))
         .select("game_id", F.lit("card in two hands").alias("rule"), "n")
     )
-    return per_game.unionByName(twice)
+    on_table = games.filter(F.col("card_on_table").isNotNull()).select("game_id", F.col("card_on_table").alias("card_id"))
+    out_of_turn = (
+        state["hands"].join(on_table, "card_id")
+        .join(state["turns"].select(F.col("current_player").alias("username")), "username", "left_anti")
+        .groupBy("game_id")
+        .agg(F.count("*").alias("n"))
+        .select("game_id", F.lit("table card in a hand out of turn").alias("rule"), "n")
+    )
+    return per_game.unionByName(twice).unionByName(out_of_turn)
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

@@ -153,3 +153,21 @@ def guard(state: Mapping[str, DataFrame], requests: DataFrame) -> DataFrame:
             .cast("bigint"),
         )
     )
+
+
+def view_status(state: Mapping[str, DataFrame], requests: DataFrame) -> DataFrame:
+    """What a request to see one's game gets: a refusal, the number of players
+    waiting, the final standings or the snapshot of `game_id`."""
+    seen = with_account(state, requests).select(
+        "request_id",
+        "login",
+        *first_match(
+            [*entry_rules(), (F.col("game_phase") > LAST_PHASE, "game_over", MESSAGES["game_over"])], ("ok", "ok")
+        ),
+        "game_id",
+        "players_in_game",
+    )
+    code = F.col("status_code")
+    return seen.withColumn("game_id", F.when(code != "wrong_password", F.col("game_id"))).withColumn(
+        "players_in_game", F.when(code == "waiting", F.col("players_in_game"))
+    )

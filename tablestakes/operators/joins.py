@@ -8,9 +8,8 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 1_000_000  # a key below this many rows needs no splitting
+HOT_ROWS = 1_000_000  # a key below this many rows needs no splitting; also rows per salt
 MAX_HOT = 256  # at most this many keys are split; the rest take the plain join
-SALTS = 64
 
 
 def natural_join(*frames: DataFrame) -> DataFrame:
@@ -21,7 +20,7 @@ def natural_join(*frames: DataFrame) -> DataFrame:
 def hot_keys(facts: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
     """The heaviest keys, at most MAX_HOT, so the result is safe to broadcast.
 
-    Counted with map-side combine. A key outside the first MAX_HOT holds less
+    `_hot` says into how many parts of about `hot_rows` rows a key falls. Counted with map-side combine. A key outside the first MAX_HOT holds less
     than 1/MAX_HOT of all rows, so the plain join copes with it.
     """
     return (
@@ -30,7 +29,7 @@ def hot_keys(facts: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS) ->
         .filter((F.col("_rows") >= hot_rows) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
         .orderBy(F.desc("_rows"), *key)
         .limit(MAX_HOT)
-        .select(*key, F.lit(True).alias("_hot"))
+        .select(*key, F.ceil(F.col("_rows") / hot_rows).alias("_hot"))
     )
 
 
@@ -41,25 +40,24 @@ def lookup(
     row_id: str,
     how: str = "left",
     hot_rows: int = HOT_ROWS,
-    salts: int = SALTS,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join `facts` to `dim`, whose `key` is unique, however skewed facts are.
 
-    Rows of a hot key spread over `salts` buckets by their `row_id`; only the
-    dim rows of hot keys are copied once per bucket. NULL keys match nothing
-    and are spread the same way. Works for left, inner, left_semi, left_anti.
+    Rows of a hot key spread by their `row_id` over as many buckets as it has
+    millions of rows; only the dim rows of hot keys are copied, once per
+    bucket. NULL keys match nothing and spread by row. Works for left, inner,
+    left_semi, left_anti.
     Keys are counted on `counted` when given: the plain table `facts` was
     built from, so that its joins do not run a second time for the count.
     """
     key = list(key)
     hot = F.broadcast(hot_keys(facts if counted is None else counted, key, hot_rows))
-    bucket = F.pmod(F.xxhash64(row_id), F.lit(salts)).cast("int")
     some_null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in key])
-    left = facts.join(hot, key, "left").withColumn(
-        "_salt", F.when(F.col("_hot") | some_null, bucket).otherwise(F.lit(0))
-    )
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    row = F.xxhash64(row_id)
+    salt = F.when(some_null, row).when(F.col("_hot") > 1, F.pmod(row, F.col("_hot"))).otherwise(F.lit(0))
+    left = facts.join(hot, key, "left").withColumn("_salt", salt.cast("bigint"))
+    copies = F.sequence(F.lit(0).cast("bigint"), F.coalesce(F.col("_hot") - 1, F.lit(0)).cast("bigint"))
     right = dim.join(hot, key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
     return left.drop("_hot").join(right, [*key, "_salt"], how).drop("_salt")
 

@@ -39,7 +39,7 @@ def with_slices(df: DataFrame, by: Sequence[str], slice_by: Column, hot_rows: in
     if not by:
         return df.withColumn("_slice", slice_by.cast("bigint"))
     hot = F.broadcast(hot_keys(df, by, hot_rows))
-    fine = F.when(F.col("_hot"), slice_by.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    fine = F.when(F.col("_hot").isNotNull(), slice_by.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
     return df.join(hot, list(by), "left").withColumn("_slice", fine).drop("_hot")
 
 

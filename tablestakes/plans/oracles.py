@@ -86,7 +86,9 @@ oracle(
          UNION ALL SELECT game_id, 'deck without 108 cards', deck_n FROM facts WHERE deck_n <> 108
          UNION ALL SELECT game_id, 'hand outside 9 to 11', bad_n FROM facts WHERE bad_n > 0
          UNION ALL SELECT game_id, 'card in two hands', count(*) FROM decks
-         WHERE card_id IN (SELECT card_id FROM hands GROUP BY 1 HAVING count(*) > 1) GROUP BY 1)""",
+         WHERE card_id IN (SELECT card_id FROM hands GROUP BY 1 HAVING count(*) > 1) GROUP BY 1
+         UNION ALL SELECT game_id, 'table card in a hand out of turn', count(*) FROM games JOIN hands ON card_id = card_on_table
+         WHERE username NOT IN (SELECT current_player FROM turns) GROUP BY 1)""",
     facts="""
         SELECT g.game_id, g.card_on_table, count(*) AS seats_n,
                count(*) FILTER (WHERE p.next_player IS NULL) AS open_n,
@@ -143,6 +145,19 @@ oracle(
         FROM requests r LEFT JOIN accounts a ON a.username = r.login""",
 )
 
+oracle(
+    "game_state",
+    """SELECT request_id, login, code AS status_code,
+         CASE code WHEN 'wrong_password' THEN 'Wrong password'
+           WHEN 'not_in_game' THEN 'Connect to game or create new first'
+           WHEN 'waiting' THEN 'Waiting for players' WHEN 'game_over' THEN 'Game is over' ELSE 'ok' END AS message,
+         CASE WHEN code <> 'wrong_password' THEN game_id END AS game_id,
+         CASE code WHEN 'waiting' THEN players_in_game END AS players_in_game
+       FROM (SELECT r.request_id, r.login, a.game_id, a.players_in_game,
+                    {entry} WHEN a.game_phase = 11 THEN 'game_over' ELSE 'ok' END AS code
+             FROM requests r LEFT JOIN accounts a ON a.username = r.login)""".replace("{entry}", _ENTRY),
+)
+
 # --- joins ---
 oracle(
     "natural_join_cards",

@@ -174,6 +174,11 @@ def request_guard(spark, d):
     )
 
 
+@query
+def game_state(spark, d):
+    return guards.view_status(roles.state(spark, d), roles.requests(spark, d))
+
+
 # --- joins -------------------------------------------------------------------
 
 

@@ -25,12 +25,13 @@ def test_planted_faults_are_found(spark):
     state["decks"] = state["decks"].filter("card_id <> 1533")
     state["players"] = state["players"].withColumn("next_player", F.expr("CASE username WHEN 'b' THEN 'b' ELSE next_player END"))
     state["hands"] = state["hands"].unionByName(
-        spark.createDataFrame([(1010, "b"), (2500, "w"), (2501, "w")], "card_id long, username string")
+        spark.createDataFrame([(1010, "b"), (1490, "b"), (2500, "w"), (2501, "w")], "card_id long, username string")
     )
     got = as_set(audits.game_invariants(state), "game_id", "rule", "n")
     assert got == {
         (1, "deck without 108 cards", 107), (1, "running game with an open ring", 1),
-        (1, "card in two hands", 1), (2, "hand outside 9 to 11", 1),
+        (1, "card in two hands", 1), (1, "table card in a hand out of turn", 1),
+        (1, "hand outside 9 to 11", 1), (2, "hand outside 9 to 11", 1),
     }
 
 

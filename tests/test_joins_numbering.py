@@ -18,7 +18,7 @@ def test_lookup_splits_hot_keys_and_keeps_every_row(spark):
     values = {"hot": 1, "k1": 2, "k2": 3}
     want = {(i, k, values.get(k)) for i, k in rows}
     for hot_rows in (100, 10**9):
-        args = dict(hot_rows=hot_rows, salts=8)
+        args = dict(hot_rows=hot_rows)
         got = joins.lookup(facts, dim, ["k"], "row", **args)
         assert got.columns == ["k", "row", "v"] and got.count() == len(rows)
         assert as_set(got, "row", "k", "v") == want
@@ -27,12 +27,29 @@ def test_lookup_splits_hot_keys_and_keeps_every_row(spark):
     assert as_set(joins.hot_keys(facts, ["k"], 100), "k") == {"hot", "warm"}
 
 
+def test_lookup_on_two_columns_with_a_separate_count(spark):
+    rows, facts = skewed(spark)
+    dim = spark.createDataFrame([("hot", 0, "a"), ("hot", 1, "b")], "k string, p int, v string")
+    parted = facts.withColumn("p", (F.col("row") % 2).cast("int"))
+    got = joins.lookup(parted, dim, ["k", "p"], "row", hot_rows=100, counted=parted.select("k", "p"))
+    assert as_set(got, "row", "v") == {(i, "ab"[i % 2] if k == "hot" else None) for i, k in rows}
+    assert got.count() == len(rows)
+
+
 def test_lookup_really_spreads_the_hot_key(spark):
-    _, facts = skewed(spark)
-    hot = joins.hot_keys(facts, ["k"], 100)
-    dim = spark.createDataFrame([("hot", 1)], "k string, v int")
-    plan = joins.lookup(facts, dim, ["k"], "row", hot_rows=100)._jdf.queryExecution().toString()
-    assert "_salt" in plan and hot.count() == 2
+    """No shuffle partition of the fact side may hold all rows of the hot key."""
+    rows, facts = skewed(spark)
+    dim = spark.createDataFrame([("hot", 1), ("k1", 2)], "k string, v int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        joined = joins.lookup(facts, dim, ["k"], "row", "inner", hot_rows=50)
+        sizes = [r["count"] for r in joined.filter("k = 'hot'").groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    total = sum(k == "hot" for _, k in rows)
+    assert sum(sizes) == total and max(sizes) < total / 2
 
 
 def test_semi_and_anti_do_not_multiply(spark):
