@@ -3,8 +3,8 @@
 A plain running window sends a whole key to one task. Here the rows of a heavy
 key are cut along the order into slices (a second, a block of ids); each slice
 runs its own small window, slice totals are pre-aggregated map-side, and the
-value carried into each slice is joined back. Light keys stay in one slice, so
-they cost one extra row each. `slice_by` must not decrease along the order.
+value carried into each slice is joined back. Light keys are not sliced and
+carry nothing. `slice_by` must not decrease along the order.
 """
 
 from __future__ import annotations
@@ -32,14 +32,14 @@ def id_slice(column: str, rows: int = 1 << 20) -> Column:
 
 
 def with_slices(df: DataFrame, by: Sequence[str], slice_by: Column, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Adds `_slice`: `slice_by` for keys of `hot_rows` rows and more, else 0.
+    """Adds `_slice`: `slice_by` for keys of `hot_rows` rows and more, else NULL.
 
     Without a key everything is one group and always sliced.
     """
     if not by:
         return df.withColumn("_slice", slice_by.cast("bigint"))
     hot = F.broadcast(hot_keys(df, by, hot_rows))
-    fine = F.when(F.col("_hot").isNotNull(), slice_by.cast("bigint")).otherwise(F.lit(0).cast("bigint"))
+    fine = F.when(F.col("_hot").isNotNull(), slice_by.cast("bigint"))
     return df.join(hot, list(by), "left").withColumn("_slice", fine).drop("_hot")
 
 
@@ -55,16 +55,14 @@ def running_sum(
     """Exact running sum of `delta` along `order` inside each `by` group."""
     by = list(by)
     sliced = with_slices(df, by, slice_by, hot_rows).withColumn("_delta", delta)
-    totals = sliced.groupBy(*by, "_slice").agg(F.sum("_delta").alias("_total"))
+    totals = sliced.filter("_slice IS NOT NULL").groupBy(*by, "_slice").agg(F.sum("_delta").alias("_total"))
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(
-        *by, "_slice", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carried")
-    )
+    carried = totals.select(*by, "_slice", F.sum("_total").over(before).alias("_carried"))
     upto = W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
         sliced.withColumn("_local", F.sum("_delta").over(upto))
-        .join(carried, [*by, "_slice"], "inner")
-        .withColumn(out, F.col("_carried") + F.col("_local"))
+        .join(carried, [*by, "_slice"], "left")
+        .withColumn(out, F.coalesce(F.col("_carried"), F.lit(0)) + F.col("_local"))
         .select(*df.columns, out)
     )
 

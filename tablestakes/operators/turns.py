@@ -222,12 +222,15 @@ def ledger(moves: DataFrame, slice_by: Column, hot_rows: int = HOT_ROWS) -> Data
     moves is split by time slices: each slice runs on its own, and per slice
     only its sum and the sum at its last redeal are carried on.
     """
-    sliced = with_slices(moves, ["username"], slice_by, hot_rows)
     upto = W.partitionBy("username", "_slice").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, 0)
-    local = sliced.withColumn("_sum", F.sum("delta").over(upto)).withColumn(
-        "_base", F.last(F.when(F.col("fresh"), F.col("_sum")), ignorenulls=True).over(upto)
-    )
-    totals = local.groupBy("username", "_slice").agg(
+
+    def summed(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_sum", F.sum("delta").over(upto)).withColumn(
+            "_base", F.last(F.when(F.col("fresh"), F.col("_sum")), ignorenulls=True).over(upto)
+        )
+
+    sliced = with_slices(moves, ["username"], slice_by, hot_rows)
+    totals = summed(sliced.filter("_slice IS NOT NULL")).groupBy("username", "_slice").agg(
         F.sum("delta").alias("_total"),
         F.max_by("_sum", F.when(F.col("fresh"), F.struct("ts", "event_id"))).alias("_reset"),
     )
@@ -235,14 +238,13 @@ def ledger(moves: DataFrame, slice_by: Column, hot_rows: int = HOT_ROWS) -> Data
     carried = (
         totals.withColumn("_carried", F.coalesce(F.sum("_total").over(before), F.lit(0)))
         .withColumn("_at_reset", F.last(F.col("_carried") + F.col("_reset"), ignorenulls=True).over(before))
-        .select("username", "_slice", "_carried", F.coalesce("_at_reset", F.lit(0)).alias("_at_reset"))
-    )
-    size = (
-        F.lit(HAND_SIZE) + F.col("_carried") + F.col("_sum")
-        - F.coalesce(F.col("_carried") + F.col("_base"), F.col("_at_reset"))
+        .select("username", "_slice", "_carried", "_at_reset")
     )
+    carry = F.coalesce("_carried", F.lit(0))
+    size = F.lit(HAND_SIZE) + carry + F.col("_sum") - F.coalesce(carry + F.col("_base"), F.col("_at_reset"), F.lit(0))
     return (
-        local.join(carried, ["username", "_slice"])
+        summed(sliced)
+        .join(carried, ["username", "_slice"], "left")
         .select("username", "ts", "event_id", "delta", size.cast("bigint").alias("hand_size"))
         .withColumn("legal", F.col("hand_size").between(HAND_SIZE - 1, HAND_SIZE + 1))
     )

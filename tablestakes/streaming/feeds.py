@@ -113,7 +113,7 @@ def change_rows(
     Inside a slice by lag; the first row of a slice is compared with the last
     value of the slice before, and the first of all with `before` (key, value).
     """
-    sliced = with_slices(events, [key], slice_by, hot_rows)
+    sliced = with_slices(events, [key], slice_by, hot_rows).withColumn("_slice", F.coalesce("_slice", F.lit(-1)))
     inner = W.partitionBy(key, "_slice").orderBy("ts", "event_id")
     local = sliced.withColumn("_prev", F.lag(value).over(inner)).withColumn("_n", F.row_number().over(inner))
     ends = sliced.groupBy(key, "_slice").agg(F.max_by(value, F.struct("ts", "event_id")).alias("_end"))
