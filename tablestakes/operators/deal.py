@@ -12,7 +12,7 @@ from tablestakes.functions.scalars import seeded_hash
 from tablestakes.operators.changes import append, apply_deletes
 from tablestakes.session import cut
 from tablestakes.sources.catalog import (
-    DECK_SIZE, HAND_SIZE, MAX_SEATS, card_key, nth_card_id, shuffled_deck,
+    DECK_SIZE, HAND_SIZE, card_key, nth_card_id, shuffled_deck,
 )
 
 
@@ -31,12 +31,12 @@ def build_decks(games: DataFrame) -> DataFrame:
 def initial_deal(seats: DataFrame, seed: int) -> DataFrame:
     """Ten distinct cards of a new deck for each (game_id, username, seat).
 
-    The seats of a game (never more than MAX_SEATS) meet in one row; its deck
-    is then ordered once, inside the row, and cut into hands. The only shuffle
-    is that of the seats.
+    The seats of a game (no more than a deck has hands) meet in one row; its
+    deck is then ordered once, inside the row, and cut into hands. The only
+    shuffle is that of the seats.
     """
     games = (
-        seats.filter(F.col("seat") <= MAX_SEATS)
+        seats.filter(F.col("seat") <= DECK_SIZE // HAND_SIZE)
         .groupBy("game_id")
         .agg(F.map_from_entries(F.collect_list(F.struct(F.col("seat").cast("int"), "username"))).alias("names"))
     )
@@ -97,7 +97,7 @@ def redeal_hands(
     pool = decks.join(games.select("game_id", "card_on_table"), "game_id").filter(
         F.col("card_on_table").isNull() | (F.col("card_id") != F.col("card_on_table"))
     )
-    cards = sample(pool.select("game_id", "card_id"), MAX_SEATS * HAND_SIZE, seed)
+    cards = sample(pool.select("game_id", "card_id"), DECK_SIZE, seed)
     slots = hand_slots(players.join(games.select("game_id"), "game_id", "left_semi"))
     return slots.join(cards, ["game_id", "rn"]).select("card_id", "username", "game_id")
 

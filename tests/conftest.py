@@ -15,7 +15,7 @@ SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session("4", partitions=4)
+    session = local_session("4", partitions=2)
     yield session
     session.stop()
 

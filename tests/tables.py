@@ -8,8 +8,22 @@ from tablestakes.sources.schema import GAME_TABLES
 NOW = datetime(2024, 1, 31)
 
 
-def face(card_id):
-    return card_id % 1000
+def literal(value):
+    if value is None:
+        return "NULL"
+    if isinstance(value, datetime):
+        return f"TIMESTAMP_NTZ '{value}'"
+    return f"'{value}'" if isinstance(value, str) else str(value)
+
+
+def frame(spark, rows, ddl):
+    """Inline table: Spark knows how small it is and joins it without shuffles."""
+    fields = [f.replace(" NOT NULL", "").split() for f in ddl.split(",")]
+    if not rows:
+        return spark.createDataFrame([], ", ".join(" ".join(f) for f in fields))
+    values = ", ".join("(" + ", ".join(literal(v) for v in row) + ")" for row in rows)
+    names = ", ".join(n for n, _ in fields)
+    return spark.sql(f"SELECT {', '.join(f'CAST({n} AS {t}) AS {n}' for n, t in fields)} FROM VALUES {values} AS t({names})")
 
 
 def build(spark, games, hands, users=(), turns=None, activity=None):
@@ -30,7 +44,7 @@ def build(spark, games, hands, users=(), turns=None, activity=None):
     rows["hands"] = [(c, name) for name, cs in hands.items() for c in cs]
     rows["turns"] = [(t,) for t in (turns or [])]
     state = {
-        name: spark.createDataFrame(rows[name], ddl.replace(" NOT NULL", ""))
+        name: frame(spark, rows[name], ddl)
         for name, ddl in GAME_TABLES.items()
         if name != "card_type"
     }
