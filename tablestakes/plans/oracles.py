@@ -374,9 +374,7 @@ oracle(
     lobby=_LOBBY,
 )
 _FACES = "SELECT card_id AS face_card, rank AS face_rank FROM cards NATURAL JOIN card_type"
-oracle(
-    "draw_cards",
-    """SELECT j.request_id, j.login,
+_DRAW = """SELECT j.request_id, j.login,
          CASE WHEN code = 'ok' AND w.request_id IS NULL THEN 'deferred' ELSE code END AS status_code,
          CASE code WHEN 'wrong_password' THEN 'Wrong password'
            WHEN 'not_in_game' THEN 'Connect to game or create new first' WHEN 'waiting' THEN 'Waiting for players'
@@ -390,7 +388,8 @@ oracle(
            CASE WHEN j.face_rank = 14 THEN (SELECT next_player FROM players p WHERE p.username = j.next_player)
                 ELSE j.next_player END END AS next_turn
        FROM judged j LEFT JOIN (SELECT arg_min(request_id, (ts, request_id)) AS request_id FROM judged
-                                WHERE code = 'ok' GROUP BY game_id) w USING (request_id)""",
+                                WHERE code = 'ok' GROUP BY game_id) w USING (request_id)"""
+_DRAW_VIEWS = dict(
     faces=_FACES,
     judged=f"""
         SELECT r.request_id, r.ts, r.login, r.source, a.*, f.face_rank,
@@ -399,9 +398,8 @@ oracle(
         FROM requests r LEFT JOIN accounts a ON a.username = r.login
         LEFT JOIN faces f ON f.face_card = a.card_on_table""",
 )
-oracle(
-    "discard_cards",
-    """SELECT j.request_id, j.login, j.card_id,
+oracle("draw_cards", _DRAW, **_DRAW_VIEWS)
+_DISCARD = """SELECT j.request_id, j.login, j.card_id,
          CASE WHEN code = 'ok' AND w.request_id IS NULL THEN 'deferred' ELSE code END AS status_code,
          CASE code WHEN 'wrong_password' THEN 'Wrong password'
            WHEN 'not_in_game' THEN 'Connect to game or create new first' WHEN 'waiting' THEN 'Waiting for players'
@@ -412,7 +410,8 @@ oracle(
            CASE WHEN j.face_rank = 14 THEN (SELECT next_player FROM players p WHERE p.username = j.next_player)
                 ELSE j.next_player END END AS next_turn
        FROM judged j LEFT JOIN (SELECT arg_min(request_id, (ts, request_id)) AS request_id FROM judged
-                                WHERE code = 'ok' GROUP BY game_id) w USING (request_id)""",
+                                WHERE code = 'ok' GROUP BY game_id) w USING (request_id)"""
+_DISCARD_VIEWS = dict(
     faces=_FACES,
     lowest="SELECT username, min(card_id) AS low FROM hands GROUP BY username",
     judged=f"""
@@ -424,9 +423,8 @@ oracle(
               FROM requests q LEFT JOIN lowest ON lowest.username = q.login) r
         LEFT JOIN accounts a ON a.username = r.login LEFT JOIN faces f ON f.face_card = r.card_id""",
 )
-oracle(
-    "leave_route",
-    """SELECT request_id, login, game_id, CASE WHEN late THEN 'not_seated' ELSE code END AS status_code,
+oracle("discard_cards", _DISCARD, **_DISCARD_VIEWS)
+_LEAVE = """SELECT request_id, login, game_id, CASE WHEN late THEN 'not_seated' ELSE code END AS status_code,
          CASE WHEN late OR code = 'not_seated' THEN 'You are not in game now'
               WHEN code = 'wrong_password' THEN 'Wrong password' WHEN code = 'end_turn' THEN 'End your turn first'
               ELSE 'now you can find new game' END AS message,
@@ -434,7 +432,8 @@ oracle(
            CASE WHEN count(*) FILTER (WHERE code = 'ok' AND NOT late) OVER (PARTITION BY game_id) = players_in_game
                 THEN 'teardown' ELSE 'unlink' END END AS route
        FROM (SELECT *, code = 'ok' AND row_number() OVER (PARTITION BY login, code ORDER BY ts, request_id) > 1 AS late
-             FROM asked)""",
+             FROM asked)"""
+_LEAVE_VIEWS = dict(
     asked="""
         SELECT r.request_id, r.ts, r.login, a.game_id, a.players_in_game,
                CASE WHEN a.u_password IS NULL OR a.u_password <> r.pw THEN 'wrong_password'
@@ -443,6 +442,7 @@ oracle(
                          AND a.game_phase <> 11 THEN 'end_turn' ELSE 'ok' END AS code
         FROM requests r LEFT JOIN accounts a ON a.username = r.login WHERE r.kind = 'leave'""",
 )
+oracle("leave_route", _LEAVE, **_LEAVE_VIEWS)
 oracle(
     "attempt_cards",
     """SELECT h.username AS attempt_id, pos, h.card_id, CASE WHEN mine THEN id END AS id,
@@ -531,9 +531,7 @@ oracle(
                     WHEN a.game_id IS NOT NULL THEN 'seated' ELSE 'ok' END AS code
         FROM requests r LEFT JOIN accounts a ON a.username = r.login""",
 )
-oracle(
-    "join_games",
-    """SELECT request_id, login, game_id,
+_JOIN = """SELECT request_id, login, game_id,
          CASE WHEN code <> 'ok' OR sits THEN code WHEN has_seat THEN 'seated'
               WHEN again THEN 'deferred' ELSE 'full' END AS status_code,
          CASE WHEN code = 'wrong_password' THEN 'Wrong password'
@@ -544,7 +542,8 @@ oracle(
              FROM (SELECT *, coalesce(code = 'ok' AND NOT again AND row_number() OVER (
                           PARTITION BY game_id, code, again ORDER BY ts, request_id) <= free, false) AS sits
                    FROM (SELECT *, row_number() OVER (PARTITION BY login, code ORDER BY ts, request_id) > 1 AS again
-                         FROM asked)))""",
+                         FROM asked)))"""
+_JOIN_VIEWS = dict(
     room="""
         SELECT game_id, max(p_count) FILTER (WHERE next_player IS NULL) - count(*) AS free
         FROM players JOIN users USING (username) JOIN games USING (game_id) WHERE card_on_table IS NULL GROUP BY game_id""",
@@ -557,6 +556,7 @@ oracle(
         FROM orders LEFT JOIN accounts a ON a.username = 'u' || o_custkey
         LEFT JOIN games g ON g.game_id = o_custkey // 20 * 4 LEFT JOIN room ON room.game_id = g.game_id""",
 )
+oracle("join_games", _JOIN, **_JOIN_VIEWS)
 oracle(
     "claim_phase",
     """SELECT request_id, login,
@@ -575,6 +575,56 @@ oracle(
         FROM hands JOIN cards USING (card_id) JOIN card_type USING (id)""",
 )
 
+# --- tables after a batch ---
+oracle(
+    "draw_hands",
+    "SELECT card_id, username FROM hands UNION ALL SELECT card_id, login FROM drawn WHERE card_id IS NOT NULL",
+    drawn=_DRAW,
+    **_DRAW_VIEWS,
+)
+oracle(
+    "draw_turns",
+    """SELECT coalesce(next_turn, current_player) AS current_player
+       FROM turns LEFT JOIN (SELECT * FROM drawn WHERE next_turn IS NOT NULL) ON login = current_player""",
+    drawn=_DRAW,
+    **_DRAW_VIEWS,
+)
+oracle(
+    "discard_games",
+    """SELECT game_id, coalesce(p.card_id, card_on_table) AS card_on_table, game_phase
+       FROM games LEFT JOIN (SELECT * FROM placed WHERE status_code = 'ok') p ON p.card_id // 1000 = game_id""",
+    placed=_DISCARD,
+    **_DISCARD_VIEWS,
+)
+oracle(
+    "leave_players",
+    """SELECT username, CASE WHEN lag(username) OVER w IS NOT NULL THEN lag(username) OVER w
+                             WHEN NOT waiting THEN last_value(username) OVER (PARTITION BY game_id ORDER BY seat
+                               ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS next_player, game_id
+       FROM seats WHERE username NOT IN (SELECT login FROM gone WHERE route IS NOT NULL)
+       WINDOW w AS (PARTITION BY game_id ORDER BY seat)""",
+    gone=_LEAVE,
+    **_LEAVE_VIEWS,
+)
+oracle(
+    "join_players",
+    """SELECT username, CASE WHEN lag(username) OVER w IS NOT NULL THEN lag(username) OVER w
+                             WHEN NOT waiting OR (newcomers > 0 AND n >= wants) THEN final END AS next_player, game_id
+       FROM (SELECT *, count(*) OVER g AS n, sum(newcomer) OVER g AS newcomers, max(wants_) OVER g AS wants,
+                    arg_max(username, place) OVER g AS final
+             FROM chain WINDOW g AS (PARTITION BY game_id))
+       WINDOW w AS (PARTITION BY game_id ORDER BY place)""",
+    chain="""
+        SELECT username, game_id, seat AS place, 0 AS newcomer, waiting,
+               CASE WHEN seat = 1 THEN (SELECT p_count FROM users u WHERE u.username = seats.username) END AS wants_
+        FROM seats
+        UNION ALL SELECT login, game_id, 100 + row_number() OVER (PARTITION BY game_id ORDER BY o_orderdate, request_id), 1,
+               true, NULL
+        FROM joined JOIN orders ON o_orderkey = request_id WHERE status_code = 'ok'""",
+    joined=_JOIN,
+    **_JOIN_VIEWS,
+)
+
 # --- streaming ---
 oracle(
     "stream_last_activity",

@@ -535,19 +535,50 @@ def draw_cards(spark, d):
 
 
 @query
-def discard_cards(spark, d):
+def draw_hands(spark, d):
+    """All hands after the batch of takes."""
+    return turns.draw(roles.state(spark, d), _takes(spark, d), SEED)[1]["hands"]
+
+
+@query
+def draw_turns(spark, d):
+    """Who is on turn after the batch of takes."""
+    return turns.draw(roles.state(spark, d), _takes(spark, d), SEED)[1]["turns"]
+
+
+def _discard(spark, d):
     """Every request places the lowest card of the hand, or names the id after it."""
     state = roles.state(spark, d)
     lowest = state["hands"].groupBy(col("username").alias("login")).agg(F.min("card_id").alias("lowest"))
     asked = joins.lookup(_takes(spark, d), lowest, ["login"], "request_id")
     card = F.when(col("source") == "deck", col("lowest")).otherwise(col("lowest") + 1)
-    return turns.discard(state, asked.withColumn("card_id", card).drop("lowest", "source"))[0]
+    return turns.discard(state, asked.withColumn("card_id", card).drop("lowest", "source"))
+
+
+@query
+def discard_cards(spark, d):
+    return _discard(spark, d)[0]
+
+
+@query
+def discard_games(spark, d):
+    """All games with their table cards after the batch of places."""
+    return _discard(spark, d)[1]["games"]
+
+
+def _leaves(spark, d):
+    return roles.requests(spark, d).filter("kind = 'leave'").select("request_id", "ts", "login", "pw")
 
 
 @query
 def leave_route(spark, d):
-    asked = roles.requests(spark, d).filter("kind = 'leave'").select("request_id", "ts", "login", "pw")
-    return turns.leave_status(roles.state(spark, d), asked)
+    return turns.leave_status(roles.state(spark, d), _leaves(spark, d))
+
+
+@query
+def leave_players(spark, d):
+    """All seats after the batch of leaves."""
+    return turns.leave(roles.state(spark, d), _leaves(spark, d))[1]["players"].select("username", "next_player", "game_id")
 
 
 @query
@@ -642,14 +673,24 @@ def create_games(spark, d):
     return lobby.create_games(roles.state(spark, d), asked, roles.as_of(), SEED)[0]
 
 
-@query
-def join_games(spark, d):
+def _joins(spark, d):
     """Customers without a table ask for one; so do some who have one."""
     asked = schema.load(spark, d, "orders").selectExpr(
         "o_orderkey AS request_id", "o_orderdate AS ts", "concat('u', o_custkey) AS login",
         "md5(concat('pw:u', o_custkey)) AS pw", "o_custkey div 20 * 4 AS game_id",
     )
-    return lobby.join_games(roles.state(spark, d), asked, roles.as_of(), SEED)[0]
+    return lobby.join_games(roles.state(spark, d), asked, roles.as_of(), SEED)
+
+
+@query
+def join_games(spark, d):
+    return _joins(spark, d)[0]
+
+
+@query
+def join_players(spark, d):
+    """All seats after the batch of joins: rings of games that filled up are closed."""
+    return _joins(spark, d)[1]["players"].select("username", "next_player", "game_id")
 
 
 @query
