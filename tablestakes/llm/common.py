@@ -7,15 +7,33 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tablestakes.session import cut, scratch_dir
+from tablestakes.session import scratch_dir
 
 __all__ = ["column_bytes", "cut", "emit", "scratch_dir", "table", "utf8_length"]
 
+# Spark removes a query's shuffle files when it ends if this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # White space of the word pattern [^\x20\x09-\x0D]+ ; bytes.split() splits at exactly these.
 WHITE = b" \t\n\r\x0b\x0c"
 CONTINUATION = bytes(range(0x80, 0xC0))
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Write `df` once below the shared folder and go on from the files.
+
+    The files outlive executors, so nothing before them is ever computed again; the
+    shuffle files behind them are of no further use and are cleaned up at once.
+    """
+    spark, path = df.sparkSession, scratch_dir(df.sparkSession, "cut")
+    schema, before = df.schema, spark.conf.get(CLEANUP)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, quality_rules, token_counts, url_filter, warc
+from . import bpe, decontamination, language_id, line_dedup, ngram_join, quality_rules, token_counts, url_filter, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_pages(table(spark, sf_dir, "pages"), model)
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link(table(spark, sf_dir, "documents"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages")).drop("record_id")
 
@@ -42,4 +46,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_line_dedup, op5_language_id, op7_warc, op8_url_filter, op9_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_line_dedup, op5_language_id, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality_rules, op10_bpe)}
