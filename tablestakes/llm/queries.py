@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, ngram_join, quality_rules, token_counts, url_filter, warc
+from . import bpe, decontamination, language_id, line_dedup, ngram_join, quality_rules, suffix_dedup, token_counts, url_filter, warc
 from .common import table
 
 
@@ -17,6 +17,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -46,4 +50,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op4_line_dedup, op5_language_id, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality_rules, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality_rules, op10_bpe)}
