@@ -348,3 +348,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     return matrix.select("doc_id", "node", "n").join(named, F.col("node") == F.col("l_node"), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One document of each group of linked documents: that with the smallest doc_id.
+
+    Documents without n-grams and rows without doc_id stay. Repeated rows of the kept
+    doc_id all stay. The dropped ids are written first, so Spark sees their size before
+    it picks the join.
+    """
+    groups = link(docs, doc_id, text)
+    dropped = cut(groups.where("doc_id is not null and component_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("d_id")).distinct())
+    return docs.join(dropped, docs[doc_id] == dropped["d_id"], "left_anti")

@@ -37,7 +37,9 @@ WINDOW, ANCHOR = 200, 64
 # Text per shard; contexts of one anchor beyond which it is dealt by longer strings, in steps.
 SHARD_BYTES = 1 << 20
 MANY_CONTEXTS, STEP = 20_000, 16
-START_DEPTH = 7  # symbols of 9 bits in one word
+# Places of a shard are numbers of this many bits; two ranks and a place make one word.
+PLACE_BITS = 21
+PLACES = 1 << PLACE_BITS
 
 
 class Rolling:
@@ -93,57 +95,64 @@ class Shard:
     def __init__(self, contexts: list[bytes]):
         self.lengths = np.array([len(c) for c in contexts])
         self.starts = np.concatenate(([0], np.cumsum(self.lengths + 1)[:-1]))
-        size = int(self.starts[-1] + self.lengths[-1]) + 1
-        self.text = np.zeros(size + START_DEPTH, np.uint64)  # 0 parts contexts, bytes are 1 to 256
-        for start, context in zip(self.starts, contexts):
-            self.text[start : start + len(context)] = np.frombuffer(context, np.uint8)
-            self.text[start : start + len(context)] += np.uint64(1)
-        self.owner = np.repeat(np.arange(len(contexts)), self.lengths + 1)
         ends = self.starts + self.lengths
-        self.left = ends[self.owner] - np.arange(size)  # bytes to the end of the context
+        size = int(ends[-1]) + 1
+        if size > PLACES:
+            raise ValueError("a shard has at most 2^21 places")
+        self.text = np.zeros(size + WINDOW, np.uint16)  # 0 parts contexts, bytes are 1 to 256
+        self.text[:size] = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8)
+        self.text[:size] += 1
+        self.text[ends] = 0
+        self.left = (np.repeat(ends, self.lengths + 1) - np.arange(size)).astype(np.int32)  # bytes to the end of the context
         self.all = self._sort(size)  # the suffix array
         self.common = self._kasai(size)
         self.order = self.all[self.left[self.all] >= WINDOW]  # the windows in suffix order
 
     def _sort(self, size: int) -> np.ndarray:
         """Places in suffix order; a separator is less than all bytes, and separators differ by place."""
-        key, alive = np.zeros(size, np.uint64), np.ones(size, bool)
-        for k in range(START_DEPTH):
-            symbol = self.text[k : k + size]
-            key = (key << np.uint64(9)) | np.where(alive, symbol, np.uint64(0))
-            alive &= symbol > 0
-        rank = np.zeros(size, np.int64)
-        tied = self._refine(rank, np.arange(size), key, START_DEPTH)
-        depth = START_DEPTH
+        symbols = np.flatnonzero(np.bincount(self.text, minlength=257))
+        bits = int(len(symbols)).bit_length()
+        code = np.zeros(257, np.uint64)
+        code[symbols] = np.arange(len(symbols))  # the separator is symbol 0
+        coded = code[self.text]
+        depth = 2 * PLACE_BITS // bits
+        key = coded[:size].copy()
+        for k in range(1, depth):
+            key <<= np.uint64(bits)
+            key |= coded[k : k + size]
+        short = np.flatnonzero(self.left < depth)
+        beyond = (bits * (depth - self.left[short])).astype(np.uint64)
+        key[short] = key[short] >> beyond << beyond  # nothing after the separator counts
+        rank = np.zeros(size, np.uint64)
+        tied = self._refine(rank, np.arange(size), key, depth)
         while len(tied):
-            tied = self._refine(rank, tied, (rank[tied] << 32 | rank[tied + depth]).astype(np.uint64), 0)
+            tied = self._refine(rank, tied, rank[tied] << np.uint64(PLACE_BITS) | rank[tied + depth], 0)
             depth *= 2
         order = np.empty(size, np.int64)
-        order[rank] = np.arange(size)
+        order[rank.view(np.int64)] = np.arange(size)
         return order
 
     def _refine(self, rank: np.ndarray, places: np.ndarray, keys: np.ndarray, depth: int) -> np.ndarray:
         """Sorts tied places by their keys inside their groups, sets their ranks, returns those still tied.
 
-        A group's rank is the first place it takes in the order. Suffixes that end before
-        `depth` and are equal are told apart by their separators, that is by place.
+        Key and place are sorted as one number. A group's rank is the first place it takes
+        in the order. Suffixes that end before `depth` and are equal are told apart by
+        their separators, that is by place.
         """
-        order = np.argsort(keys)
-        places, keys = places[order], keys[order]
-        fresh = np.concatenate(([True], keys[1:] != keys[:-1]))
-        group = np.cumsum(fresh) - 1
-        ended = np.flatnonzero(self.left[places] < depth)
-        if len(ended):
-            at = ended[np.lexsort((places[ended], group[ended]))]
-            places[ended] = places[at]
-            fresh[ended] = True
-            group = np.cumsum(fresh) - 1
+        packed = np.sort(keys << np.uint64(PLACE_BITS) | places.view(np.uint64))
+        places, keys = (packed & np.uint64(PLACES - 1)).view(np.int64), packed >> np.uint64(PLACE_BITS)
+        fresh = np.empty(len(places), bool)
+        fresh[0] = True
+        np.not_equal(keys[1:], keys[:-1], out=fresh[1:])
+        if depth:
+            fresh |= self.left[places] < depth
         heads = np.flatnonzero(fresh)
+        sizes = np.diff(np.append(heads, len(places)))
         before = rank[places]
-        index = np.arange(len(places))
-        base = np.maximum.accumulate(np.where(np.concatenate(([True], before[1:] != before[:-1])), index, 0))
-        rank[places] = before + heads[group] - base
-        return places[np.diff(np.append(heads, len(places)))[group] > 1]
+        opens = np.flatnonzero(before[1:] != before[:-1]) + 1  # where an old group starts
+        base = np.repeat(np.concatenate(([0], opens)), np.diff(np.concatenate(([0], opens, [len(places)]))))
+        rank[places] = before + (np.repeat(heads, sizes) - base).astype(np.uint64)
+        return places[np.repeat(sizes > 1, sizes)]
 
     def _kasai(self, size: int) -> np.ndarray:
         """Common prefix of every suffix with the one before it in the order.
@@ -152,21 +161,26 @@ class Shard:
         are walked side by side, one place each per step.
         """
         before = np.empty(size, np.int64)
-        before[self.all[0]] = size  # beyond the text: a separator
+        before[self.all[0]] = size - 1  # a separator: nothing in common
         before[self.all[1:]] = self.all[:-1]
+        eights = ((self.text - 1) & 0xFF).astype(np.uint64)  # eight bytes at a time; room keeps separators out
+        for width in (1, 2, 4):
+            eights[:-width] = eights[:-width] << np.uint64(8 * width) | eights[width:]
         common = np.zeros(size, np.int64)
         held = np.zeros(len(self.starts), np.int64)
+        starts = self.starts
         for step in range(int(self.lengths.max())):
             lane = np.flatnonzero(self.lengths > step)
             held[lane] = np.maximum(held[lane] - 1, 0)
-            active = lane
-            while len(active):
-                here = self.starts[active] + step
-                h = held[active]
-                symbol = self.text[here + h]
-                active = active[(symbol > 0) & (symbol == self.text[before[here] + h])]
-                held[active] += 1
-            common[self.starts[lane] + step] = held[lane]
+            for width, words in ((8, eights), (1, self.text)):
+                active, here = lane, starts[lane] + step
+                other, h = before[here], held[lane]
+                while len(active):
+                    room = np.minimum(self.left[here], self.left[other]) - h >= width
+                    on = np.flatnonzero(room & (words[here + h] == words[other + h]))
+                    active, here, other, h = active[on], here[on], other[on], h[on] + width
+                    held[active] = h
+            common[starts[lane] + step] = held[lane]
         return common
 
     def repeats(self) -> np.ndarray:
