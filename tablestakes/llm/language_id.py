@@ -83,56 +83,49 @@ def text_scores(text: bytes, model: np.ndarray) -> np.ndarray:
     return scores - scores.max()
 
 
-def _posterior(scores: list[Column]) -> list[Column]:
-    peak = F.greatest(*scores)
-    weights = [F.exp(s - peak) for s in scores]
-    total = weights[0]
-    for w in weights[1:]:
-        total = total + w
-    return [w / total for w in weights]
+def posterior(scores: np.ndarray) -> np.ndarray:
+    """Rows of log scores as rows of probabilities."""
+    weights = np.exp(scores - scores.max(axis=1, keepdims=True))
+    return weights / weights.sum(axis=1, keepdims=True)
+
+
+def _matrix(batch: pa.RecordBatch, prefix: str) -> np.ndarray:
+    """Columns <prefix>_<language> as rows; null is 0."""
+    return np.stack([batch.column(f"{prefix}_{x}").fill_null(0.0).to_numpy(zero_copy_only=False) for x in LANGUAGES], axis=1)
+
+
+def _columns(prefix: str) -> str:
+    return ", ".join(f"{prefix}_{x} double" for x in LANGUAGES)
 
 
 def scored(rows: DataFrame, text: str, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns `keep` and t_<language>, the text-only log-likelihoods."""
+    """Columns `keep`, has_text, t_<language> (text-only log-likelihood) and p_<language> (its posterior, 0 without letters)."""
     picked = rows.select(*keep, F.col(text).alias("text"))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [text_scores(t, sent.value) for t in column_bytes(batch, "text")]
-            out = batch.drop_columns(["text"])
-            for i, language in enumerate(LANGUAGES):
-                out = out.append_column(f"t_{language}", pa.array([s[i] for s in scores], pa.float64()))
+            scores = np.array([text_scores(t, sent.value) for t in column_bytes(batch, "text")]).reshape(-1, len(LANGUAGES))
+            has_text = scores.any(axis=1)
+            shares = np.where(has_text[:, None], posterior(scores), 0.0) if len(scores) else scores
+            out = batch.drop_columns(["text"]).append_column("has_text", pa.array(has_text))
+            for prefix, values in (("t", scores), ("p", shares)):
+                for i, language in enumerate(LANGUAGES):
+                    out = out.append_column(f"{prefix}_{language}", pa.array(values[:, i], pa.float64()))
             yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, fields + "".join(f", t_{x} double" for x in LANGUAGES))
-
-
-def _shares(sums: list[Column], weight: float, towards: list[Column]) -> list[Column]:
-    """Sums shrunk towards other shares with a pseudo-count."""
-    total = sums[0]
-    for s in sums[1:]:
-        total = total + s
-    return [(s + F.lit(weight) * p) / (total + F.lit(weight)) for s, p in zip(sums, towards)]
+    return picked.mapInArrow(run, f"{fields}, has_text boolean, {_columns('t')}, {_columns('p')}")
 
 
-def _declared(column: str, counts: DataFrame) -> list[Column]:
-    """Log-likelihood ratio of the declared value for each language, from smoothed counts.
+def _declared(counts: DataFrame) -> dict[str, list[float]]:
+    """Log P(declared value | language) by value, from smoothed counts.
 
-    P(declared | language) over the four languages and "other"; no declaration is no
-    evidence. `counts` has at most as many rows as there are languages plus one.
+    The values are the languages and `other`, so there are at most five rows.
     """
-    table = {r[column]: [r[f"p_{x}"] or 0.0 for x in LANGUAGES] for r in counts.collect()}
-    totals = [sum(v[i] for v in table.values()) for i in range(len(LANGUAGES))]
-    scores = []
-    for i in range(len(LANGUAGES)):
-        score = F.lit(0.0)
-        for value, sums in sorted(table.items()):
-            p = (sums[i] + 1.0) / (totals[i] + len(LANGUAGES) + 1.0)
-            score = F.when(F.col(column) == value, F.lit(float(np.log(p)))).otherwise(score)
-        scores.append(score)
-    return scores
+    table = {r[0]: [r[f"p_{x}"] or 0.0 for x in LANGUAGES] for r in counts.collect()}
+    totals = np.sum(list(table.values()), axis=0) if table else np.zeros(len(LANGUAGES))
+    return {v: np.log((np.array(sums) + 1.0) / (totals + len(LANGUAGES) + 1.0)).tolist() for v, sums in table.items()}
 
 
 def _code(value: Column) -> Column:
@@ -142,46 +135,53 @@ def _code(value: Column) -> Column:
 
 
 def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host: Column, domain: Column, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns `keep`, host, declared, suffix, text_lang, lang, posterior, has_text; one row per row.
+    """Columns `keep`, host, declared, suffix, has_text, text_lang, lang, posterior; one row per row.
 
     Ties go to the first of LANGUAGES by name. Without letters the other evidence
     decides; without any evidence the prior of all rows does. A null host is no
     evidence. Scores (no texts) are written once below the shared folder.
     """
     named = rows.select(*keep, F.col(text).alias("_text"), _code(declared).alias("declared"), _code(suffix).alias("suffix"), host.alias("host"), domain.alias("domain"))
-    base = scored(named, "_text", model, [*keep, "declared", "suffix", "host", "domain"])
-    raw = [F.col(f"t_{x}") for x in LANGUAGES]
-    with_text = F.least(*raw) < 0
-    posterior = [F.when(with_text, p).otherwise(0.0).alias(f"p_{x}") for p, x in zip(_posterior(raw), LANGUAGES)]
-    base = cut(base.select("*", with_text.alias("has_text"), *posterior))
-    own = [F.col(f"p_{x}") for x in LANGUAGES]
+    base = cut(scored(named, "_text", model, [*keep, "declared", "suffix", "host", "domain"]))
     sums = [F.sum(f"p_{x}").alias(f"p_{x}") for x in LANGUAGES]
-
-    everything = base.agg(*sums).first()
-    total = sum(v or 0.0 for v in everything)
-    prior = [F.lit(((v or 0.0) + 1.0) / (total + len(LANGUAGES))) for v in everything]
+    everything = np.array([v or 0.0 for v in base.agg(*sums).first()])
+    prior = (everything + 1.0) / (everything.sum() + len(LANGUAGES))
+    markup = _declared(base.where("declared is not null").groupBy("declared").agg(*sums))
+    address = _declared(base.where("suffix is not null").groupBy("suffix").agg(*sums))
     by_host = cut(base.where("host is not null").groupBy("host", "domain").agg(*[s.alias(f"h_{x}") for s, x in zip(sums, LANGUAGES)]))
     by_domain = cut(by_host.groupBy("domain").agg(*[F.sum(f"h_{x}").alias(f"d_{x}") for x in LANGUAGES]))
-    markup = _declared("declared", base.where("declared is not null").groupBy("declared").agg(*sums))
-    address = _declared("suffix", base.where("suffix is not null").groupBy("suffix").agg(*sums))
-
     at_host = by_host.withColumnsRenamed({"host": "_h", "domain": "_hd"})
     at_domain = by_domain.withColumnRenamed("domain", "_d")
-    joined = base.join(at_host, (F.col("host") == F.col("_h")) & F.col("domain").eqNullSafe(F.col("_hd")), "left").join(at_domain, F.col("domain") == F.col("_d"), "left")
-    rest = lambda c, p: F.greatest(F.coalesce(F.col(c), F.lit(0.0)) - F.when(F.col("host").isNotNull(), p).otherwise(0.0), F.lit(0.0))
-    domain_share = _shares([rest(f"d_{x}", p) for x, p in zip(LANGUAGES, own)], DOMAIN_WEIGHT, prior)
-    host_share = _shares([rest(f"h_{x}", p) for x, p in zip(LANGUAGES, own)], HOST_WEIGHT, domain_share)
-    fused = [t + m + a + F.log(s) for t, m, a, s in zip(raw, markup, address, host_share)]
-    final = joined.select("*", *[p.alias(f"f_{x}") for p, x in zip(_posterior(fused), LANGUAGES)])
-    return final.select(*keep, "host", "declared", "suffix", _best("t").alias("text_lang"), _best("f").alias("lang"), F.greatest(*[F.col(f"f_{x}") for x in LANGUAGES]).alias("posterior"), "has_text")
-
-
-def _best(kind: str) -> Column:
-    top = F.greatest(*[F.col(f"{kind}_{x}") for x in LANGUAGES])
-    best = F.lit(LANGUAGES[-1])
-    for language in reversed(LANGUAGES[:-1]):
-        best = F.when(F.col(f"{kind}_{language}") == top, F.lit(language)).otherwise(best)
-    return best
+    joined = (
+        base.join(at_host, (F.col("host") == F.col("_h")) & F.col("domain").eqNullSafe(F.col("_hd")), "left")
+        .join(at_domain, F.col("domain") == F.col("_d"), "left")
+        .drop("_h", "_hd", "_d")
+    )
+    shown = ["host", "declared", "suffix", "has_text"]
+
+    def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = np.array(LANGUAGES)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            text, own = _matrix(batch, "t"), _matrix(batch, "p")
+            own[batch.column("host").is_null().to_numpy(zero_copy_only=False)] = 0.0
+            towards = np.broadcast_to(prior, text.shape)
+            for prefix, weight in (("d", DOMAIN_WEIGHT), ("h", HOST_WEIGHT)):
+                others = np.maximum(_matrix(batch, prefix) - own, 0.0)  # a row is no evidence for itself
+                towards = (others + weight * towards) / (others.sum(axis=1, keepdims=True) + weight)
+            fused = text + np.log(towards)
+            for column, table in (("declared", markup), ("suffix", address)):
+                fused += np.array([table.get(v, [0.0] * len(LANGUAGES)) for v in batch.column(column).to_pylist()])
+            shares = posterior(fused)
+            out = batch.select([*keep, *shown])
+            out = out.append_column("text_lang", pa.array(names[text.argmax(axis=1)]))
+            out = out.append_column("lang", pa.array(names[shares.argmax(axis=1)]))
+            yield out.append_column("posterior", pa.array(shares.max(axis=1)))
+
+    kinds = dict(joined.dtypes)
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in [*keep, *shown])
+    return joined.mapInArrow(fuse, f"{fields}, text_lang string, lang string, posterior double")
 
 
 # ---- pages and documents -----------------------------------------------------------
