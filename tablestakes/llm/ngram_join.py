@@ -16,10 +16,12 @@ its own transpose holds every pair's overlap; it is never built. What is compute
 4. What is left is verified on whole sets.
 
 Large groups of near copies would still be all pairs. So nodes that share a minimum
-hash are first tied to one hub each, and blocks only count pairs across the
-groups so formed. Ties are verified like all other pairs; where one fails and its
-group falls apart, the pairs across the parts are counted in a second turn. Every pair
-of nodes is thus verified, below its bound, or inside one component already.
+hash are first tied to one hub each, and the blocks of step 3 only count pairs across
+the groups so formed. Ties are verified like all other pairs. Where some fail and a
+group falls apart, its parts are multiplied on whole sets, in blocks of bounded numbers
+of nodes, and one link per pair of parts is kept: pairs stay inside a product and never
+become rows. Every pair of nodes is thus verified, below its bound, or inside one
+component already.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ WORDS, PERCENT = 5, 80
 # Documents sampled for the order of n-grams, how many must hold one to put it last, and how many are.
 ORDER_SAMPLE, ORDER_COUNT, ORDER_MOST = 8_000, 4, 65_536
 HUBS = 3
+# Nodes per block, and columns per step, of the products inside a group of near copies.
+BLOCK, COLUMNS = 512, 4_096
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15
@@ -261,11 +265,8 @@ def hub_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs whose whole sets are similar enough.
-
-    The sets are made anew from the texts of the nodes' first documents, once each.
-    """
+def sets_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
+    """(node, members) of the nodes in `pairs`: whole sets, made anew from one text of each node."""
     named = pairs.select("a").unionByName(pairs.select("b").withColumnRenamed("b", "a")).distinct()
     wanted = cut(nodes.join(named, F.col("node") == F.col("a"), "left_semi").select("node", F.col("rep_doc").alias("w_doc"), F.col("rep_hash").alias("w_text")))
 
@@ -276,7 +277,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, pe
             yield pa.RecordBatch.from_arrays([batch.column("node"), found], names=["node", "members"])
 
     same = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("hash") == F.col("w_text"))
-    members = cut(rows.join(wanted, same).select("node", "text").mapInArrow(sets, "node long, members binary"))
+    return cut(rows.join(wanted, same).select("node", "text").mapInArrow(sets, "node long, members binary"))
+
+
+def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose whole sets are similar enough."""
     left = members.select(F.col("node").alias("a_node"), F.col("members").alias("left"))
     right = members.select(F.col("node").alias("b_node"), F.col("members").alias("right"))
 
@@ -293,6 +298,69 @@ def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int, pe
     return met.mapInArrow(check, "a long, b long")
 
 
+def product(sets: list[np.ndarray]) -> np.ndarray:
+    """Overlaps of all pairs of a block of sets: its incidence matrix times its transpose, by columns shared."""
+    grams = np.concatenate(sets)
+    rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    order = np.argsort(grams, kind="stable")
+    grams, rows = grams[order], rows[order]
+    column = np.cumsum(np.concatenate(([0], (grams[1:] != grams[:-1]).astype(np.int64))))
+    shared = np.bincount(column)[column] > 1
+    rows, column = rows[shared], column[shared]
+    column = np.cumsum(np.concatenate(([0], (column[1:] != column[:-1]).astype(np.int64)))) if len(column) else column
+    total = np.zeros((len(sets), len(sets)), np.float32)
+    for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, (at, at + COLUMNS)))
+        block = np.zeros((len(sets), COLUMNS), np.float32)
+        block[rows[part], column[part] - at] = 1
+        total += block @ block.T
+    return total
+
+
+def links_across(parts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Links between the parts of each tied group, from whole sets: one per pair of parts and block.
+
+    `parts`: node, tie, part. A group's nodes are dealt to blocks of about BLOCK nodes, and
+    every pair of its blocks is one product of bounded size.
+    """
+    blocks = parts.groupBy("tie").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("tie", "t_tie")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = (
+        parts.join(blocks, F.col("tie") == F.col("t_tie"))
+        .join(members.withColumnRenamed("node", "m_node"), F.col("node") == F.col("m_node"))
+        .select("tie", "node", "part", "members", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("tie", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "node", "part", "members")
+    )
+
+    def linked(group: list[tuple]) -> Iterator[tuple]:
+        node, part = (np.array([g[c] for g in group]) for c in (0, 1))
+        if len(group) < 2 or (part == part[0]).all():
+            return
+        sets = [np.frombuffer(g[2], np.uint64) for g in group]
+        sizes = np.array([len(s) for s in sets])
+        near = product(sets) >= least_overlap(sizes[:, None], sizes[None, :], percent)
+        a, b = np.nonzero(np.triu(near & (part[:, None] != part[None, :]), 1))
+        _, first = np.unique(np.stack((np.minimum(part[a], part[b]), np.maximum(part[a], part[b])), axis=1), axis=0, return_index=True)
+        for at in first:
+            yield int(node[a[at]]), int(node[b[at]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def results() -> Iterator[tuple]:
+            key, group = None, []
+            for batch in batches:
+                columns = [batch.column(c).to_pylist() for c in ("tie", "i", "k", "node", "part", "members")]
+                for tie, i, k, *rest in zip(*columns):
+                    if (tie, i, k) != key:
+                        yield from linked(group)
+                        key, group = (tie, i, k), []
+                    group.append(rest)
+            yield from linked(group)
+
+        yield from emit(results(), pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return dealt.repartition("tie", "i", "k").sortWithinPartitions("tie", "i", "k").mapInArrow(run, "a long, b long")
+
+
 def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id of every document.
 
@@ -322,22 +390,19 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     hubs = cut(hub_pairs(nodes))
     tied = components(hubs).withColumnRenamed("component", "part")
     pairs = cut(hubs.unionByName(shared_pairs(entries, tied, percent)).distinct())
-    links = cut(verified(pairs, nodes, rows, words, percent))
+    members = sets_of(pairs, nodes, rows, words)
+    links = cut(verified(pairs, members, percent))
     found = components(links)
 
-    # Groups whose ties did not all hold: count the pairs across their parts too.
-    now = tied.join(found.withColumnsRenamed({"node": "f_node"}), F.col("node") == F.col("f_node"), "left").select(
-        "node", F.col("part").alias("tie"), F.coalesce("component", "node").alias("part")
+    # Groups whose ties did not all hold: look across their parts too.
+    now = cut(
+        tied.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").select(
+            "node", F.col("part").alias("tie"), F.coalesce("component", "node").alias("part")
+        )
     )
-    now = cut(now)
     broken = now.groupBy("tie").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("tie").alias("b_tie"))
     broken = cut(now.join(broken, F.col("tie") == F.col("b_tie"), "left_semi"))
-    if not broken.isEmpty():
-        some = entries.join(broken.select(F.col("node").alias("k_node")), F.col("node") == F.col("k_node"), "left_semi")
-        again = shared_pairs(some, broken.select("node", "part"), percent)
-        again = cut(again.join(pairs.withColumnsRenamed({"a": "pa", "b": "pb"}), (F.col("a") == F.col("pa")) & (F.col("b") == F.col("pb")), "left_anti"))
-        links = links.unionByName(cut(verified(again, nodes, rows, words, percent)))
-        found = components(links)
+    found = components(links.unionByName(cut(links_across(broken, members, percent))))
 
     labelled = nodes.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").select(
         "node", "first_doc", F.coalesce("component", "node").alias("component")
