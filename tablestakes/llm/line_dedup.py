@@ -11,7 +11,7 @@ than once anywhere lose all occurrences but the first (smallest doc_id, then pla
    bytes; every occurrence is compared with the first one's bytes.
 4. Documents meet their confirmed digests and drop those chunks.
 
-Documents are shuffled by key once: steps 3 and 4 use the same exchange.
+Texts are shuffled by key in step 3 and again, inside their rows, in step 4.
 """
 
 from __future__ import annotations
@@ -111,9 +111,9 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     )
     inside = lists.select("id", "hash", F.explode("digests").alias("d")).select("id", "hash", "d.digest", "d.first").where("first")
     verdicts = confirmed.unionByName(inside).groupBy("id", "hash").agg(F.collect_set(F.struct("digest", "first")).alias("digests"))
-    joined = _meet(keyed, verdicts, "left")
+    joined = _meet(keyed.select("id", "hash", "row"), verdicts, "left")
     kind = docs.schema.simpleString()
-    return joined.select("row", F.col("text"), F.col("digests")).mapInArrow(
+    return joined.select("row", F.col("row").getField(text).alias("text"), "digests").mapInArrow(
         _stripped, f"row {kind}, n_lines long, n_removed_lines long, n_removed_chunks long, kept string"
     )
 

@@ -399,7 +399,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     runs = cut(repeated_runs(keyed.select("id", "key", "text")).groupBy("id", "key").agg(F.collect_list(F.struct("start", "end")).alias("runs")))
     runs = runs.withColumnsRenamed({"id": "r_id", "key": "r_key"})
     same = (F.col("key") == F.col("r_key")) & F.col("id").eqNullSafe(F.col("r_id"))
-    return keyed.join(runs, same, "left").select("row", "text", "runs").mapInArrow(
+    met = keyed.select("id", "key", "row").join(runs, same, "left")
+    return met.select("row", F.col("row").getField(text).alias("text"), "runs").mapInArrow(
         _removed, f"row {docs.schema.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary"
     )
 
