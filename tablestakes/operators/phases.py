@@ -72,18 +72,20 @@ def verdicts(rows: DataFrame) -> DataFrame:
     map-side and stay in the hash aggregate. The rules then are a row-local
     expression over at most nine numbers; the first failing position names the
     refusal. Result: (attempt_id, phase, distinct_cards, fail_pos, message);
-    fail_pos 0 is the distinct-count refusal, NULL means accepted.
+    fail_pos 0 refuses a wrong number of cards (too few different ones, or a list
+    longer than the phase), NULL means accepted.
     """
     color_no = F.array_position(F.array(*map(F.lit, PALETTE)), F.col("color")) - 1
     packed = (F.col("id") * 1000 + F.col("rank") * 10 + color_no).cast("bigint")
     slots = [F.max(F.when(F.col("pos") == k, packed)).alias(f"s{k}") for k in range(1, MAX_CLAIM + 1)]
-    claims = rows.groupBy("attempt_id", "phase").agg(*slots)
+    claims = rows.groupBy("attempt_id", "phase").agg(*slots, F.max("pos").alias("longest"))
     ruled = (
         claims.withColumn("rule", _rules_of("phase"))
         .filter(F.col("rule").isNotNull())
-        .select("attempt_id", "phase", "rule.*", *[f"s{k}" for k in range(1, MAX_CLAIM + 1)])
+        .select("attempt_id", "phase", "longest", "rule.*", *[f"s{k}" for k in range(1, MAX_CLAIM + 1)])
         .withColumn("c", F.slice(F.array(*[f"s{k}" for k in range(1, MAX_CLAIM + 1)]), F.lit(1), F.col("n")))
     )
+    wrong = (F.col("distinct_cards") != F.col("n")) | (F.col("longest") > F.col("n"))
     blue = len(PALETTE) - 1
     rank, color = "((c[k - 1] div 10) % 100)", "(c[k - 1] % 10)"
     base_rank, base_color = rank.replace("k - 1", "starts[k - 1] - 1"), color.replace("k - 1", "starts[k - 1] - 1")
@@ -102,8 +104,8 @@ def verdicts(rows: DataFrame) -> DataFrame:
             "attempt_id",
             "phase",
             F.col("distinct_cards").cast("bigint").alias("distinct_cards"),
-            F.when(F.col("distinct_cards") != F.col("n"), 0).otherwise(F.col("failed")).cast("int").alias("fail_pos"),
-            F.when(F.col("distinct_cards") != F.col("n"), WRONG_CARDS)
+            F.when(wrong, 0).otherwise(F.col("failed")).cast("int").alias("fail_pos"),
+            F.when(wrong, WRONG_CARDS)
             .when(F.col("failed").isNotNull(), F.expr("texts[failed - 1]"))
             .otherwise(ACCEPTED)
             .alias("message"),

@@ -82,7 +82,7 @@ VIEWS = {
                CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS delta,
                event_type = 'purchase' AS fresh
         FROM events""",
-    "claim_cards": """
+    "order_cards": """
         SELECT attempt_id, pos, id, rank,
                CASE WHEN rank >= 13 THEN 'blue'
                     ELSE ['green','yellow','red','purple'][l_suppkey % 4 + 1] END AS color
@@ -91,8 +91,8 @@ VIEWS = {
                                         l_extendedprice, l_shipdate)::INT AS pos,
                      (CASE WHEN l_quantity::INT % 5 = 0 THEN 13 WHEN l_quantity::INT = 49 THEN 14
                            ELSE 1 + l_partkey % 3 END)::INT AS rank
-              FROM lineitem)
-        WHERE pos <= 9""",
+              FROM lineitem)""",
+    "claim_sizes": "SELECT phase, max(n) AS n FROM rules GROUP BY phase",
     # one row per user: account, seat, table and hand
     "accounts": """
         SELECT u.username, u.u_password, p.game_id, p.next_player, g.game_phase, g.card_on_table,

@@ -213,7 +213,7 @@ oracle(
 )
 oracle(
     "distinct_in_attempt",
-    "SELECT attempt_id, count(*) AS cards, count(DISTINCT id) AS distinct_cards FROM claim_cards GROUP BY attempt_id",
+    "SELECT attempt_id, count(*) AS cards, count(DISTINCT id) AS distinct_cards FROM order_cards GROUP BY attempt_id",
 )
 oracle("cards_needed", "SELECT game_id, count(*) * 10 AS cards FROM players GROUP BY game_id")
 oracle(
@@ -459,15 +459,19 @@ def _verdict(name: str, phase: str) -> None:
     oracle(
         name,
         "SELECT attempt_id, phase, distinct_cards, fail_pos, message FROM verdicts",
-        claims=f"SELECT l_orderkey AS attempt_id, {phase} AS phase FROM (SELECT DISTINCT l_orderkey FROM lineitem)",
+        cut_cards=f"""
+            SELECT attempt_id || '-' || ((pos - 1) // n) AS attempt_id, phase, (pos - 1) % n + 1 AS pos, id, rank, color
+            FROM order_cards JOIN claim_sizes ON phase = {phase}""",
+        claims="SELECT DISTINCT attempt_id, phase FROM cut_cards",
+        claim_cards="SELECT attempt_id, pos, id, rank, color FROM cut_cards",
     )
 
 
 _verdict("phase_set_rule", "1")
 _verdict("phase_run_rule", "2")
 _verdict("phase_color_rule", "3")
-_verdict("phase_blocks", "[1, 6, 9, 10][l_orderkey % 4 + 1]")
-_verdict("phase_verdict", "1 + l_orderkey % 10")
+_verdict("phase_blocks", "[1, 6, 9, 10][attempt_id % 4 + 1]")
+_verdict("phase_verdict", "1 + attempt_id % 10")
 
 _GRANTED = """
     SELECT game_id, username FROM players JOIN turns ON username = current_player

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablestakes.sources.catalog import (
-    COLORS, DECK_SIZE, HAND_SIZE, MAX_CLAIM, card_catalog, card_key, nth_card_id,
+    COLORS, DECK_SIZE, HAND_SIZE, PHASES, card_catalog, card_key, claim_size, nth_card_id,
 )
 from tablestakes.sources.schema import load
 
@@ -158,12 +158,7 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cards of an order as the cards of one claim: its first MAX_CLAIM positions.
-
-    No phase asks for more cards than that. The bound is pushed below the
-    shuffle, so an order with any number of lines sends at most MAX_CLAIM rows
-    per map task.
-    """
+    """All cards of every order, numbered; `cut_claims` makes claims of them."""
     order = W.partitionBy("attempt_id").orderBy(
         "l_linenumber", "id", "l_suppkey", "l_extendedprice", "l_shipdate"
     )
@@ -175,7 +170,6 @@ def claim_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
             "l_extendedprice", "l_shipdate", "cast(l_quantity as int) AS qty",
         )
         .withColumn("pos", F.row_number().over(order))
-        .filter(F.col("pos") <= MAX_CLAIM)
         .withColumn(
             "rank",
             F.expr("cast(CASE WHEN qty % 5 = 0 THEN 13 WHEN qty = 49 THEN 14 ELSE 1 + id % 3 END as int)"),
@@ -193,6 +187,26 @@ def claim_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def cut_claims(cards: DataFrame, phase: str) -> DataFrame:
+    """Consecutive claims of as many cards as the phase asks for: every card is in exactly one.
+
+    A claim is named `<order>-<number>`; the last one of an order may be short, and is refused.
+    """
+    sizes = F.create_map(*[F.lit(x) for p in PHASES for x in (p, claim_size(p))])
+    return (
+        cards.withColumn("phase", F.expr(phase).cast("int"))
+        .withColumn("n", sizes[F.col("phase")])
+        .select(
+            F.concat_ws("-", "attempt_id", F.expr("(pos - 1) div n")).alias("attempt_id"),
+            "phase",
+            F.expr("cast((pos - 1) % n + 1 as int)").alias("pos"),
+            "id",
+            "rank",
+            "color",
+        )
+    )
+
+
 def state(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """All eight game tables."""
     return {
