@@ -119,7 +119,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
 
 
 def _meet(keyed: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
-    lists = lists.withColumnsRenamed({"id": "l_id", "hash": "l_hash"})
+    # One plan at every size: these lists grow with the documents, so they are never broadcast.
+    lists = lists.withColumnsRenamed({"id": "l_id", "hash": "l_hash"}).hint("merge")
     return keyed.join(lists, (F.col("hash") == F.col("l_hash")) & F.col("id").eqNullSafe(F.col("l_id")), how)
 
 

@@ -284,7 +284,7 @@ def sets_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
             yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "half", "members"])
 
     same = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("hash") == F.col("w_text"))
-    return cut(rows.join(wanted, same).select("node", "text").mapInArrow(sets, "node long, size int, half binary, members binary"))
+    return cut(rows.join(wanted.hint("merge"), same).select("node", "text").mapInArrow(sets, "node long, size int, half binary, members binary"))
 
 
 def _passing(pairs: DataFrame, members: DataFrame, column: str, holds) -> DataFrame:
