@@ -18,8 +18,9 @@ its own transpose holds every pair's overlap; it is never built. What is compute
 Large groups of near copies would still be all pairs. So nodes that share a minimum
 hash are first tied to one hub each, and the blocks of step 3 only count pairs across
 the groups so formed. Ties are verified like all other pairs. Where some fail and a
-group falls apart, its parts are multiplied on whole sets, in blocks of bounded numbers
-of nodes, and one link per pair of parts is kept: pairs stay inside a product and never
+group falls apart, pairs across its parts are sought in blocks of bounded numbers of
+nodes: step 2 again, in the order by frequency inside the block, then whole sets
+multiplied. One link per pair of parts is kept: pairs stay inside a block and never
 become rows. Every pair of nodes is thus verified, below its bound, or inside one
 component already.
 """
@@ -41,8 +42,9 @@ WORDS, PERCENT = 5, 80
 # Documents sampled for the order of n-grams, how many must hold one to put it last, and how many are.
 ORDER_SAMPLE, ORDER_COUNT, ORDER_MOST = 8_000, 4, 65_536
 HUBS = 3
-# Nodes per block, and columns per step, of the products inside a group of near copies.
-BLOCK, COLUMNS = 2_048, 4_096
+# Nodes per block, and columns per step, of the products inside a group of near copies;
+# up to how many candidates per node they are compared pair by pair instead.
+BLOCK, COLUMNS, PAIRWISE = 2_048, 4_096, 16
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15
@@ -328,25 +330,86 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return _passing(cut(_passing(pairs, members, "half", possible)), members, "members", similar)
 
 
-def product(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlaps of all pairs of a block of sets: its incidence matrix times its transpose, by columns shared."""
+def incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Entries (row, column) of a block of sets, by column, and how many rows each column has."""
     grams = np.concatenate(sets)
     rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     order = np.argsort(grams, kind="stable")
     grams, rows = grams[order], rows[order]
     column = np.cumsum(np.concatenate(([0], (grams[1:] != grams[:-1]).astype(np.int64))))
-    shared = np.bincount(column)[column] > 1
-    rows, column = rows[shared], column[shared]
-    column = np.cumsum(np.concatenate(([0], (column[1:] != column[:-1]).astype(np.int64)))) if len(column) else column
-    total = np.zeros((len(sets), len(sets)), np.float32)
+    return rows, column, np.bincount(column)
+
+
+def candidates(rows: np.ndarray, column: np.ndarray, many: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of a block that share one of the rarest n - ceil(t n) + 1 n-grams of each, as a matrix.
+
+    The order is by rows of the column in this block, so n-grams of one row alone, which
+    no pair shares, fill these places first: sets that only share a common passage meet
+    nowhere. Where more pairs would be marked than there are, all count as candidates.
+    """
+    order = np.lexsort((column, many[column], rows))
+    first = np.cumsum(sizes) - sizes
+    at = np.arange(len(order)) - first[rows[order]]
+    picked = order[at < entered(sizes, percent)[rows[order]]]
+    picked = np.sort(picked[many[column[picked]] > 1])  # by column again
+    met = np.zeros((len(sizes), len(sizes)), bool)
+    if (np.bincount(column[picked]).astype(np.int64) ** 2).sum() > met.size:
+        return ~met  # a product costs less than telling which pairs meet
+    if len(picked):
+        for same in np.split(rows[picked], np.flatnonzero(np.diff(column[picked])) + 1):
+            if len(same) > 1:
+                met[same[:, None], same] = True
+    return met
+
+
+def product(rows: np.ndarray, column: np.ndarray, many: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Overlaps of the rows `left` with the rows `right`: one incidence matrix times the other's transpose."""
+    shared = many[column] > 1
+    rows, column = rows[shared], (np.cumsum(many > 1) - 1)[column[shared]]
+    place = np.full((2, int(max(side.max(initial=-1) for side in (left, right, rows))) + 1), -1)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    total = np.zeros((len(left), len(right)), np.float32)
     for at in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         part = slice(*np.searchsorted(column, (at, at + COLUMNS)))
-        block = np.zeros((len(sets), COLUMNS), np.float32)
-        block[rows[part], column[part] - at] = 1
-        total += block @ block.T
+        blocks = []
+        for side, count in ((0, len(left)), (1, len(right))):
+            own = place[side, rows[part]]
+            block = np.zeros((count, COLUMNS), np.float32)
+            block[own[own >= 0], column[part][own >= 0] - at] = 1
+            blocks.append(block)
+        total += blocks[0] @ blocks[1].T
     return total
 
 
+def near_pairs(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (a, b) of the similar pairs of a block that are in different parts.
+
+    Candidates are decided one by one, or where they are many by a product of the rows
+    concerned; both count whole sets.
+    """
+    sizes = np.array([len(s) for s in sets])
+    rows, column, many = incidence(sets)
+    met = candidates(rows, column, many, sizes, percent)
+    met &= part[:, None] != part[None, :]
+    met &= 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
+    a, b = np.nonzero(np.triu(met, 1))
+    if len(a) <= PAIRWISE * len(sets):
+        both = (np.sort(np.concatenate((sets[x], sets[y]))) for x, y in zip(a, b))
+        overlaps = np.array([int((s[1:] == s[:-1]).sum()) for s in both], np.int64)
+    else:
+        names, counts = np.unique(part, return_counts=True)
+        involved = np.zeros(len(sets), bool)
+        involved[a] = involved[b] = True
+        main = part == names[counts.argmax()]  # no pair lies inside it, so it is a right side only
+        left, right = np.flatnonzero(involved & ~main), np.flatnonzero(involved)
+        place = np.full((2, len(sets)), -1)
+        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+        a, b = np.where(main[a], b, a), np.where(main[a], a, b)
+        overlaps = product(rows, column, many, left, right)[place[0, a], place[1, b]]
+    near = overlaps >= least_overlap(sizes[a], sizes[b], percent)
+    return a[near], b[near]
+
+
 def links_across(parts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between the parts of each tied group, from whole sets: one per pair of parts and block.
 
@@ -367,9 +430,7 @@ def links_across(parts: DataFrame, members: DataFrame, percent: int) -> DataFram
         if len(group) < 2 or (part == part[0]).all():
             return
         sets = [np.frombuffer(g[2], np.uint64) for g in group]
-        sizes = np.array([len(s) for s in sets])
-        near = product(sets) >= least_overlap(sizes[:, None], sizes[None, :], percent)
-        a, b = np.nonzero(np.triu(near & (part[:, None] != part[None, :]), 1))
+        a, b = near_pairs(sets, part, percent)
         _, first = np.unique(np.stack((np.minimum(part[a], part[b]), np.maximum(part[a], part[b])), axis=1), axis=0, return_index=True)
         for at in first:
             yield int(node[a[at]]), int(node[b[at]])
