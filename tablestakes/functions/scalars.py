@@ -47,11 +47,11 @@ def seeded_hash(column: str, seed: int | str) -> Column:
 
 
 def fingerprint(columns: Sequence[str]) -> Column:
-    """md5 of a row; NULL and the text 'null' give different prints."""
-    parts = [
-        F.when(F.col(c).isNull(), F.lit("-")).otherwise(F.concat(F.lit("="), F.col(c).cast("string")))
-        for c in columns
-    ]
+    """md5 of a row; each value goes in behind its byte length, so different rows differ before hashing."""
+    parts = []
+    for c in columns:
+        value = F.col(c).cast("string")
+        parts.append(F.when(value.isNull(), F.lit("-")).otherwise(F.concat(F.octet_length(value), F.lit("="), value)))
     return F.md5(F.concat_ws("|", *parts))
 
 

@@ -319,8 +319,9 @@ oracle(
 )
 oracle(
     "state_fingerprint",
-    """SELECT username, md5('=' || username || '|=' || points || '|' || coalesce('=' || next_player, '-')
-                            || '|=' || game_id) AS fp FROM players""",
+    """SELECT username, md5(strlen(username) || '=' || username || '|' || strlen(points::VARCHAR) || '=' || points
+                            || '|' || coalesce(strlen(next_player) || '=' || next_player, '-')
+                            || '|' || strlen(game_id::VARCHAR) || '=' || game_id) AS fp FROM players""",
 )
 
 # --- composed operators ---
