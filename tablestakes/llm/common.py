@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from weakref import WeakKeyDictionary
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tablestakes.session import scratch_dir
 
-__all__ = ["column_bytes", "cut", "emit", "scratch_dir", "table", "utf8_length"]
+__all__ = ["column_bytes", "cut", "drop", "emit", "scratch_dir", "table", "utf8_length"]
 
 # Spark removes a query's shuffle files when it ends if this is set.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 # White space of the word pattern [^\x20\x09-\x0D]+ ; bytes.split() splits at exactly these.
 WHITE = b" \t\n\r\x0b\x0c"
 CONTINUATION = bytes(range(0x80, 0xC0))
+# Folders of the results of cut().
+WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -31,7 +34,21 @@ def cut(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    WRITTEN[out] = path
+    return out
+
+
+def drop(*results: DataFrame) -> None:
+    """Delete the files of results of cut() once all that was made of them is written too.
+
+    Other DataFrames are left alone.
+    """
+    for df in results:
+        if path := WRITTEN.pop(df, None):
+            context = df.sparkSession.sparkContext
+            folder = context._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

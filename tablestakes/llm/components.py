@@ -5,11 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, drop
 
 
-def _rounds_done(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+def _unfinished(edges: DataFrame) -> bool:
+    """Whether a node has two links (a, b), or hangs on a node that hangs on another."""
+    ends = edges.selectExpr("a AS v", "1 AS below", "0 AS above").unionByName(edges.selectExpr("b AS v", "0 AS below", "1 AS above"))
+    sums = ends.groupBy("v").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return sums.where("below > 1 or below = 1 and above = 1").count() > 0
 
 
 def _star(neighbours: DataFrame, larger_only: bool) -> DataFrame:
@@ -24,18 +27,16 @@ def _star(neighbours: DataFrame, larger_only: bool) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of the links (a, b); component is the least node.
 
-    Every round is two aggregates with map-side combine and two joins on the node, and
-    its links are written below the shared folder. The number of rounds grows with the
-    logarithm of the longest path.
+    `links` is read several times, so it should be written already. Every round is two
+    aggregates with map-side combine and two joins on the node, and its links are written
+    below the shared folder in place of those before. The rounds end when every node hangs
+    on one that hangs on none; their number grows with the logarithm of the longest path.
     """
-    edges = cut(
-        links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-    )
-    before = None
-    while (now := _rounds_done(edges)) != before:
-        before = now
+    edges = links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    while _unfinished(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _star(both, True).where("a <> b").distinct()
-        edges = cut(_star(large, False).where("a <> b").distinct())
+        large = _star(both, True).where("a <> b")
+        before, edges = edges, cut(_star(large, False).where("a <> b").distinct())
+        drop(before)
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, cut, emit, utf8_length
+from .common import column_bytes, cut, drop, emit, utf8_length
 
 # Rolling hash: multiplier and modulus; a chunk ends where it is 0 modulo DIVISOR.
 BASE, DIVISOR = 31, 4
@@ -98,6 +98,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         .agg(F.collect_set(F.struct("digest", "first")).alias("digests"))
     )
     lists = cut(lists)
+    drop(found)
     bytes_of = _meet(keyed.select("id", "hash", "text"), lists).mapInArrow(
         _chunk_bytes, "id long, hash long, digest long, first boolean, data binary"
     )

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes, cut, emit
+from .common import column_bytes, cut, drop, emit
 from .components import components
 
 WORDS, PERCENT = 5, 80
@@ -267,6 +267,13 @@ def hub_pairs(nodes: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
+def of_like_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs whose sizes (z_node, n) allow the wanted similarity."""
+    left, right = (sizes.select(F.col("z_node").alias(f"{c}_node"), F.col("n").alias(f"{c}_n")) for c in "ab")
+    met = pairs.join(left, F.col("a") == F.col("a_node")).join(right, F.col("b") == F.col("b_node"))
+    return met.where(100 * F.least("a_n", "b_n").cast("long") >= percent * F.greatest("a_n", "b_n").cast("long")).select("a", "b")
+
+
 def sets_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
     """(node, members) of the nodes in `pairs`: whole sets, made anew from one text of each node."""
     named = pairs.select("a").unionByName(pairs.select("b").withColumnRenamed("b", "a")).distinct()
@@ -286,7 +293,9 @@ def sets_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
             yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "half", "members"])
 
     same = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("hash") == F.col("w_text"))
-    return cut(rows.join(wanted.hint("merge"), same).select("node", "text").mapInArrow(sets, "node long, size int, half binary, members binary"))
+    found = cut(rows.join(wanted.hint("merge"), same).select("node", "text").mapInArrow(sets, "node long, size int, half binary, members binary"))
+    drop(wanted)
+    return found
 
 
 def _passing(pairs: DataFrame, members: DataFrame, column: str, holds) -> DataFrame:
@@ -327,7 +336,10 @@ def verified(pairs: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     def similar(x: np.ndarray, y: np.ndarray, m: int, n: int) -> bool:
         return overlap(x, y) >= least_overlap(m, n, percent)
 
-    return _passing(cut(_passing(pairs, members, "half", possible)), members, "members", similar)
+    left = cut(_passing(pairs, members, "half", possible))
+    links = cut(_passing(left, members, "members", similar))
+    drop(left)
+    return links
 
 
 def incidence(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -480,9 +492,12 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
 
     hubs = cut(hub_pairs(nodes))
     tied = components(hubs).withColumnRenamed("component", "part")
-    pairs = cut(hubs.unionByName(shared_pairs(entries, tied, percent)).distinct())
-    members = sets_of(pairs, nodes, rows, words)
-    links = cut(verified(pairs, members, percent))
+    shared = cut(shared_pairs(entries, tied, percent))
+    drop(entries)
+    members = sets_of(hubs.unionByName(shared), nodes, rows, words)
+    pairs = cut(of_like_size(hubs, sizes, percent).unionByName(shared).distinct())
+    links = verified(pairs, members, percent)
+    drop(hubs, shared, pairs)
     found = components(links)
 
     # Groups whose ties did not all hold: look across their parts too.
@@ -493,12 +508,15 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     )
     broken = now.groupBy("tie").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("tie").alias("b_tie"))
     broken = cut(now.join(broken, F.col("tie") == F.col("b_tie"), "left_semi"))
-    found = components(links.unionByName(cut(links_across(broken, members, percent))))
+    across = cut(links_across(broken, members, percent))
+    drop(now, broken, members)
+    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
 
     labelled = nodes.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").select(
         "node", "first_doc", F.coalesce("component", "node").alias("component")
     )
     labelled = cut(labelled)
+    drop(nodes, links, across)
     least = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id")).withColumnRenamed("component", "c")
     named = labelled.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("l_node"), "component_id")
     return matrix.select("doc_id", "node", "n").join(named, F.col("node") == F.col("l_node"), "left").select(
