@@ -497,7 +497,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     members = sets_of(hubs.unionByName(shared), nodes, rows, words)
     pairs = cut(of_like_size(hubs, sizes, percent).unionByName(shared).distinct())
     links = verified(pairs, members, percent)
-    drop(hubs, shared, pairs)
+    drop(shared, pairs)
     found = components(links)
 
     # Groups whose ties did not all hold: look across their parts too.
@@ -506,6 +506,7 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
             "node", F.col("part").alias("tie"), F.coalesce("component", "node").alias("part")
         )
     )
+    drop(hubs)  # `tied` may still have been read from them
     broken = now.groupBy("tie").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("tie").alias("b_tie"))
     broken = cut(now.join(broken, F.col("tie") == F.col("b_tie"), "left_semi"))
     across = cut(links_across(broken, members, percent))
