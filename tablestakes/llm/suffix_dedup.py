@@ -11,9 +11,11 @@
    Larsson-Sadakane refinement (prefix doubling that re-sorts only suffixes still tied)
    and common prefixes by Kasai's walk in text order. A window repeats if it shares 200
    bytes with a neighbour in the suffix array.
-3. Merging. Where one anchor's contexts fill more than one shard, the shards' sorted
-   windows are merged by binary search. Anchors with very many contexts are dealt by
-   longer strings inside the windows first, which parts them by content.
+3. Very many contexts. The contexts of an anchor that would not fit one shard are split
+   into their windows, which are dealt by 128-bit digest and counted as they pass. No
+   group of rows is held there, so an anchor may have any number of contexts.
+4. Merging. A route that still fills more than one shard has the shards' sorted windows
+   merged by binary search.
 
 Windows of contexts with a count above one repeat anyway. Runs go back to their
 documents by key; a document is the largest thing a task holds.
@@ -34,12 +36,13 @@ from .common import column_bytes, cut, emit
 from .ngram_join import BASE, _mixed
 
 WINDOW, ANCHOR = 200, 64
-# Text per shard; contexts of one anchor beyond which it is dealt by longer strings, in steps.
+# Text per shard of several routes.
 SHARD_BYTES = 1 << 20
-MANY_CONTEXTS, STEP = 20_000, 16
 # Places of a shard are numbers of this many bits; two ranks and a place make one word.
 PLACE_BITS = 21
 PLACES = 1 << PLACE_BITS
+# Contexts of one anchor beyond which it is split into windows: as many as surely fit one shard.
+MANY_CONTEXTS = PLACES // (2 * WINDOW - ANCHOR + 1)
 
 
 class Rolling:
@@ -220,14 +223,14 @@ def merge(shards: list[Shard], found: list[np.ndarray]) -> None:
 
 # ---- the job -----------------------------------------------------------------------
 
-ANCHORS = "id long, key long, lo int, hi int, at int, h long, c long"
+ANCHORS = "id long, key long, lo int, hi int, h long, c long"
 CONTEXTS = "route long, id long, key long, lo int, n long, data binary"
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rolling = Rolling(ANCHOR)
-    names = ["id", "key", "lo", "hi", "at", "h", "c"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+    names = ["id", "key", "lo", "hi", "h", "c"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
     for batch in batches:
         parts: list[list] = [[] for _ in names]
         ids = batch.column("id")
@@ -235,12 +238,12 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, text in enumerate(column_bytes(batch, "text")):
             if len(text) < WINDOW:
                 continue
-            lo, hi, at, h = anchors(text, rolling)
+            lo, hi, _, h = anchors(text, rolling)
             ends = (hi + WINDOW).tolist()
             c = [xxhash.xxh3_64_intdigest(text[a:b]) for a, b in zip(lo.tolist(), ends)]
             rows.append(row)
             counts.append(len(lo))
-            for part, column in zip(parts[2:], (lo, hi, at, h, np.array(c, np.uint64).view(np.int64))):
+            for part, column in zip(parts[2:], (lo, hi, h, np.array(c, np.uint64).view(np.int64))):
                 part.append(column)
         if not rows:
             continue
@@ -252,7 +255,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bytes of the wanted contexts; those of anchors with very many are parted by longer strings."""
+    """Bytes of the wanted contexts; those of anchors with very many become windows.
+
+    A window is dealt by one half of its digest and carries the other as `data`, which
+    is shorter than any context.
+    """
     schema = pa.schema([("route", pa.int64()), ("id", pa.int64()), ("key", pa.int64()), ("lo", pa.int32()), ("n", pa.int64()), ("data", pa.binary())])
 
     def rows(batch: pa.RecordBatch) -> Iterator[tuple]:
@@ -263,11 +270,9 @@ def _context_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if not w["many"]:
                     yield w["h"], i, key, lo, w["n"], text[lo : hi + WINDOW]
                     continue
-                for step in range((w["at"] - hi) // STEP, (w["at"] - lo) // STEP + 1):
-                    a, b = max(lo, w["at"] - step * STEP - STEP + 1), min(hi, w["at"] - step * STEP)
-                    core = text[w["at"] - step * STEP : w["at"] - step * STEP - STEP + 1 + WINDOW]
-                    route = xxhash.xxh3_64_intdigest(core, seed=step + 1)
-                    yield route - (1 << 64) if route >> 63 else route, i, key, a, w["n"], text[a : b + WINDOW]
+                for a in range(lo, hi + 1):
+                    digest = xxhash.xxh3_128_digest(text[a : a + WINDOW])
+                    yield int.from_bytes(digest[:8], signed=True), i, key, a, w["n"], digest[8:]
 
     for batch in batches:
         yield from emit(rows(batch), schema, 4096)
@@ -289,13 +294,19 @@ def _runs(rows: list[tuple], found: np.ndarray, shard: Shard) -> Iterator[tuple]
 
 
 def _shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Repeated runs of a partition sorted by route: shards end at route borders, or are merged."""
+    """Repeated runs of a partition sorted by route: shards end at route borders, or are merged.
+
+    A shard of several routes holds at most SHARD_BYTES. A route that will not fit with
+    those before it goes on alone, and into further shards at PLACES.
+    """
 
     def results() -> Iterator[tuple]:
         rows: list[tuple] = []
         data: list[bytes] = []
-        routes: list[int] = []
+        size = border = size_at_border = 0  # of the open shard; where its last route starts
+        running = None
         open_shards: list[tuple[list[tuple], Shard]] = []  # of the one route that fills more than a shard
+        windows: dict[bytes, tuple] = {}  # first row of each window of a route; n is above 1 once it is given out
 
         def close() -> Iterator[tuple]:
             shards = [s for _, s in open_shards]
@@ -306,23 +317,37 @@ def _shard_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from _runs(kept, marks, shard)
             open_shards.clear()
 
-        size = 0
+        def window(row: tuple, digest: bytes) -> Iterator[tuple]:
+            if digest not in windows:
+                windows[digest] = row
+                return
+            for i, key, lo, n in (windows[digest], row):
+                if n == 1:  # the others repeat as whole contexts
+                    yield i, key, lo, lo + WINDOW
+            windows[digest] = (*row[:3], 2)
+
         for batch in batches:
             columns = [batch.column(c).to_pylist() for c in ("route", "id", "key", "lo", "n", "data")]
             for route, i, key, lo, n, context in zip(*columns):
-                if size >= SHARD_BYTES and (route != routes[-1] or routes[0] == route):
-                    same = routes[0] == route
-                    open_shards.append((rows, Shard(data)))
-                    rows, data, routes, size = [], [], [], 0
-                    if not same:
+                if route != running:
+                    windows.clear()
+                    if open_shards:
+                        open_shards.append((rows, Shard(data)))
                         yield from close()
-                elif routes and open_shards and route != routes[-1]:
-                    open_shards.append((rows, Shard(data)))
-                    rows, data, routes, size = [], [], [], 0
+                        rows, data, size = [], [], 0
+                    running, border, size_at_border = route, len(rows), size
+                if len(context) < WINDOW:
+                    yield from window((i, key, lo, n), context)
+                    continue
+                if border and size + len(context) + 1 > SHARD_BYTES:
+                    open_shards.append((rows[:border], Shard(data[:border])))
                     yield from close()
+                    rows, data, size, border = rows[border:], data[border:], size - size_at_border, 0
+                if rows and size + len(context) + 1 > PLACES:
+                    open_shards.append((rows, Shard(data)))
+                    rows, data, size = [], [], 0
                 rows.append((i, key, lo, n))
                 data.append(context)
-                routes.append(route)
                 size += len(context) + 1
         if rows:
             open_shards.append((rows, Shard(data)))
@@ -361,7 +386,7 @@ def repeated_runs(keyed: DataFrame) -> DataFrame:
         found.groupBy("h", "c").agg(
             F.count(F.lit(1)).alias("n"),
             F.min("key").alias("key"),
-            *[F.min_by(c, "key").alias(c) for c in ("id", "lo", "hi", "at")],
+            *[F.min_by(c, "key").alias(c) for c in ("id", "lo", "hi")],
         )
     )
     several = contexts.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.min("n").alias("least")).where("kinds > 1 and least = 1")
@@ -369,7 +394,7 @@ def repeated_runs(keyed: DataFrame) -> DataFrame:
     wanted = (
         contexts.join(several, F.col("h") == F.col("s_h"))
         .groupBy("id", "key")
-        .agg(F.collect_list(F.struct("h", "n", "lo", "hi", "at", "many")).alias("wanted"))
+        .agg(F.collect_list(F.struct("h", "n", "lo", "hi", "many")).alias("wanted"))
         .withColumnsRenamed({"id": "w_id", "key": "w_key"})
     )
     same = (F.col("key") == F.col("w_key")) & F.col("id").eqNullSafe(F.col("w_id"))

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tablestakes.llm import (
@@ -108,6 +110,35 @@ def test_suffix_dedup_many_contexts_and_full_shards(spark, monkeypatch):
         same(suffix_dedup.report(frame), expected)
 
 
+def test_suffix_dedup_route_beyond_a_shard(monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 2048)
+    monkeypatch.setattr(suffix_dedup, "PLACE_BITS", 12)
+    monkeypatch.setattr(suffix_dedup, "PLACES", 1 << 12)
+    rng = random.Random(11)
+    word = lambda n: bytes(rng.choice(b"abcd ") for _ in range(n))
+    passage = word(210)
+    contexts = [(1, word(300))] + [(2, word(60) + passage) for _ in range(40)] + [(3, word(300)), (3, word(300))]
+    rows = [(route, k, k, 0, 1, data) for k, (route, data) in enumerate(contexts)]
+    names = ["route", "id", "key", "lo", "n", "data"]
+    batch = pa.RecordBatch.from_pydict({n: [r[c] for r in rows] for c, n in enumerate(names)})
+    found = [tuple(r.values()) for b in suffix_dedup._shard_runs(iter([batch])) for r in b.to_pylist()]
+    windows = lambda d: [d[p : p + 200] for p in range(len(d) - 199)]
+    counts = Counter((route, w) for route, d in contexts for w in windows(d))
+    hits = [(k, [p for p, w in enumerate(windows(d)) if counts[route, w] > 1]) for k, (route, d) in enumerate(contexts)]
+    assert sum(len(h) > 0 for _, h in hits) == 40 and sorted(found) == [(k, k, h[0], h[-1] + 200) for k, h in hits if h]
+
+
+def test_suffix_dedup_windows_of_very_many_contexts(spark, monkeypatch):
+    # A small route before a large one in the same partition, and windows counted across contexts of any count.
+    rng = random.Random(12)
+    word = lambda n: "".join(rng.choice("efgh ") for _ in range(n))
+    passage, period = word(230), word(7) * 60
+    rows = [(i, word(150) + passage + word(150)) for i in range(30)] + [(i, word(90) + period) for i in range(30, 34)]
+    rows += [(40, rows[0][1]), (None, rows[1][1]), (41, passage), (41, passage)]
+    monkeypatch.setattr(suffix_dedup, "MANY_CONTEXTS", 2)
+    same(suffix_dedup.report(spark.createDataFrame(rows, "doc_id long, text string")), brute.repeated_bytes(rows))
+
+
 def test_suffix_array_order():
     data = [b"banana" * 50, b"anana" * 60, bytes(range(256)) * 2]
     shard = suffix_dedup.Shard(data)
