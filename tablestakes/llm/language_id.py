@@ -32,6 +32,8 @@ SAMPLE_PER_LANGUAGE = 2_000
 HOST_WEIGHT, DOMAIN_WEIGHT = 10.0, 50.0
 # A document is rejected when no language reaches this posterior.
 MIN_POSTERIOR = 0.5
+# Share of rows taken beforehand to be in none of LANGUAGES: their trigrams are uniform over the buckets.
+OTHER_SHARE = 0.01
 
 # Bytes that count as letters: a-z (A-Z lower-cased) and the bytes of non-ASCII characters.
 LETTERS = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -74,13 +76,18 @@ def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language:
     return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
 
 
-def text_scores(text: bytes, model: np.ndarray) -> np.ndarray:
-    """Log-likelihood per language of one text; zeros (no evidence) without letters."""
+def text_scores(text: bytes, model: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Log-likelihood per language of one text, zeros (no evidence) without letters; whether another language is likelier.
+
+    The other language is a background class with uniform trigrams, against the best of LANGUAGES.
+    """
     found = trigrams(text)
     if not len(found):
-        return np.zeros(len(LANGUAGES))
-    scores = model.take(found, axis=1).mean(axis=1, dtype=np.float64) * min(len(found), EVIDENCE)
-    return scores - scores.max()
+        return np.zeros(len(LANGUAGES)), False
+    evidence = min(len(found), EVIDENCE)
+    scores = model.take(found, axis=1).mean(axis=1, dtype=np.float64) * evidence
+    other = np.log(OTHER_SHARE) - np.log(BUCKETS) * evidence
+    return scores - scores.max(), bool(other > scores.max() + np.log1p(-OTHER_SHARE))
 
 
 def posterior(scores: np.ndarray) -> np.ndarray:
@@ -99,23 +106,24 @@ def _columns(prefix: str) -> str:
 
 
 def scored(rows: DataFrame, text: str, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns `keep`, has_text, t_<language> (text-only log-likelihood) and p_<language> (its posterior, 0 without letters)."""
+    """Columns `keep`, has_text, other (text in another language), t_<language> (text-only log-likelihood) and p_<language> (its posterior, 0 without letters)."""
     picked = rows.select(*keep, F.col(text).alias("text"))
     sent = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.array([text_scores(t, sent.value) for t in column_bytes(batch, "text")]).reshape(-1, len(LANGUAGES))
+            judged = [text_scores(t, sent.value) for t in column_bytes(batch, "text")]
+            scores = np.array([s for s, _ in judged]).reshape(-1, len(LANGUAGES))
             has_text = scores.any(axis=1)
             shares = np.where(has_text[:, None], posterior(scores), 0.0) if len(scores) else scores
-            out = batch.drop_columns(["text"]).append_column("has_text", pa.array(has_text))
+            out = batch.drop_columns(["text"]).append_column("has_text", pa.array(has_text)).append_column("other", pa.array([o for _, o in judged], pa.bool_()))
             for prefix, values in (("t", scores), ("p", shares)):
                 for i, language in enumerate(LANGUAGES):
                     out = out.append_column(f"{prefix}_{language}", pa.array(values[:, i], pa.float64()))
             yield out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[:-1])
-    return picked.mapInArrow(run, f"{fields}, has_text boolean, {_columns('t')}, {_columns('p')}")
+    return picked.mapInArrow(run, f"{fields}, has_text boolean, other boolean, {_columns('t')}, {_columns('p')}")
 
 
 def _declared(counts: DataFrame) -> dict[str, list[float]]:
@@ -135,7 +143,7 @@ def _code(value: Column) -> Column:
 
 
 def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host: Column, domain: Column, model: np.ndarray, keep: list[str]) -> DataFrame:
-    """Columns `keep`, host, declared, suffix, has_text, text_lang, lang, posterior; one row per row.
+    """Columns `keep`, host, declared, suffix, has_text, other, text_lang, lang, posterior; one row per row.
 
     Ties go to the first of LANGUAGES by name. Without letters the other evidence
     decides; without any evidence the prior of all rows does. A null host is no
@@ -157,7 +165,7 @@ def identify(rows: DataFrame, text: str, declared: Column, suffix: Column, host:
         .join(at_domain, F.col("domain") == F.col("_d"), "left")
         .drop("_h", "_hd", "_d")
     )
-    shown = ["host", "declared", "suffix", "has_text"]
+    shown = ["host", "declared", "suffix", "has_text", "other"]
 
     def fuse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = np.array(LANGUAGES)
@@ -219,7 +227,7 @@ def identify_pages(pages: DataFrame, model: np.ndarray, page_id: str = "page_id"
 
 
 def keep_identified(docs: DataFrame, model: np.ndarray, min_posterior: float = MIN_POSTERIOR) -> DataFrame:
-    """The documents whose language is known: with letters, and one language at `min_posterior`.
+    """The documents whose language is known: with letters, likelier in one of LANGUAGES than in another, and one at `min_posterior`.
 
     Evidence: text, the declared `lang`, and `source` as the host. Rows with equal
     doc_id and text share their verdict. The rejected keys are written first, so
@@ -229,6 +237,6 @@ def keep_identified(docs: DataFrame, model: np.ndarray, min_posterior: float = M
     rows = docs.select(*key, F.col("text").alias("r_words"), F.col("lang").alias("r_lang"), F.col("source").alias("r_source"))
     none = F.lit(None).cast("string")
     found = identify(rows, "r_words", F.col("r_lang"), none, F.col("r_source"), none, model, ["r_id", "r_text"])
-    rejected = cut(found.where(~F.col("has_text") | (F.col("posterior") < min_posterior)).select("r_id", "r_text").distinct())
+    rejected = cut(found.where(~F.col("has_text") | F.col("other") | (F.col("posterior") < min_posterior)).select("r_id", "r_text").distinct())
     same = docs["doc_id"].eqNullSafe(rejected["r_id"]) & (F.xxhash64(docs["text"]) == rejected["r_text"])
     return docs.join(rejected, same, "left_anti")

@@ -255,6 +255,24 @@ def test_language_id(spark, sf_dir, pages):
     assert language_id.identify_pages(pages.where("1 = 0"), model).count() == 0
 
 
+def test_other_languages_and_letter_junk_are_rejected(spark, sf_dir):
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    rng = random.Random(4)
+    foreign = [
+        "Это предложение написано на русском языке и должно быть отклонено первой ступенью конвейера",
+        "这是一个用中文写的句子应该被第一阶段拒绝因为它不是四种语言之一",
+        "To zdanie jest napisane po polsku i powinno zostać odrzucone na pierwszym etapie, ponieważ nie jest jednym z czterech języków",
+        "asdf jkl; qwer uiop asdfjkl zxcv nm,. qwertz asdfgh hjkl yxcvbn asdf fdsa poiu rewq",
+    ] + ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(400)) for _ in range(20)]
+    source, kinds = documents.first().source, dict(documents.dtypes)
+    rows = [(-1 - k, t, "en", source) for k, t in enumerate(foreign)]
+    extra = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    extra = extra.select(*[(F.col(c) if c in extra.columns else F.lit(None)).cast(kinds[c]).alias(c) for c in documents.columns])
+    kept = language_id.keep_identified(documents.unionByName(extra), language_id.fit(documents))
+    assert kept.where("doc_id < 0").count() == 0
+    assert kept.count() >= 0.97 * documents.count()
+
+
 @pytest.mark.parametrize("chunk, overlap", [(bpe.CHUNK, bpe.OVERLAP), (50, 8)])
 def test_bpe(docs, rows, chunk, overlap):
     same(bpe.round_trip(docs, chunk=chunk, overlap=overlap), brute.bpe(rows))
