@@ -11,13 +11,18 @@ than once anywhere lose all occurrences but the first (smallest doc_id, then pla
    bytes; every occurrence is compared with the first one's bytes.
 4. Documents meet their confirmed digests and drop those chunks.
 
+`clean` compares runs instead of chunks: from every line the shortest run ahead and the
+shortest behind of at least 50 characters. Every line of a repeated run of at least 50
+characters lies in a repeated one of these, wherever the run starts and ends, so all its
+occurrences but the first go whole. `report` keeps the chunks that its SQL twin defines.
+
 Texts are shuffled by key in step 3 and again, inside their rows, in step 4.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,17 +60,51 @@ def candidates(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
                 yield start, end, int.from_bytes(hashlib.md5(data).digest()[:8], signed=True), data
 
 
-def strip(text: bytes, confirmed: set[int], first_here: set[int]) -> tuple[int, int, int, bytes]:
+def runs(text: bytes) -> Iterator[tuple[int, int, int, bytes]]:
+    """As `candidates`, of the shortest run of MIN_CHARS from every line, ahead and behind, by place."""
+    lines = text.split(b"\n")
+    lengths = [utf8_length(line) + 1 for line in lines]
+    found = set()
+    end, size = 0, -1  # characters of the joined lines start to end
+    for start in range(len(lines)):
+        while end < len(lines) and size < MIN_CHARS:
+            size += lengths[end]
+            end += 1
+        if size < MIN_CHARS:
+            break
+        found.add((start, end))
+        size -= lengths[start]
+    start, size = len(lines), -1
+    for end in range(len(lines), 0, -1):
+        while start and size < MIN_CHARS:
+            start -= 1
+            size += lengths[start]
+        if size < MIN_CHARS:
+            break
+        found.add((start, end))
+        size -= lengths[end - 1]
+    for start, end in sorted(found):
+        data = b"\n".join(lines[start:end])
+        yield start, end, int.from_bytes(hashlib.md5(data).digest()[:8], signed=True), data
+
+
+Finder = Callable[[bytes], Iterator[tuple[int, int, int, bytes]]]
+
+
+def strip(text: bytes, confirmed: set[int], first_here: set[int], find: Finder = candidates) -> tuple[int, int, int, bytes]:
     """n_lines, removed lines, removed chunks and the rest of one text.
 
     `confirmed`: digests whose first occurrence is elsewhere. `first_here`: digests whose
-    first occurrence is in this text; later ones here go if their bytes are equal.
+    first occurrence is in this text; later ones here go if their bytes are equal, but for
+    lines of the first that they overlap.
     """
     lines = text.split(b"\n")
     gone = bytearray(len(lines))
     removed, seen = 0, {}
-    for start, end, digest, data in candidates(text):
-        if digest in confirmed or (digest in first_here and seen.setdefault(digest, (start, data))[0] != start and seen[digest][1] == data):
+    for start, end, digest, data in find(text):
+        if digest in confirmed or (digest in first_here and seen.setdefault(digest, (start, data, end))[0] != start and seen[digest][1] == data):
+            if digest not in confirmed:
+                start = max(start, seen[digest][2])
             gone[start:end] = b"\1" * (end - start)
             removed += 1
     kept = text if not removed else b"\n".join(line for line, g in zip(lines, gone) if not g)
@@ -75,18 +114,18 @@ def strip(text: bytes, confirmed: set[int], first_here: set[int]) -> tuple[int,
 DIGESTS = "array<struct<digest:long,first:boolean>>"
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", find: Finder = candidates) -> DataFrame:
     """Struct `row` (all columns of `docs`) and n_lines, n_removed_lines, n_removed_chunks, kept (text).
 
     Null text is one empty line and stays null. Rows that share a doc_id count as one
     place: chunks whose smallest doc_id is theirs stay in all of them. Rows without
     doc_id come after all others; among themselves they all keep theirs. Columns of
-    any name pass through untouched inside `row`.
+    any name pass through untouched inside `row`. `find` names the parts that are compared.
     """
     keyed = docs.select(
         F.col(doc_id).cast("long").alias("id"), F.xxhash64(text).alias("hash"), F.col(text).alias("text"), F.struct("*").alias("row")
     )
-    found = cut(keyed.select("id", "hash", "text").mapInArrow(_digests, "id long, hash long, digest long, n long"))
+    found = cut(keyed.select("id", "hash", "text").mapInArrow(lambda b: _digests(b, find), "id long, hash long, digest long, n long"))
     repeated = (
         found.groupBy("digest").agg(F.min("id").alias("keeper"), F.sum("n").alias("total")).where("total > 1 and keeper is not null")
         .select(F.col("digest").alias("r_digest"), "keeper")
@@ -100,7 +139,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     lists = cut(lists)
     drop(found)
     bytes_of = _meet(keyed.select("id", "hash", "text"), lists).mapInArrow(
-        _chunk_bytes, "id long, hash long, digest long, first boolean, data binary"
+        lambda b: _chunk_bytes(b, find), "id long, hash long, digest long, first boolean, data binary"
     )
     firsts = (
         bytes_of.where("first").groupBy("digest").agg(F.min("data").alias("f_data")).withColumnRenamed("digest", "f_digest")
@@ -115,7 +154,7 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     joined = _meet(keyed.select("id", "hash", "row"), verdicts, "left")
     kind = docs.schema.simpleString()
     return joined.select("row", F.col("row").getField(text).alias("text"), "digests").mapInArrow(
-        _stripped, f"row {kind}, n_lines long, n_removed_lines long, n_removed_chunks long, kept string"
+        lambda b: _stripped(b, find), f"row {kind}, n_lines long, n_removed_lines long, n_removed_chunks long, kept string"
     )
 
 
@@ -125,19 +164,19 @@ def _meet(keyed: DataFrame, lists: DataFrame, how: str = "inner") -> DataFrame:
     return keyed.join(lists, (F.col("hash") == F.col("l_hash")) & F.col("id").eqNullSafe(F.col("l_id")), how)
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _digests(batches: Iterator[pa.RecordBatch], find: Finder) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("digest", pa.int64()), ("n", pa.int64())])
     for batch in batches:
         rows = []
         for i, h, text in zip(batch.column("id").to_pylist(), batch.column("hash").to_pylist(), column_bytes(batch, "text")):
             counts: dict[int, int] = {}
-            for _, _, digest, _ in candidates(text):
+            for _, _, digest, _ in find(text):
                 counts[digest] = counts.get(digest, 0) + 1
             rows += [(i, h, digest, n) for digest, n in counts.items()]
         yield from emit(rows, schema)
 
 
-def _chunk_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_bytes(batches: Iterator[pa.RecordBatch], find: Finder) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("id", pa.int64()), ("hash", pa.int64()), ("digest", pa.int64()), ("first", pa.bool_()), ("data", pa.binary())])
     for batch in batches:
         rows = []
@@ -145,19 +184,19 @@ def _chunk_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, h, digests, text in zip(*columns):
             wanted = {d["digest"]: d["first"] for d in digests}
             seen = set()
-            for _, _, digest, data in candidates(text):
+            for _, _, digest, data in find(text):
                 if digest in wanted and (digest, data) not in seen:
                     seen.add((digest, data))
                     rows.append((i, h, digest, wanted[digest], data))
         yield from emit(rows, schema, 8192)
 
 
-def _stripped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _stripped(batches: Iterator[pa.RecordBatch], find: Finder) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts, found = batch.column("text"), []
         for text, digests in zip(column_bytes(batch, "text"), batch.column("digests").to_pylist()):
             digests = digests or []
-            found.append(strip(text, {d["digest"] for d in digests if not d["first"]}, {d["digest"] for d in digests if d["first"]}))
+            found.append(strip(text, {d["digest"] for d in digests if not d["first"]}, {d["digest"] for d in digests if d["first"]}, find))
         kept = [None if not t.is_valid else f[3].decode() for t, f in zip(texts, found)]
         columns = [batch.column("row"), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3)), pa.array(kept, pa.string())]
         yield pa.RecordBatch.from_arrays(columns, names=["row", "n_lines", "n_removed_lines", "n_removed_chunks", "kept"])
@@ -171,7 +210,7 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 
 
 def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The documents with repeated chunks taken out of `text`, and `n_chars` to match where it is a column."""
+    """The documents with repeated runs of lines taken out of `text`, and `n_chars` to match where it is a column."""
     new = {text: F.col("kept"), n_chars: F.length("kept").cast("long")}
     kinds = dict(docs.dtypes)
     columns = [
@@ -180,4 +219,4 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
         else F.col("row").getField(c).alias(c)
         for c in docs.columns
     ]
-    return deduplicate(docs, doc_id, text).select(*columns)
+    return deduplicate(docs, doc_id, text, runs).select(*columns)

@@ -155,6 +155,25 @@ def test_line_dedup(docs, rows):
     assert line_dedup.clean(empty(docs)).count() == 0
 
 
+def test_line_dedup_clean_takes_whole_runs(spark):
+    rng = random.Random(9)
+    line = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    passages = [[line(n) for _ in range(k)] for k, n in ((1, 60), (2, 12), (3, 5), (4, 60), (6, 2), (9, 3))]
+    short = line(3)  # repeated lines below 50 characters stay
+    rows, expected = [], {}
+    for i in range(3):
+        for k, passage in enumerate(passages):
+            before, after = [line(3 + i), short, line(2)], [line(9), short]
+            rows.append((10 * i + k, "\n".join(before + passage + after)))
+            expected[10 * i + k] = rows[-1][1] if not i else "\n".join(before + after)
+    same_lines = "\n".join([short] * 12)
+    copied = [(50, line(12) + "\n" + line(1)), (51, None)]
+    rows += [*copied, (60, copied[0][1]), (61, "tiny\ncopy"), (62, "tiny\ncopy"), (63, same_lines)]
+    expected |= dict(copied) | {60: "", 61: "tiny\ncopy", 62: "tiny\ncopy", 63: "\n".join([short] * 4)}
+    found = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert found == expected
+
+
 def test_ngram_join(docs, rows):
     same(ngram_join.link(docs), brute.components(rows))
     assert ngram_join.link(empty(docs)).count() == 0
