@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from tablestakes.operators.deal import pick
 from tablestakes.operators.joins import free_cards
 from tablestakes.session import cut
-from tablestakes.sources.catalog import MAX_SEATS
 
 
 def seat_ring(seats: DataFrame) -> DataFrame:
@@ -35,12 +34,13 @@ def unlink(players: DataFrame, leavers: DataFrame) -> DataFrame:
     """Players left after a batch of leavers, pointers closed over the gaps.
 
     A run of adjacent leavers is crossed by pointer jumping on the leavers
-    alone: each round doubles the distance, so three rounds cover six seats.
+    alone: each round doubles the distance, until it covers the most leavers of a game.
     """
     gone = players.join(leavers.select("username").distinct(), "username", "left_semi")
-    jump = cut(gone.select("username", "next_player"))
-    hop, reach = jump, 1
-    while reach < MAX_SEATS:
+    jump = cut(gone.select("username", "next_player", "game_id"))
+    most = jump.groupBy("game_id").count().agg(F.max("count")).first()[0] or 0
+    hop, reach = jump.select("username", "next_player"), 1
+    while reach < most:
         far = hop.select(
             F.col("username").alias("next_player"), F.col("next_player").alias("_far"), F.lit(True).alias("_gone")
         )

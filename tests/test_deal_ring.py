@@ -104,3 +104,11 @@ def test_game_start(spark, seats, wants, starts):
         row = got[0]
         assert (row.host, row.last_joiner, row.current_player) == ("a", names[-1], names[-2])
         assert row.card_on_table not in (1010, 1020) and row.card_on_table // 1000 == 1
+
+
+def test_unlink_closes_long_gaps(spark):
+    rows = [(f"u{i:02d}", f"u{(i + 1) % 20:02d}", 1) for i in range(20)]
+    players = spark.createDataFrame(rows, "username string, next_player string, game_id long")
+    gone = spark.createDataFrame([(f"u{i:02d}",) for i in range(2, 19)], "username string")
+    left = {r.username: r.next_player for r in ring.unlink(players, gone).collect()}
+    assert left == {"u00": "u01", "u01": "u19", "u19": "u00"}
