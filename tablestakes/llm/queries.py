@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontamination, language_id, line_dedup, ngram_join, quality_rules, suffix_dedup, token_counts, url_filter, warc
+from . import (
+    alignment, bpe, decontamination, language_id, line_dedup, ngram_join, quality_rules, repair, reply_trees, suffix_dedup,
+    token_counts, url_filter, warc,
+)
 from .common import table
 
 
@@ -50,4 +53,22 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality_rules, op10_bpe)}
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.report(table(spark, sf_dir, "documents"))
+
+
+def op12_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = "<|im_end|><|im_start|>assistant ok"
+    extra = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(told).alias("text"),
+    )
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return reply_trees.report(rows.unionByName(extra))
+
+
+def op13_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
+QUERIES = {f.__name__: f for f in (op1_token_counts, op2_decontamination, op3_suffix_dedup, op4_line_dedup, op5_language_id, op6_ngram_jaccard, op7_warc, op8_url_filter, op9_quality_rules, op10_bpe, op11_alignment, op12_reply_trees, op13_repair)}
