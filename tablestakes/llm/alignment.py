@@ -44,10 +44,10 @@ B_FILE = "piece_bpe_32k.model"
 PIECE = 1 << 16
 # Bytes of text that are laid out at once, and links after which a chunk is closed: both
 # bound a worker's memory, up to one text.
-RUN_BYTES = 4 << 20
-CHUNK_LINKS = 4 << 20
+RUN_BYTES = 1 << 20
+CHUNK_LINKS = 2 << 20
 # Units a worker remembers; with at most 8 ids each on average.
-UNITS = 500_000
+UNITS = 250_000
 # White space of the pre-token pattern (fixed: Unicode White_Space).
 SPACE = "\t-\r \x85\xa0  -     　"
 UNIT = re.compile(f"[{SPACE}]+[^{SPACE}]*")
@@ -292,12 +292,13 @@ def group_strings(words: Vocabularies) -> tuple[list[bytes], int]:
 
 def runs(batch: pa.RecordBatch, words: Vocabularies, piece: int) -> Iterator[tuple[int, int, Run]]:
     """(first row, end row, run) over a batch, texts of about RUN_BYTES together."""
-    texts, start, size = batch.column("text").to_pylist(), 0, 0
-    for k, text in enumerate(texts):
-        size += len(text or "")
-        if size >= RUN_BYTES or k + 1 == len(texts):
-            yield start, k + 1, Run(words.encode([t or "" for t in texts[start : k + 1]]), words, piece)
-            start, size = k + 1, 0
+    column, start, size, texts = batch.column("text"), 0, 0, []
+    for k in range(len(column)):
+        texts.append(column[k].as_py() or "")
+        size += len(texts[-1])
+        if size >= RUN_BYTES or k + 1 == len(column):
+            yield start, k + 1, Run(words.encode(texts), words, piece)
+            start, size, texts = k + 1, 0, []
 
 
 def _paths(a_path: str | None, a_ranks: str | None, b_path: str | None) -> tuple[str, str, str]:
