@@ -509,10 +509,11 @@ _LEDGER = """
            (10 + total - coalesce(last_value(CASE WHEN fresh THEN total END IGNORE NULLS) OVER w, 0))::BIGINT AS hand_size
     FROM (SELECT *, sum(delta) OVER (PARTITION BY username ORDER BY ts, event_id) AS total FROM moves)
     WINDOW w AS (PARTITION BY username ORDER BY ts, event_id)"""
-for _name in ("move_ledger", "stream_move_ledger"):
+for _name in ("move_ledger", "stream_move_ledger", "stream_resent_events"):
+    _late = ", FALSE AS late, 0::BIGINT AS late_rows" if _name.startswith("stream") else ""
     oracle(
         _name,
-        "SELECT username, ts, event_id, delta, hand_size, hand_size BETWEEN 9 AND 11 AS legal FROM ledger",
+        f"SELECT username, ts, event_id, delta, hand_size, hand_size BETWEEN 9 AND 11 AS legal{_late} FROM ledger",
         ledger=_LEDGER,
     )
 oracle(
@@ -637,7 +638,7 @@ oracle(
 )
 oracle(
     "stream_state_changes",
-    """SELECT username, ts, event_id, fp FROM (
+    """SELECT username, ts, event_id, fp, FALSE AS late, 0::BIGINT AS late_rows FROM (
          SELECT 'u' || user_id AS username, ts, event_id, event_type AS fp,
                 lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS old FROM events)
        WHERE old IS DISTINCT FROM fp""",

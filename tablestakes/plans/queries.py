@@ -730,17 +730,32 @@ def stream_last_activity(spark, d):
     return feeds.latest_activity(_stream(spark, d), scratch_dir(spark, "activity"))
 
 
-@query
-def stream_state_changes(spark, d):
-    events = _stream(spark, d).selectExpr("concat('u', user_id) AS username", "ts", "event_id", "event_type AS fp")
-    return feeds.state_changes(events, scratch_dir(spark, "changes"), numbering.time_slice("ts"))
+def _replayed(spark, d, resend=False):
+    """The events as files that come about in time order, read one a batch."""
+    path = feeds.replay(schema.load(spark, d, "events"), scratch_dir(spark, "events"), resend=resend)
+    return feeds.read_events(spark, path, 1)
 
 
-@query
-def stream_move_ledger(spark, d):
-    moves = _stream(spark, d).selectExpr(
+def _moves(events):
+    return events.selectExpr(
         "concat('u', user_id) AS username", "ts", "event_id",
         "CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN -1 ELSE 0 END AS delta",
         "event_type = 'purchase' AS fresh",
     )
-    return feeds.ledger_stream(moves, scratch_dir(spark, "ledger"), numbering.time_slice("ts"))
+
+
+@query
+def stream_state_changes(spark, d):
+    events = _replayed(spark, d).selectExpr("concat('u', user_id) AS username", "ts", "event_id", "event_type AS fp")
+    return feeds.state_changes(events, scratch_dir(spark, "changes"))
+
+
+@query
+def stream_move_ledger(spark, d):
+    return feeds.ledger_stream(_moves(_replayed(spark, d)), scratch_dir(spark, "ledger"))
+
+
+@query
+def stream_resent_events(spark, d):
+    """The move ledger when every event but the last ones is sent twice."""
+    return feeds.ledger_stream(_moves(_replayed(spark, d, resend=True)), scratch_dir(spark, "resent"), resent=True)

@@ -1,10 +1,9 @@
 """Structured Streaming forms of last activity, change feed and move ledger.
 
-The keyed operators run in foreachBatch as set operations: rows of a heavy key
-are split by time slices inside the batch, so a key with a third of all events
-does not sit in one task. State between batches is a small keyed table (one row per
-key) kept as deltas with a periodic base, written below the shared folder. A
-batch that is run again overwrites its own files, so results stay exact.
+Change feed and ledger keep each key's last value in native keyed state and take its rows
+in event order (see `ordered`); last activity is a streaming aggregate. All output is
+files, so what a restarted query gives out again replaces what it gave before. A key's
+rows of one batch are one task's work; the batch size bounds them.
 """
 
 from __future__ import annotations
@@ -15,14 +14,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablestakes.operators.joins import HOT_ROWS, lookup
+from tablestakes.operators.joins import HOT_ROWS
 from tablestakes.operators.numbering import with_slices
-from tablestakes.operators.turns import ledger
 from tablestakes.sources.catalog import HAND_SIZE
 from tablestakes.sources.schema import INPUTS
+from tablestakes.streaming.ordered import EventOrder, finish, folder, in_event_order, run_to_files, written
 
-COMPACT_EVERY = 16
-LEDGER = "username STRING, ts TIMESTAMP_NTZ, event_id BIGINT, delta INT, hand_size BIGINT, legal BOOLEAN"
+DELAY = "7 hours"
 
 
 def read_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -32,6 +30,21 @@ def read_events(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path)
 
 
+def replay(events: DataFrame, path: str, parts: int = 3, jitter_hours: int = 6, resend: bool = False) -> str:
+    """Write a table as the files of a stream, about in time order: a row may come up to
+    `jitter_hours` late. With `resend`, every file also holds the rows of the one before."""
+    spread = jitter_hours * 3600
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    low, high = events.agg(F.min(at)).scalar(), events.agg(F.max(at)).scalar()
+    shifted = at - low + F.pmod(F.xxhash64("event_id"), F.lit(spread))
+    dealt = events.withColumn("_part", F.floor(shifted * parts / (high - low + spread + 1)))
+    folder(events.sparkSession, path)
+    for p in range(parts):  # one write after the other, as the source reads by age
+        found = dealt.where(F.col("_part").between(p - 1, p) if resend else F.col("_part") == p)
+        found.drop("_part").coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def dedup(events: DataFrame, delay: str = "1 hour") -> DataFrame:
     """Drop events sent again within `delay`; needs a TIMESTAMP event time."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
@@ -57,91 +70,27 @@ def run_available(
     query.awaitTermination()
 
 
-class KeyedState:
-    """One row per key between batches: base version plus later deltas."""
-
-    def __init__(self, spark: SparkSession, root: str, key: str, schema: str):
-        self.spark, self.root, self.key = spark, root, key
-        self.columns = schema
-        self.schema = f"{key} STRING, {schema}"
-
-    def _base(self, batch: int) -> int:
-        """Batch of the newest base that is older than `batch`."""
-        return (batch - 1) // COMPACT_EVERY * COMPACT_EVERY
-
-    def _parts(self, batch: int) -> list[str]:
-        if batch == 0:
-            return []
-        base = self._base(batch)
-        parts = [f"{self.root}/delta/b={b}" for b in range(base, batch)]
-        return [f"{self.root}/base/b={base}", *parts[1:]] if base else parts
-
-    def before(self, batch: int) -> DataFrame:
-        """State as left by the batches before `batch`."""
-        names = [c.strip().split()[0] for c in self.columns.split(",")]
-        parts = self._parts(batch)
-        if not parts:
-            return self.spark.createDataFrame([], self.schema)
-        frames = [
-            self.spark.read.schema(self.schema).parquet(p).withColumn("_b", F.lit(i)) for i, p in enumerate(parts)
-        ]
-        rows = frames[0]
-        for frame in frames[1:]:
-            rows = rows.unionByName(frame)
-        newest = rows.groupBy(self.key).agg(F.max_by(F.struct(*names), "_b").alias("_s"))
-        return newest.select(self.key, "_s.*")
-
-    def write(self, batch: int, touched: DataFrame) -> None:
-        """Keep the new rows of the keys seen in `batch`."""
-        touched.write.mode("overwrite").parquet(f"{self.root}/delta/b={batch}")
-        if batch and batch % COMPACT_EVERY == 0:
-            new = self.spark.read.schema(self.schema).parquet(f"{self.root}/delta/b={batch}")
-            kept = self.before(batch).join(new.select(self.key), self.key, "left_anti")
-            kept.unionByName(new).write.mode("overwrite").parquet(f"{self.root}/base/b={batch}")
-
-
 def change_rows(
     events: DataFrame,
     key: str,
     value: str,
     slice_by: Column,
-    before: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Rows whose `value` differs from the key's row before, in (ts, event_id) order.
 
-    Inside a slice by lag; the first row of a slice is compared with the last
-    value of the slice before, and the first of all with `before` (key, value).
+    The batch form of `state_changes`. Inside a slice by lag; the first row of a slice is
+    compared with the last value of the slice before.
     """
     sliced = with_slices(events, [key], slice_by, hot_rows).withColumn("_slice", F.coalesce("_slice", F.lit(-1)))
     inner = W.partitionBy(key, "_slice").orderBy("ts", "event_id")
     local = sliced.withColumn("_prev", F.lag(value).over(inner)).withColumn("_n", F.row_number().over(inner))
     ends = sliced.groupBy(key, "_slice").agg(F.max_by(value, F.struct("ts", "event_id")).alias("_end"))
     carried = ends.select(key, "_slice", F.lag("_end").over(W.partitionBy(key).orderBy("_slice")).alias("_carried"))
-    if before is not None:
-        old = before.select(key, F.col(value).alias("_old"))
-        carried = carried.join(old, key, "left").withColumn("_carried", F.coalesce("_carried", "_old")).drop("_old")
     previous = F.when(F.col("_n") == 1, F.col("_carried")).otherwise(F.col("_prev"))
     return local.join(carried, [key, "_slice"]).filter(~previous.eqNullSafe(F.col(value))).select(*events.columns)
 
 
-def state_changes(events: DataFrame, root: str, slice_by: Column, key: str = "username", value: str = "fp") -> DataFrame:
-    """Run the change feed over the stream; returns the written feed."""
-    spark = events.sparkSession
-    store = KeyedState(spark, f"{root}/state", key, f"{value} STRING")
-
-    def each(batch: DataFrame, n: int) -> None:
-        batch.persist()
-        changed = change_rows(batch, key, value, slice_by, store.before(n))
-        changed.write.mode("overwrite").parquet(f"{root}/out/b={n}")
-        last = batch.groupBy(key).agg(F.max_by(value, F.struct("ts", "event_id")).alias(value))
-        store.write(n, last)
-        batch.unpersist()
-
-    run_available(events, root, each)
-    return spark.read.schema(events.schema).parquet(f"{root}/out/*")
-
-
 def latest_activity(events: DataFrame, root: str) -> DataFrame:
     """Run `last_activity` over the stream; returns the latest stamp per user.
 
@@ -154,40 +103,47 @@ def latest_activity(events: DataFrame, root: str) -> DataFrame:
         batch.write.mode("overwrite").parquet(f"{root}/out/b={n}")
 
     run_available(stamps, root, each, "update")
-    written = spark.read.schema(stamps.schema).parquet(f"{root}/out/*")
-    return written.groupBy("username").agg(F.max("activity").alias("activity"))
+    out = spark.read.schema(stamps.schema).option("recursiveFileLookup", True).parquet(folder(spark, f"{root}/out"))
+    return out.groupBy("username").agg(F.max("activity").alias("activity"))
 
 
-def ledger_stream(moves: DataFrame, root: str, slice_by: Column) -> DataFrame:
-    """Run the move ledger over the stream; returns the written ledger.
+def sized(value: int, delta: int, fresh: bool) -> tuple[int, tuple[int]]:
+    """Hand size after a move."""
+    value = HAND_SIZE if fresh else value + delta
+    return value, (value,)
 
-    A player's size at the end of a batch starts the next one. Rows count in
-    arrival order of batches, inside a batch in (ts, event_id) order.
+
+def differing(value: str | None, fp: str | None) -> tuple[str | None, tuple | None]:
+    """A row counts if its value is not the one before. The first of a key always does."""
+    told = "" if fp is None else "=" + fp  # so that a null is a value, and no value is none
+    return told, None if told == value else (True,)
+
+
+def state_changes(events: DataFrame, root: str, delay: str = DELAY, close: bool = True) -> DataFrame:
+    """Run the change feed over the stream (username, ts, event_id, fp); returns the written feed.
+
+    A row comes out when its fp differs from the one before in event order. `close` ends
+    the stream; without it rows younger than the watermark wait for the next run. Late
+    rows come out flagged; late_rows counts them per user.
     """
-    spark = moves.sparkSession
-    store = KeyedState(spark, f"{root}/state", "username", "hand_size BIGINT")
+    feed = in_event_order(events, root, "username", delay, EventOrder("username", "fp STRING", "STRING", None, "changed BOOLEAN", differing))
+    return _run(feed, events, root, close).drop("changed")
 
-    def each(batch: DataFrame, n: int) -> None:
-        batch.persist()
-        sized = ledger(batch, slice_by)
-        old = store.before(n).select("username", F.col("hand_size").alias("_old"))
-        fresh = (
-            batch.filter("fresh").groupBy("username").agg(F.min(F.struct("ts", "event_id")).alias("_first_fresh"))
-        )
-        shift = F.when(
-            F.col("_first_fresh").isNull() | (F.struct("ts", "event_id") < F.col("_first_fresh")),
-            F.coalesce(F.col("_old") - HAND_SIZE, F.lit(0)),
-        ).otherwise(0)
-        keyed = batch.select("username").distinct().join(old, "username", "left").join(fresh, "username", "left")
-        carried = lookup(sized, keyed, ["username"], "event_id").withColumn("hand_size", F.col("hand_size") + shift)
-        legal = F.col("hand_size").between(HAND_SIZE - 1, HAND_SIZE + 1).alias("legal")
-        out = f"{root}/out/b={n}"
-        carried.select("username", "ts", "event_id", "delta", "hand_size", legal).write.mode("overwrite").parquet(out)
-        done = spark.read.schema(LEDGER).parquet(out)
-        store.write(
-            n, done.groupBy("username").agg(F.max_by("hand_size", F.struct("ts", "event_id")).alias("hand_size"))
-        )
-        batch.unpersist()
-
-    run_available(moves, root, each)
-    return spark.read.schema(LEDGER).parquet(f"{root}/out/*")
+
+def ledger_stream(moves: DataFrame, root: str, delay: str = DELAY, close: bool = True, resent: bool = False) -> DataFrame:
+    """Run the move ledger over the stream (username, ts, event_id, delta, fresh); returns the written ledger.
+
+    Hand sizes follow event order. Late rows come out flagged, without a size. `resent`
+    drops events sent again within the delay.
+    """
+    processor = EventOrder("username", "delta INT, fresh BOOLEAN", "LONG", HAND_SIZE, "hand_size LONG", sized)
+    out = _run(in_event_order(moves, root, "username", delay, processor, resent), moves, root, close)
+    legal = F.col("hand_size").between(HAND_SIZE - 1, HAND_SIZE + 1).alias("legal")
+    return out.select("username", "ts", "event_id", "delta", "hand_size", legal, "late", "late_rows")
+
+
+def _run(stream: DataFrame, events: DataFrame, root: str, close: bool) -> DataFrame:
+    run_to_files(stream, root)
+    if close:
+        finish(stream, events, root)
+    return written(stream, root)

@@ -1,8 +1,10 @@
 from pyspark.sql import functions as F
 
+from pathlib import Path
+
 from tablestakes.operators import audits
 from tablestakes.session import scratch_dir
-from tablestakes.sources import versions
+from tablestakes.sources import buckets, roles
 from tables import as_map, as_set, build
 
 
@@ -46,14 +48,32 @@ def test_key_audits(spark):
     assert as_map(audits.count_by_rule(t, "t", rules), "rule", "n") == {"long": 2, "domain": 1}
 
 
-def test_versions_keep_history_and_ignore_uncommitted_folders(spark):
-    root = scratch_dir(spark, "versions")
-    state = sound(spark)
-    versions.save(spark, root, state, 1)
-    after = {**state, "turns": spark.createDataFrame([("b",)], "current_player string")}
-    versions.save(spark, root, after, 2, ["turns"])
-    after["turns"].write.parquet(f"{root}/turns/v=3")  # a batch that died before its commit
-    now, then = versions.latest(spark, root), versions.latest(spark, root, 1)
-    assert as_set(now["turns"], "current_player") == {"b"}
-    assert as_set(then["turns"], "current_player") == {"a"}
-    assert now["decks"].count() == 216 and set(now) == set(state)
+def ages(root, table):
+    """Age of every bucket's newest file."""
+    place = Path(root.removeprefix("file:")) / table
+    return {p.name: max(f.stat().st_mtime_ns for f in p.glob("*.parquet")) for p in place.glob("bucket=*")}
+
+
+def test_write_back_rewrites_the_touched_buckets_only(spark, sf_dir):
+    root = scratch_dir(spark, "tables")
+    state = roles.state(spark, sf_dir)
+    buckets.write_back(spark, root, state)
+    stored = buckets.load(spark, root)
+    for name in state:
+        assert sorted(map(tuple, stored[name].collect()), key=str) == sorted(map(tuple, state[name].collect()), key=str), name
+    before = {t: ages(root, t) for t in state}
+    gone = stored["games"].where("game_id < 10").select("game_id")
+    assert gone.count() == 10
+    after = dict(stored)
+    for t in ("games", "decks"):
+        after[t] = stored[t].join(gone, "game_id", "left_anti").select(*stored[t].columns)
+    leaving = stored["players"].join(gone, "game_id", "left_semi").select("username")
+    after["players"] = stored["players"].join(leaving, "username", "left_anti").select(*stored["players"].columns)
+    after["hands"] = stored["hands"].join(leaving, "username", "left_anti").select(*stored["hands"].columns)
+    expected = {t: sorted(map(tuple, after[t].collect()), key=str) for t in ("games", "decks", "players", "hands")}
+    buckets.write_back(spark, root, after, gone)
+    for t in ("games", "decks", "players", "hands"):
+        changed = {b for b, age in ages(root, t).items() if age != before[t].get(b)}
+        assert 0 < len(changed) <= 10 and set(ages(root, t)) == set(before[t])
+        assert sorted(map(tuple, buckets.load(spark, root)[t].collect()), key=str) == expected[t]
+    assert ages(root, "users") == before["users"]
