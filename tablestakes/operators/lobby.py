@@ -13,6 +13,7 @@ from tablestakes.operators.changes import append, apply_deletes, apply_updates
 from tablestakes.operators.deal import build_decks, initial_deal, pick, sample
 from tablestakes.operators.guards import MESSAGES, account_guards
 from tablestakes.operators.joins import free_cards, lookup
+from tablestakes.operators.numbering import range_numbered
 from tablestakes.session import cut
 from tablestakes.sources.catalog import HAND_SIZE, LAST_PHASE, MAX_SEATS, MIN_SEATS
 
@@ -79,8 +80,9 @@ def open_games(state: Mapping[str, DataFrame], as_of: Column) -> DataFrame:
 
 
 def lobby(state: Mapping[str, DataFrame], as_of: Column) -> DataFrame:
-    """The list of games, longest waiting first."""
-    return open_games(state, as_of).orderBy("activity", "game_id").select("game_id", "created_by", "minutes_ago")
+    """The list of games with their rank, longest waiting first."""
+    ranked = range_numbered(open_games(state, as_of), ["activity", "game_id"])
+    return ranked.orderBy("rank").select("rank", "game_id", "created_by", "minutes_ago")
 
 
 def _membership(state: Mapping[str, DataFrame]) -> DataFrame:

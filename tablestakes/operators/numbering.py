@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tablestakes.operators.joins import HOT_ROWS, hot_keys
+from tablestakes.session import cut
 
 
 def time_slice(ts: str) -> Column:
@@ -67,16 +68,31 @@ def running_sum(
     )
 
 
-def number_rows(
-    df: DataFrame, order: Sequence[str], slice_by: Column, start: int | Column = 1, out: str = "seq"
-) -> DataFrame:
-    """Dense table-wide numbers along `order` (surrogate keys).
+def range_numbered(df: DataFrame, order: Sequence[str], out: str = "rank", start: int | Column = 1) -> DataFrame:
+    """Dense table-wide numbers along `order`, which no two rows share.
 
-    The only single-task step sees one row per slice.
+    Spark samples borders and deals rows into ranges of equal size; each range is sorted
+    and numbered by itself and written once, in order. A range's offset is the sum of the
+    counts before it, so the only single step sees one count per range, whatever the keys
+    look like.
     """
     first = start if isinstance(start, Column) else F.lit(start)
-    numbered = running_sum(df, [], order, slice_by, F.lit(1).cast("bigint"), "_n")
-    return numbered.withColumn(out, (F.col("_n") + first - 1).cast("bigint")).drop("_n")
+    # The id a row gets holds the range in its upper part and the place in the range below.
+    placed = cut(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id()))
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    counts = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    ordered = counts.agg(F.sort_array(F.collect_list(F.struct("_part", "_n"))).alias("c"))
+    before = F.transform(
+        "c", lambda x, i: F.struct(x["_part"].alias("_part"), F.aggregate(F.slice("c", F.lit(1), i), F.lit(0).cast("bigint"), lambda a, y: a + y["_n"]).alias("_before"))
+    )
+    offsets = ordered.select(F.inline(before))
+    numbered_ = placed.withColumn("_part", part).join(F.broadcast(offsets), "_part")  # one row per range
+    return numbered_.select(*df.columns, (F.col("_before") + place + first).cast("bigint").alias(out))
+
+
+def number_rows(df: DataFrame, order: Sequence[str], start: int | Column = 1, out: str = "seq") -> DataFrame:
+    """Surrogate keys: dense numbers along a unique `order`, sparse and hashed ids included."""
+    return range_numbered(df, order, out, start)
 
 
 def numbered(

@@ -32,6 +32,11 @@ oracle(
     """SELECT o_orderkey, (SELECT max(o_orderkey) FROM orders) + row_number() OVER (ORDER BY o_orderkey) AS card_id
        FROM orders""",
 )
+oracle(
+    "hashed_keys",
+    """SELECT line, n, row_number() OVER (ORDER BY line) AS line_id
+       FROM (SELECT md5(concat_ws(':', l_orderkey, l_linenumber, l_partkey, l_suppkey)) AS line, count(*) AS n FROM lineitem GROUP BY 1)""",
+)
 oracle(
     "columnar_json",
     """SELECT game_id, to_json({'username': list(username ORDER BY username), 'points': list(points ORDER BY username),
@@ -54,13 +59,60 @@ oracle(
         f"SELECT '{t}' AS table_name, '{c}' AS rule, count(*) FILTER (WHERE {c} IS NULL) AS n FROM {t}"
         for t, columns in {
             "users": ["username", "u_password", "activity", "p_count"],
-            "players": ["username", "points", "next_player", "game_id"],
-            "games": ["game_id", "card_on_table", "game_phase"],
+            "players": ["username", "points", "game_id"],
+            "card_type": ["id", "color", "rank"],
+            "cards": ["card_id", "id"],
+            "turns": ["current_player"],
             "hands": ["card_id", "username"],
+            "games": ["game_id", "game_phase"],
+            "decks": ["card_id", "game_id"],
         }.items()
         for c in columns
     ),
 )
+_KEPT = {
+    "users": "substr(username, 2)::BIGINT % 13 <> 5", "players": "substr(username, 2)::BIGINT % 11 <> 3",
+    "games": "game_id % 7 <> 2", "cards": "card_id % 9 <> 4", "card_type": "id % 100 <> 30",
+}
+oracle(
+    "fk_audit",
+    " UNION ALL ".join(
+        f"""SELECT '{c}.{k} -> {p} kept.{pk}' AS relation, {k}::VARCHAR AS key, count(*) AS n FROM {c}
+            WHERE {k} IS NOT NULL AND {k} NOT IN (SELECT {pk} FROM {p} WHERE {_KEPT[p]}) GROUP BY {k}"""
+        for c, k, p, pk in [
+            ("players", "username", "users", "username"), ("players", "next_player", "players", "username"),
+            ("players", "game_id", "games", "game_id"), ("cards", "id", "card_type", "id"),
+            ("turns", "current_player", "players", "username"), ("hands", "card_id", "cards", "card_id"),
+            ("hands", "username", "users", "username"), ("games", "card_on_table", "cards", "card_id"),
+            ("decks", "card_id", "cards", "card_id"), ("decks", "game_id", "games", "game_id"),
+        ]
+    ),
+)
+oracle(
+    "ring_audit",
+    """SELECT game_id, 'pointer out of the game' AS rule, count(*) AS n FROM led
+       WHERE next_player IS NOT NULL AND target IS NULL GROUP BY 1
+       UNION ALL SELECT game_id, 'ring in parts', count(DISTINCT least) FROM firsts GROUP BY 1 HAVING count(DISTINCT least) > 1
+       UNION ALL SELECT game_id, 'seat outside the ring', sum(n - coalesce(ring, 0))::BIGINT
+       FROM (SELECT game_id, least, count(*) AS n FROM firsts GROUP BY ALL)
+       LEFT JOIN (SELECT l.username AS least, f.k + 1 AS ring FROM led l JOIN firsts f ON f.username = l.target AND f.least = l.username) USING (least)
+       GROUP BY 1 HAVING sum(n - coalesce(ring, 0)) > 0""",
+    pointing="""
+        SELECT s.*, CASE WHEN s.game_id % 6 IN (1, 5) AND s.seat = 1 THEN 2 WHEN s.game_id % 6 = 1 AND s.seat = 3 THEN s.seats
+                         WHEN s.seat = 1 THEN s.seats ELSE s.seat - 1 END AS nth
+        FROM seats s WHERE s.game_id % 4 <> 0""",
+    led="""
+        SELECT game_id, username, next_player, CASE WHEN next_player IN (SELECT username FROM pointing q WHERE q.game_id = z.game_id) THEN next_player END AS target
+        FROM (SELECT p.game_id, p.username, CASE WHEN p.game_id % 6 = 3 AND p.seat = 1 THEN 'u' || (p.c_custkey + 5) ELSE t.username END AS next_player
+              FROM pointing p LEFT JOIN seats t ON t.game_id = p.game_id AND t.seat = p.nth) z""",
+    firsts="""
+        SELECT game_id, username, min(arrived) AS least, arg_min(k, (arrived, k)) AS k
+        FROM (WITH RECURSIVE walk(game_id, username, arrived, k) AS (
+                SELECT game_id, username, username, 0 FROM led
+                UNION ALL SELECT w.game_id, w.username, l.target, w.k + 1 FROM walk w JOIN led l ON l.username = w.arrived
+                WHERE w.k < 7 AND l.target IS NOT NULL) SELECT * FROM walk)
+        GROUP BY 1, 2""",
+)
 oracle(
     "domain_audit",
     " UNION ALL ".join(
@@ -231,7 +283,12 @@ _LOBBY = f"""
     SELECT game_id, username AS created_by, datesub('minute', activity, {AS_OF}) AS minutes_ago
     FROM users NATURAL JOIN players NATURAL JOIN games
     WHERE next_player IS NULL AND card_on_table IS NULL AND {AS_OF} - activity <= INTERVAL 6 HOUR"""
-oracle("lobby_list", "SELECT * FROM lobby", lobby=_LOBBY)
+oracle(
+    "lobby_list",
+    """SELECT row_number() OVER (ORDER BY activity, game_id) AS rank, game_id, created_by, minutes_ago
+       FROM lobby JOIN users ON username = created_by""",
+    lobby=_LOBBY,
+)
 oracle("deal_sample", "SELECT game_id, card_id, pos AS rn FROM dealt WHERE pos <= 10")
 oracle("random_pick", "SELECT game_id, card_id FROM dealt WHERE pos = 1")
 

@@ -62,7 +62,15 @@ def surrogate_keys(spark, d):
     """New dense numbers for all orders, after the largest key in use."""
     orders = schema.load(spark, d, "orders").select("o_orderkey")
     start = orders.agg(F.max("o_orderkey") + 1).scalar()
-    return numbering.number_rows(orders, ["o_orderkey"], numbering.id_slice("o_orderkey"), start, "card_id")
+    return numbering.number_rows(orders, ["o_orderkey"], start, "card_id")
+
+
+@query
+def hashed_keys(spark, d):
+    """Dense numbers for all order lines along hashed 64-bit ids."""
+    lines = schema.load(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate")
+    hashed = lines.groupBy(F.md5(F.concat_ws(":", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")).alias("line")).agg(F.count("*").alias("n"))
+    return numbering.number_rows(hashed, ["line"], 1, "line_id")
 
 
 @query
@@ -89,7 +97,36 @@ def fk_orphans(spark, d):
 @query
 def not_null_audit(spark, d):
     state = roles.state(spark, d)
-    return audits.union_all([audits.not_null(state[t], t, state[t].columns) for t in ("users", "players", "games", "hands")])
+    return audits.union_all([audits.not_null(state[t], t, schema.required(t)) for t in schema.GAME_TABLES])
+
+
+@query
+def fk_audit(spark, d):
+    """All declared relations, over tables that lost every seventh game and some parents."""
+    state = roles.state(spark, d)
+    kept = {
+        "users": "cast(substr(username, 2) as bigint) % 13 <> 5", "players": "cast(substr(username, 2) as bigint) % 11 <> 3",
+        "games": "game_id % 7 <> 2", "cards": "card_id % 9 <> 4", "card_type": "id % 100 <> 30",
+    }
+    parents = {t: df.where(kept[t]) if t in kept else df for t, df in state.items()}
+    lost = {f"{t} kept": df for t, df in parents.items()}
+    relations = [(c, column, f"{p} kept", key) for c, column, p, key in schema.FOREIGN_KEYS]
+    return audits.fk_audit({**state, **lost}, relations)
+
+
+@query
+def ring_audit(spark, d):
+    """Rings of the running games after planted faults: split in two, led into the next game, or with a tail."""
+    seats = roles.seats(spark, d)
+    here = seats.select("game_id", col("seat").alias("_to"), col("username").alias("_name"))
+    broken = F.expr(
+        """CASE WHEN game_id % 6 = 1 AND seat = 1 THEN 2 WHEN game_id % 6 = 1 AND seat = 3 THEN seats
+                WHEN game_id % 6 = 5 AND seat = 1 THEN 2 WHEN seat = 1 THEN seats ELSE seat - 1 END"""
+    )
+    pointed = seats.withColumn("_to", broken.cast("int")).join(here, ["game_id", "_to"], "left")
+    led_away = F.expr("CASE WHEN game_id % 6 = 3 AND seat = 1 THEN concat('u', c_custkey + 5) ELSE _name END")
+    players = pointed.select("username", led_away.alias("next_player"), "game_id")
+    return audits.ring_audit(players, roles.games(spark, d).where("card_on_table IS NOT NULL"))
 
 
 @query

@@ -33,6 +33,12 @@ PRIMARY_KEYS = {
     "decks": ["card_id"],
 }
 
+
+def required(table: str) -> list[str]:
+    """Columns of a game table that must not be null."""
+    return [c.split()[0] for c in GAME_TABLES[table].split(", ") if c.endswith("NOT NULL")]
+
+
 # child table, child column, parent table, parent column
 FOREIGN_KEYS = [
     ("players", "username", "users", "username"),

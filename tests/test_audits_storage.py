@@ -48,6 +48,31 @@ def test_key_audits(spark):
     assert as_map(audits.count_by_rule(t, "t", rules), "rule", "n") == {"long": 2, "domain": 1}
 
 
+def test_ring_audit(spark):
+    rings = {
+        1: ["ab", "bc", "ca"], 2: ["de", "ed", "fg", "gf"], 3: ["hi", "ih", "jh", "kj"], 4: ["lm", "ma"], 5: ["no", "oz"],
+        6: ["pp"], 7: ["qr", "rq"], 8: ["st", "t "], 9: ["uu", "vu"],
+    }
+    rows = [(p[0], p[1].strip() or None, g) for g, pairs in rings.items() for p in pairs]
+    players = spark.createDataFrame(rows, "username string, next_player string, game_id long")
+    running = spark.createDataFrame([(g,) for g in rings], "game_id long")
+    got = as_set(audits.ring_audit(players, running), "game_id", "rule", "n")
+    parts, outside, out = "ring in parts", "seat outside the ring", "pointer out of the game"
+    assert got == {
+        (2, parts, 2), (3, outside, 2), (4, out, 1), (4, parts, 2), (4, outside, 2), (5, out, 1), (5, parts, 2),
+        (5, outside, 2), (8, parts, 2), (8, outside, 2), (9, outside, 1),
+    }
+    assert audits.ring_audit(players.where("game_id = 0"), running).count() == 0
+
+
+def test_fk_audit_counts_rows_of_lost_keys(spark):
+    tables = {
+        "c": spark.createDataFrame([(1,), (1,), (2,), (None,)], "k int"), "p": spark.createDataFrame([("2",), ("2",)], "k string"),
+    }
+    got = audits.fk_audit(tables, [("c", "k", "p", "k"), ("p", "k", "c", "k")])
+    assert as_set(got, "relation", "key", "n") == {("c.k -> p.k", "1", 2)}
+
+
 def ages(root, table):
     """Age of every bucket's newest file."""
     place = Path(root.removeprefix("file:")) / table

@@ -101,7 +101,7 @@ def test_running_sum_with_a_hot_key(spark):
 def test_number_rows_is_dense_and_ordered(spark):
     ids = random.Random(1).sample(range(100000), 3000)
     df = spark.createDataFrame([(i,) for i in ids], "id long")
-    got = as_map(numbering.number_rows(df, ["id"], numbering.id_slice("id", 1000), 501), "id", "seq")
+    got = as_map(numbering.number_rows(df, ["id"], 501), "id", "seq")
     assert got == {i: 501 + n for n, i in enumerate(sorted(ids))}
 
 
@@ -126,3 +126,13 @@ def test_serialise_admits_the_first_of_each_game(spark):
 def test_columnar_json(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", None)], "g int, n string, v int")
     assert columnar.columnar_json(df, ["g"], "n", ["n", "v"]).first().result == '{"n":["a","b"],"v":[null,2]}'
+
+
+def test_hashed_ids_are_numbered_in_ranges_of_equal_size(spark):
+    df = spark.range(20000).select(F.xxhash64("id").alias("k")).repartition(5)
+    got = numbering.range_numbered(df, ["k"])
+    rows = got.collect()
+    assert [r.rank for r in sorted(rows, key=lambda r: r.k)] == list(range(1, 20001))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]
+    assert numbering.range_numbered(df.where("k is null"), ["k"]).count() == 0
