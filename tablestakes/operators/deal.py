@@ -33,8 +33,12 @@ def initial_deal(seats: DataFrame, seed: int) -> DataFrame:
 
     The seats of a game (no more than a deck has hands) meet in one row; its
     deck is then ordered once, inside the row, and cut into hands. The only
-    shuffle is that of the seats.
+    shuffle is that of the seats. A seat the deck has no hand for gets one row
+    without a card.
     """
+    unserved = seats.filter(F.col("seat") > DECK_SIZE // HAND_SIZE).select(
+        "game_id", "username", F.lit(None).cast("bigint").alias("card_id")
+    )
     games = (
         seats.filter(F.col("seat") <= DECK_SIZE // HAND_SIZE)
         .groupBy("game_id")
@@ -48,6 +52,7 @@ def initial_deal(seats: DataFrame, seed: int) -> DataFrame:
             F.col("card_id").cast("bigint").alias("card_id"),
         )
         .filter(F.col("username").isNotNull())
+        .unionByName(unserved)
     )
 
 
@@ -92,20 +97,24 @@ def redeal_hands(
     """Fresh (card_id, username, game_id) for all seats of `games`.
 
     `games` is (game_id, card_on_table); the table card is left out. Cards and
-    slots are numbered per game and paired on the number.
+    slots are numbered per game and paired on the number; a slot beyond the
+    deck has no card.
     """
     pool = decks.join(games.select("game_id", "card_on_table"), "game_id").filter(
         F.col("card_on_table").isNull() | (F.col("card_id") != F.col("card_on_table"))
     )
     cards = sample(pool.select("game_id", "card_id"), DECK_SIZE, seed)
     slots = hand_slots(players.join(games.select("game_id"), "game_id", "left_semi"))
-    return slots.join(cards, ["game_id", "rn"]).select("card_id", "username", "game_id")
+    return slots.join(cards, ["game_id", "rn"], "left").select("card_id", "username", "game_id")
 
 
 def redeal(state: Mapping[str, DataFrame], games: DataFrame, seed: int | str) -> dict[str, DataFrame]:
-    """State with the hands of `games` (game_id) replaced; other games keep theirs."""
+    """State with the hands of `games` (game_id) replaced; other games keep theirs.
+
+    Slots the deck cannot fill stay out of the hands; `redeal_hands` shows them.
+    """
     target = cut(state["games"].join(games.select("game_id").distinct(), "game_id", "left_semi"))
-    fresh = redeal_hands(state["players"], state["decks"], target, seed)
+    fresh = redeal_hands(state["players"], state["decks"], target, seed).filter(F.col("card_id").isNotNull())
     owners = state["players"].join(target.select("game_id"), "game_id", "left_semi").select("username")
     out = dict(state)
     out["hands"] = append(apply_deletes(state["hands"], owners, "username"), fresh)

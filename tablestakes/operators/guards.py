@@ -71,6 +71,27 @@ def accounts(state: Mapping[str, DataFrame], table_rank: bool = False) -> DataFr
     )
 
 
+def of_batch(state: Mapping[str, DataFrame], requests: DataFrame) -> dict[str, DataFrame]:
+    """The rows of the game tables that a batch's logins can be judged by.
+
+    Semi joins from the batch: its logins reduce accounts, seats and hands, the games of
+    those seats reduce players and games, and their table cards the cards. A small batch
+    is broadcast, so large tables are read once and nothing of them is shuffled.
+    """
+    logins = requests.select(F.col("login").alias("username")).distinct()
+    own = state["players"].join(logins, "username", "left_semi")
+    games = state["games"].join(own.select("game_id").distinct(), "game_id", "left_semi")
+    tables = games.select(F.col("card_on_table").alias("card_id")).where("card_id IS NOT NULL").distinct()
+    return {
+        **state,
+        "users": state["users"].join(logins, "username", "left_semi"),
+        "hands": state["hands"].join(logins, "username", "left_semi"),
+        "players": state["players"].join(own.select("game_id").distinct(), "game_id", "left_semi"),
+        "games": games,
+        "cards": state["cards"].join(tables, "card_id", "left_semi"),
+    }
+
+
 def account_guards(looked: DataFrame) -> DataFrame:
     """Adds `bad_password` and `on_turn` to requests joined to their account."""
     return looked.withColumn(
@@ -84,7 +105,8 @@ def with_account(
     table_rank: bool = False,
     counted: DataFrame | None = None,
 ) -> DataFrame:
-    facts = accounts(state, table_rank).withColumnRenamed("username", "login")
+    batch = requests if counted is None else counted
+    facts = accounts(of_batch(state, batch), table_rank).withColumnRenamed("username", "login")
     return account_guards(lookup(requests, facts, ["login"], "request_id", counted=counted))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 1_000_000  # a key below this many rows needs no splitting; also rows per salt
-MAX_HOT = 256  # at most this many keys are split; the rest take the plain join
+MAX_HOT = 4096  # at most this many keys are split; the rest take the plain join
 
 
 def natural_join(*frames: DataFrame) -> DataFrame:
@@ -17,16 +17,18 @@ def natural_join(*frames: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.join(b, [c for c in a.columns if c in b.columns], "inner"), frames)
 
 
-def hot_keys(facts: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+def hot_keys(facts: DataFrame, key: Sequence[str], hot_rows: int = HOT_ROWS, nulls: bool = False) -> DataFrame:
     """The heaviest keys, at most MAX_HOT, so the result is safe to broadcast.
 
-    `_hot` says into how many parts of about `hot_rows` rows a key falls. Counted with map-side combine. A key outside the first MAX_HOT holds less
-    than 1/MAX_HOT of all rows, so the plain join copes with it.
+    `_hot` says into how many parts of about `hot_rows` rows a key falls. Counted with
+    map-side combine. A key outside the first MAX_HOT holds less than 1/MAX_HOT of all
+    rows, so the plain join copes with it. Keys with a NULL count with `nulls` only.
     """
+    known = F.lit(True) if nulls else reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key])
     return (
         facts.groupBy(*key)
         .agg(F.count("*").alias("_rows"))
-        .filter((F.col("_rows") >= hot_rows) & reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
+        .filter((F.col("_rows") >= hot_rows) & known)
         .orderBy(F.desc("_rows"), *key)
         .limit(MAX_HOT)
         .select(*key, F.ceil(F.col("_rows") / hot_rows).alias("_hot"))

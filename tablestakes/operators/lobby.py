@@ -180,8 +180,8 @@ def join_games(
     table card, its ring closes and the joiner before the last is on turn. Each
     login is served with its first sound request; if that finds the game full,
     its later ones are deferred to the next batch.
-    A game asked for by millions costs MAX_SEATS rows per map task, because
-    the rank filter runs below the shuffle.
+    A game asked for by millions costs as many rows per map task as a game has
+    free seats at most, because the rank filter runs below the shuffle.
     """
     waiting = state["games"].filter(F.col("card_on_table").isNull()).select("game_id")
     seats = (
@@ -216,10 +216,11 @@ def join_games(
     asked = judged.filter("status_code = 'ok'")
     one_each = _first_per(asked, "login", "_f").select("_f.request_id")
     queue = W.partitionBy("game_id").orderBy("ts", "request_id")
+    most = room.agg(F.max(F.col("p_count") - F.col("seats"))).first()[0] or 0  # free seats of any game
     taken = cut(
         asked.join(one_each, "request_id", "left_semi")
         .withColumn("place", F.row_number().over(queue))
-        .filter(F.col("place") < MAX_SEATS)
+        .filter(F.col("place") <= most)
         .filter(F.col("place") <= F.col("p_count") - F.col("seats"))
         .select("request_id", "login", "game_id", "place", "seats", "p_count", "host", "last_in")
     )
@@ -246,7 +247,7 @@ def join_games(
     )
     full = newest.filter(F.col("seats") + F.col("_in") >= F.col("p_count"))
     pool = free_cards(state["decks"].join(newest.select("game_id"), "game_id", "left_semi"), state["hands"])
-    dealt = sample(pool, MAX_SEATS * HAND_SIZE, seed).withColumn(
+    dealt = sample(pool, most * HAND_SIZE, seed).withColumn(
         "place", (F.floor((F.col("rn") - 1) / HAND_SIZE) + 1).cast("int")
     )
     new_hands = dealt.join(joined.select("game_id", "place", "login"), ["game_id", "place"]).select(

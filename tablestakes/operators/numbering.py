@@ -10,6 +10,7 @@ carry nothing. `slice_by` must not decrease along the order.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -39,9 +40,16 @@ def with_slices(df: DataFrame, by: Sequence[str], slice_by: Column, hot_rows: in
     """
     if not by:
         return df.withColumn("_slice", slice_by.cast("bigint"))
-    hot = F.broadcast(hot_keys(df, by, hot_rows))
+    hot = F.broadcast(hot_keys(df, by, hot_rows, nulls=True).withColumnsRenamed({k: f"_hot_{k}" for k in by}))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in by])
     fine = F.when(F.col("_hot").isNotNull(), slice_by.cast("bigint"))
-    return df.join(hot, list(by), "left").withColumn("_slice", fine).drop("_hot")
+    return df.join(hot, same, "left").withColumn("_slice", fine).select(*df.columns, "_slice")
+
+
+def _same_slice(by: Sequence[str]) -> Column:
+    """Rows of a slice with what is carried into it; a NULL key is a key like others."""
+    keys = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in by]
+    return reduce(lambda a, b: a & b, keys, F.col("_slice") == F.col("_at"))
 
 
 def running_sum(
@@ -58,11 +66,11 @@ def running_sum(
     sliced = with_slices(df, by, slice_by, hot_rows).withColumn("_delta", delta)
     totals = sliced.filter("_slice IS NOT NULL").groupBy(*by, "_slice").agg(F.sum("_delta").alias("_total"))
     before = W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    carried = totals.select(*by, "_slice", F.sum("_total").over(before).alias("_carried"))
+    carried = totals.select(*by, F.col("_slice").alias("_at"), F.sum("_total").over(before).alias("_carried"))
     upto = W.partitionBy(*by, "_slice").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     return (
         sliced.withColumn("_local", F.sum("_delta").over(upto))
-        .join(carried, [*by, "_slice"], "left")
+        .join(carried.withColumnsRenamed({k: f"_of_{k}" for k in by}), _same_slice(by), "left")
         .withColumn(out, F.coalesce(F.col("_carried"), F.lit(0)) + F.col("_local"))
         .select(*df.columns, out)
     )
@@ -109,6 +117,28 @@ def numbered(
     return running_sum(df, by, order, slice_by, F.lit(1).cast("bigint"), out)
 
 
+def numbered_in_blocks(df: DataFrame, by: Sequence[str], order: Sequence[str], block: Column, out: str = "rn") -> DataFrame:
+    """1, 2, ... inside each group along `order`, long groups cut into blocks.
+
+    `block` must not decrease along the order, and be 0 for all rows of usual groups:
+    only groups that reach further are counted by block, so the rest pay nothing but the
+    search for them. A group of any size is numbered by as many tasks as it has blocks.
+    """
+    by = list(by)
+    cut_up = df.withColumn("_block", block.cast("bigint"))
+    long = cut_up.filter("_block > 0").select(*by).distinct()
+    totals = cut_up.join(long, by, "left_semi").groupBy(*by, "_block").agg(F.count("*").alias("_n"))
+    before = W.partitionBy(*by).orderBy("_block").rowsBetween(W.unboundedPreceding, -1)
+    carried = totals.select(*by, "_block", F.sum("_n").over(before).alias("_before"))
+    place = F.row_number().over(W.partitionBy(*by, "_block").orderBy(*order))
+    return (
+        cut_up.withColumn("_place", place)
+        .join(carried, [*by, "_block"], "left")
+        .withColumn(out, (F.col("_place") + F.coalesce("_before", F.lit(0))).cast("bigint"))
+        .select(*df.columns, out)
+    )
+
+
 def zip_join(
     a: DataFrame,
     b: DataFrame,

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tablestakes.functions.scalars import first_match, phase_points
 from tablestakes.operators.changes import append, apply_deletes, apply_increment, apply_updates, serialise
 from tablestakes.operators.deal import pick, redeal
-from tablestakes.operators.guards import CLAIM_MESSAGES, account_guards, accounts
+from tablestakes.operators.guards import CLAIM_MESSAGES, account_guards, accounts, of_batch
 from tablestakes.operators.joins import free_cards, lookup
 from tablestakes.session import cut
 from tablestakes.sources.catalog import (
@@ -134,7 +134,7 @@ def claim(
     Returns the status of every claim and the new state. One claim per game
     is carried out; a later one that would pass too is deferred.
     """
-    seen = account_guards(lookup(attempts, accounts(state).withColumnRenamed("username", "login"), ["login"], "request_id"))
+    seen = account_guards(lookup(attempts, accounts(of_batch(state, attempts)).withColumnRenamed("username", "login"), ["login"], "request_id"))
     turn_free = [p for p, (_, _, checked) in PHASES.items() if not checked]
     not_turn = F.col("on_turn") == F.lit(False)
     if not check_all_turns:

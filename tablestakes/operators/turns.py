@@ -70,10 +70,9 @@ def draw(
     winners, done = _settle(judged, ["source", "table_rank"])
 
     from_deck = winners.filter("source = 'deck'").select("request_id", "game_id", "card_on_table")
-    free = (
-        state["decks"].join(from_deck, "game_id").filter(F.col("card_id") != F.col("card_on_table"))
-        .join(state["hands"].select("card_id"), "card_id", "left_anti")
-    )
+    offered = state["decks"].join(from_deck, "game_id").filter(F.col("card_id") != F.col("card_on_table"))
+    held = state["hands"].select("card_id").join(offered.select("card_id"), "card_id", "left_semi")
+    free = offered.join(held, "card_id", "left_anti")
     drawn = (
         free.groupBy("request_id")
         .agg(F.min(F.struct(seeded_hash("card_id", seed).alias("h"), "card_id")).alias("_m"))

@@ -28,10 +28,10 @@ VIEWS = {
         SELECT *, game_id % 4 = 0 AS waiting,
                game_id % 4 <> 0 AND game_id % 11 <> 10 AND seat = game_id % seats + 1 AS on_turn
         FROM (SELECT 'u' || c_custkey AS username, c_custkey, c_custkey // 5 AS game_id,
-                     floor(c_acctbal)::INT % 100 AS points,
+                     abs(floor(c_acctbal)::INT) % 100 AS points,
                      row_number() OVER (PARTITION BY c_custkey // 5 ORDER BY c_custkey) AS seat,
                      count(*) OVER (PARTITION BY c_custkey // 5) AS seats
-              FROM customer WHERE c_acctbal >= 0)""",
+              FROM customer)""",
     "players": """
         SELECT username, points, CASE WHEN seat > 1 THEN lag(username) OVER w
                                       WHEN NOT waiting THEN last_value(username) OVER (

@@ -503,13 +503,12 @@ _LEAVE_VIEWS = dict(
 oracle("leave_route", _LEAVE, **_LEAVE_VIEWS)
 oracle(
     "attempt_cards",
-    """SELECT h.username AS attempt_id, pos, h.card_id, CASE WHEN mine THEN id END AS id,
+    """SELECT h.username || '-' || ((pos - 1) // 5) AS attempt_id, (pos - 1) % 5 + 1 AS pos, h.card_id, CASE WHEN mine THEN id END AS id,
               CASE WHEN mine THEN rank END AS rank, CASE WHEN mine THEN color END AS color
        FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY card_id)::INT AS pos FROM hands) h
        JOIN (SELECT username, game_id % 2 = 0 OR next_player = username AS mine FROM players) p
          ON p.username = h.username
-       JOIN cards c ON c.card_id = h.card_id JOIN card_type t USING (id)
-       WHERE pos <= 5""",
+       JOIN cards c ON c.card_id = h.card_id JOIN card_type t USING (id)""",
 )
 
 
@@ -623,19 +622,23 @@ oracle("join_games", _JOIN, **_JOIN_VIEWS)
 oracle(
     "claim_phase",
     """SELECT request_id, login,
-         CASE WHEN code <> 'ok' THEN code WHEN v.message <> 'You get points!' THEN 'refused' ELSE 'ok' END AS status_code,
-         v.fail_pos, CASE code WHEN 'waiting' THEN 'Waiting for players' WHEN 'not_your_turn' THEN 'Wait for your turn'
-              WHEN 'wrong_phase' THEN 'Sorry' ELSE v.message END AS message
-       FROM (SELECT substr(username, 2)::BIGINT AS request_id, username AS login, attempt_id,
+         CASE WHEN code <> 'ok' THEN code WHEN message <> 'You get points!' THEN 'refused'
+              WHEN row_number() OVER (PARTITION BY login, code, message ORDER BY request_id) > 1 THEN 'deferred' ELSE 'ok' END AS status_code,
+         fail_pos, CASE code WHEN 'waiting' THEN 'Waiting for players' WHEN 'not_your_turn' THEN 'Wait for your turn'
+              WHEN 'wrong_phase' THEN 'Sorry' ELSE message END AS message
+       FROM (SELECT substr(username, 2)::BIGINT * 10 + split_part(v.attempt_id, '-', 2)::BIGINT AS request_id, username AS login, v.fail_pos, v.message,
                     CASE WHEN card_on_table IS NULL THEN 'waiting'
                          WHEN current_player IS DISTINCT FROM username THEN 'not_your_turn'
                          WHEN game_phase = 11 THEN 'wrong_phase' ELSE 'ok' END AS code
-             FROM accounts JOIN claims ON attempt_id = username) q
-       JOIN verdicts v ON v.attempt_id = q.attempt_id""",
-    claims="SELECT username AS attempt_id, least(game_phase, 10) AS phase FROM players JOIN games USING (game_id)",
-    claim_cards="""
-        SELECT username AS attempt_id, row_number() OVER (PARTITION BY username ORDER BY card_id) AS pos, id, rank, color
-        FROM hands JOIN cards USING (card_id) JOIN card_type USING (id)""",
+             FROM accounts JOIN verdicts v ON split_part(v.attempt_id, '-', 1) = username)""",
+    claims="SELECT DISTINCT attempt_id, phase FROM hand_claims",
+    claim_cards="SELECT attempt_id, pos, id, rank, color FROM hand_claims",
+    hand_claims="""
+        SELECT username || '-' || ((nth - 1) // n) AS attempt_id, (nth - 1) % n + 1 AS pos, id, rank, color, phase
+        FROM (SELECT username, row_number() OVER (PARTITION BY username ORDER BY card_id) AS nth, id, rank, color
+              FROM hands JOIN cards USING (card_id) JOIN card_type USING (id))
+        JOIN (SELECT username, least(game_phase, 10) AS phase FROM players JOIN games USING (game_id)) USING (username)
+        JOIN claim_sizes USING (phase)""",
 )
 
 # --- tables after a batch ---

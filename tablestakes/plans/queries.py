@@ -245,7 +245,7 @@ def hand_slots(spark, d):
 @query
 def zip_join(spark, d):
     """The k-th player of each game with its k-th card in seeded order."""
-    cards = deal.sample(roles.decks(spark, d), catalog.MAX_SEATS, SEED).drop("rn")
+    cards = deal.sample(roles.decks(spark, d), catalog.DECK_SIZE, SEED).drop("rn")
     return numbering.zip_join(
         roles.players(spark, d).select("game_id", "username"),
         cards.withColumn("h", scalars.seeded_hash("card_id", SEED)),
@@ -619,15 +619,15 @@ def leave_players(spark, d):
 
 @query
 def attempt_cards(spark, d):
-    """Claims of the first five cards of each hand, checked for ownership.
+    """Each hand cut into claims of five cards, checked for ownership.
 
     Every second claim is entered by the next player instead of the owner.
     """
     state = roles.state(spark, d)
-    hand = numbering.numbered(state["hands"], ["username"], ["card_id"]).filter("rn <= 5")
-    lists = hand.groupBy("username").agg(F.sort_array(F.collect_list("card_id")).alias("cards"))
+    hand = numbering.numbered(state["hands"], ["username"], ["card_id"])
+    lists = hand.groupBy("username", F.expr("(rn - 1) div 5").alias("k")).agg(F.sort_array(F.collect_list("card_id")).alias("cards"))
     attempts = lists.join(state["players"], "username").select(
-        col("username").alias("attempt_id"),
+        F.concat_ws("-", "username", "k").alias("attempt_id"),
         F.when(col("game_id") % 2 == 0, col("username")).otherwise(col("next_player")).alias("username"),
         lit(2).alias("phase"),
         "cards",
@@ -731,23 +731,23 @@ def join_players(spark, d):
 
 @query
 def claim_phase(spark, d):
-    """Whoever is on turn claims the phase with the first cards of the hand."""
+    """Everyone claims the phase of the table with all cards of the hand, as many at a time as it asks for."""
     state = roles.state(spark, d)
     size = F.create_map(*[lit(x) for p in catalog.PHASES for x in (p, catalog.claim_size(p))])
-    hand = numbering.numbered(state["hands"], ["username"], ["card_id"]).filter(col("rn") <= catalog.MAX_CLAIM)
-    lists = hand.groupBy("username").agg(F.sort_array(F.collect_list("card_id")).alias("all_cards"))
+    phase = F.least("game_phase", lit(10))
+    seat = state["players"].join(state["games"], "game_id").select("username", phase.alias("phase"))
+    hand = numbering.numbered(state["hands"], ["username"], ["card_id"]).join(seat, "username")
     asked = (
-        state["players"].join(lists, "username").join(state["games"], "game_id")
+        hand.groupBy("username", "phase", F.floor((col("rn") - 1) / size[col("phase")]).alias("k"))
+        .agg(F.sort_array(F.collect_list("card_id")).alias("cards"))
         .select(
-            F.expr("cast(substr(username, 2) as bigint)").alias("request_id"),
+            (F.expr("cast(substr(username, 2) as bigint)") * 10 + col("k")).alias("request_id"),
             roles.as_of().alias("ts"),
             col("username").alias("login"),
             F.expr("md5(concat('pw:', username))").alias("pw"),
-            F.least("game_phase", lit(10)).alias("phase"),
-            "all_cards",
+            "phase",
+            "cards",
         )
-        .withColumn("cards", F.slice("all_cards", lit(1), size[col("phase")]))
-        .drop("all_cards")
     )
     return phases.claim(state, asked, SEED)[0].select(
         "request_id", "login", "status_code", "fail_pos", "message"

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tablestakes.operators.numbering import numbered_in_blocks
 from tablestakes.sources.catalog import (
     COLORS, DECK_SIZE, HAND_SIZE, PHASES, card_catalog, card_key, claim_size, nth_card_id,
 )
@@ -35,14 +36,13 @@ def laid_card(pos: str) -> str:
 
 
 def seats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers in credit sit five to a table, in key order."""
+    """Customers sit five to a table, in key order."""
     table = W.partitionBy("game_id")
     return (
         load(spark, sf_dir, "customer")
-        .filter("c_acctbal >= 0")
         .selectExpr(
             "concat('u', c_custkey) AS username", "c_custkey", "c_custkey div 5 AS game_id",
-            "cast(floor(c_acctbal) as int) % 100 AS points",
+            "abs(cast(floor(c_acctbal) as int)) % 100 AS points",
         )
         .withColumn("seat", F.row_number().over(table.orderBy("c_custkey")))
         .withColumn("seats", F.count("*").over(table).cast("int"))
@@ -69,7 +69,6 @@ def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def games(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         load(spark, sf_dir, "customer")
-        .filter("c_acctbal >= 0")
         .selectExpr("c_custkey div 5 AS game_id")
         .distinct()
         .select(
@@ -158,18 +157,20 @@ def moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def claim_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All cards of every order, numbered; `cut_claims` makes claims of them."""
-    order = W.partitionBy("attempt_id").orderBy(
-        "l_linenumber", "id", "l_suppkey", "l_extendedprice", "l_shipdate"
-    )
+    """All cards of every order, numbered; `cut_claims` makes claims of them.
+
+    An order of many lines is numbered in blocks of them, not in one task.
+    """
+    order = ["l_linenumber", "id", "l_suppkey", "l_extendedprice", "l_shipdate"]
     colors = ", ".join(f"'{c}'" for c in COLORS)
+    lines = load(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey AS attempt_id", "l_partkey AS id", "l_suppkey", "l_linenumber",
+        "l_extendedprice", "l_shipdate", "cast(l_quantity as int) AS qty",
+    )
+    block = F.greatest(F.expr("l_linenumber div 1000"), F.lit(0))
     return (
-        load(spark, sf_dir, "lineitem")
-        .selectExpr(
-            "l_orderkey AS attempt_id", "l_partkey AS id", "l_suppkey", "l_linenumber",
-            "l_extendedprice", "l_shipdate", "cast(l_quantity as int) AS qty",
-        )
-        .withColumn("pos", F.row_number().over(order))
+        numbered_in_blocks(lines, ["attempt_id"], order, block, "pos")
+        .withColumn("pos", F.col("pos").cast("int"))
         .withColumn(
             "rank",
             F.expr("cast(CASE WHEN qty % 5 = 0 THEN 13 WHEN qty = 49 THEN 14 ELSE 1 + id % 3 END as int)"),
