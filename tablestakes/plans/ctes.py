@@ -68,7 +68,8 @@ VIEWS = {
                coalesce((SELECT max(ts) FROM events WHERE user_id = c_custkey),
                         TIMESTAMP '2024-01-01 00:00:00') AS activity,
                2 + c_nationkey % 5 AS p_count
-        FROM customer""",
+        FROM customer
+        UNION ALL SELECT 's' || s_suppkey, md5('pw:s' || s_suppkey), TIMESTAMP '2024-01-01 00:00:00', 2 + s_nationkey % 5 FROM supplier""",
     "requests": """
         SELECT event_id AS request_id, ts, 'u' || user_id AS login,
                CASE WHEN value < 1 THEN 'wrong' ELSE md5('pw:u' || user_id) END AS pw,

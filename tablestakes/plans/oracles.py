@@ -382,9 +382,7 @@ oracle(
 )
 
 # --- composed operators ---
-oracle(
-    "register_users",
-    """SELECT s.request_id, s.login,
+_REGISTER = """SELECT s.request_id, s.login,
          CASE WHEN taken THEN 'taken_login' WHEN strlen(s.login) < 2 THEN 'short_login'
               WHEN strlen(pw) < 2 THEN 'short_password' ELSE 'ok' END AS status_code,
          CASE WHEN taken THEN 'Same login already exists' WHEN strlen(s.login) < 2 THEN 'Login is too short'
@@ -392,13 +390,13 @@ oracle(
        FROM (SELECT s.*, u.username IS NOT NULL OR coalesce((w.ts, w.request_id) < (s.ts, s.request_id), false) AS taken
              FROM sign_ups s LEFT JOIN users u ON u.username = s.login
              LEFT JOIN (SELECT * FROM sign_ups WHERE strlen(login) > 1 AND strlen(pw) > 1
-               QUALIFY row_number() OVER (PARTITION BY login ORDER BY ts, request_id) = 1) w ON w.login = s.login) s""",
-    sign_ups="""
+               QUALIFY row_number() OVER (PARTITION BY login ORDER BY ts, request_id) = 1) w ON w.login = s.login) s"""
+_SIGN_UPS = """
         SELECT o_orderkey AS request_id, o_orderdate AS ts,
                CASE o_orderpriority WHEN '5-LOW' THEN 'x' ELSE 'u' || (o_custkey * 2) END AS login,
                CASE o_orderstatus WHEN 'P' THEN 'p' ELSE 'secret' END AS pw
-        FROM orders""",
-)
+        FROM orders"""
+oracle("register_users", _REGISTER, sign_ups=_SIGN_UPS)
 oracle(
     "initial_deal",
     "SELECT game_id, username, card_id FROM seats JOIN dealt USING (game_id) WHERE (pos - 1) // 10 + 1 = seat",
@@ -578,20 +576,58 @@ oracle(
               sum(points)::BIGINT AS points_held
        FROM games JOIN players USING (game_id) GROUP BY game_phase""",
 )
-oracle(
-    "create_games",
-    """SELECT request_id, login, CASE WHEN late THEN 'seated' ELSE code END AS status_code,
+_CREATE = """SELECT request_id, login, CASE WHEN late THEN 'seated' ELSE code END AS status_code,
          CASE WHEN late OR code = 'seated' THEN 'You are in game already' WHEN code = 'wrong_password' THEN 'Wrong password'
               WHEN code = 'wrong_count' THEN 'Wrong number of players' ELSE 'ok' END AS message,
          CASE WHEN code = 'ok' AND NOT late THEN 1000000 + request_id END AS game_id
        FROM (SELECT *, code = 'ok' AND row_number() OVER (PARTITION BY login, code ORDER BY ts, request_id) > 1 AS late
-             FROM asked)""",
+             FROM asked)"""
+_CREATE_VIEWS = dict(
     asked="""
         SELECT r.request_id, r.ts, r.login,
                CASE WHEN a.u_password IS NULL OR a.u_password <> r.pw THEN 'wrong_password'
                     WHEN r.number NOT BETWEEN 2 AND 6 THEN 'wrong_count'
                     WHEN a.game_id IS NOT NULL THEN 'seated' ELSE 'ok' END AS code
-        FROM requests r LEFT JOIN accounts a ON a.username = r.login""",
+        FROM (SELECT request_id, ts, number, coalesce(asker, login) AS login, coalesce(md5('pw:' || asker), pw) AS pw
+              FROM (SELECT *, CASE WHEN request_id % 2 = 0 THEN 's' || (1 + request_id % 61) END AS asker FROM requests)) r
+        LEFT JOIN accounts a ON a.username = r.login""",
+)
+oracle("create_games", _CREATE, **_CREATE_VIEWS)
+oracle(
+    "create_hands",
+    """SELECT card_id, username FROM hands
+       UNION ALL SELECT card_id, login FROM (
+         SELECT game_id * 1000 + id AS card_id, login,
+                row_number() OVER (PARTITION BY game_id ORDER BY md5('7:' || (game_id * 1000 + id)), id) AS pos
+         FROM (SELECT * FROM made WHERE game_id IS NOT NULL), card_type) WHERE pos <= 10""",
+    made=_CREATE,
+    **_CREATE_VIEWS,
+)
+oracle(
+    "create_players",
+    """SELECT username, points, next_player, game_id FROM players
+       UNION ALL SELECT login, 0, NULL, game_id FROM made WHERE game_id IS NOT NULL""",
+    made=_CREATE,
+    **_CREATE_VIEWS,
+)
+oracle(
+    "sign_up_users",
+    f"""SELECT username, u_password, activity, p_count FROM users
+       UNION ALL SELECT r.login, md5(pw), {AS_OF}, 2 FROM registered r JOIN sign_ups USING (request_id) WHERE status_code = 'ok'""",
+    registered=_REGISTER,
+    sign_ups=_SIGN_UPS,
+)
+oracle(
+    "teardown_rows",
+    """SELECT 'hands' AS table_name, card_id::VARCHAR AS a, username AS b FROM hands
+         WHERE username NOT IN (SELECT username FROM players JOIN dead USING (game_id))
+       UNION ALL SELECT 'turns', current_player, current_player FROM turns
+         WHERE current_player NOT IN (SELECT username FROM players JOIN dead USING (game_id))
+       UNION ALL SELECT 'players', username, game_id::VARCHAR FROM players WHERE game_id NOT IN (FROM dead)
+       UNION ALL SELECT 'games', game_id::VARCHAR, game_phase::VARCHAR FROM games WHERE game_id NOT IN (FROM dead)
+       UNION ALL SELECT 'decks', card_id::VARCHAR, game_id::VARCHAR FROM decks WHERE game_id NOT IN (FROM dead)
+       UNION ALL SELECT 'cards', card_id::VARCHAR, id::VARCHAR FROM cards JOIN decks USING (card_id) WHERE game_id NOT IN (FROM dead)""",
+    dead="SELECT game_id FROM games WHERE game_phase = 11",
 )
 _JOIN = """SELECT request_id, login, game_id,
          CASE WHEN code <> 'ok' OR sits THEN code WHEN has_seat THEN 'seated'
@@ -609,19 +645,21 @@ _JOIN_VIEWS = dict(
     room="""
         SELECT game_id, max(p_count) FILTER (WHERE next_player IS NULL) - count(*) AS free
         FROM players JOIN users USING (username) JOIN games USING (game_id) WHERE card_on_table IS NULL GROUP BY game_id""",
+    asking="""
+        SELECT o_orderkey AS request_id, o_orderdate AS ts, o_custkey // 20 * 4 AS game_id,
+               CASE WHEN o_orderkey % 2 = 0 THEN 's' || (1 + o_orderkey % 61) ELSE 'u' || o_custkey END AS login
+        FROM orders""",
     asked="""
-        SELECT o_orderkey AS request_id, o_orderdate AS ts, 'u' || o_custkey AS login, o_custkey // 20 * 4 AS game_id, free,
+        SELECT q.*, free,
                CASE WHEN a.username IS NULL THEN 'wrong_password'
                     WHEN g.game_id IS NULL THEN 'wrong_game'
                     WHEN a.game_id IS NOT NULL THEN 'seated'
                     WHEN free IS NULL OR free <= 0 THEN 'full' ELSE 'ok' END AS code
-        FROM orders LEFT JOIN accounts a ON a.username = 'u' || o_custkey
-        LEFT JOIN games g ON g.game_id = o_custkey // 20 * 4 LEFT JOIN room ON room.game_id = g.game_id""",
+        FROM asking q LEFT JOIN accounts a ON a.username = q.login
+        LEFT JOIN games g ON g.game_id = q.game_id LEFT JOIN room ON room.game_id = g.game_id""",
 )
 oracle("join_games", _JOIN, **_JOIN_VIEWS)
-oracle(
-    "claim_phase",
-    """SELECT request_id, login,
+_CLAIM = """SELECT request_id, login,
          CASE WHEN code <> 'ok' THEN code WHEN message <> 'You get points!' THEN 'refused'
               WHEN row_number() OVER (PARTITION BY login, code, message ORDER BY request_id) > 1 THEN 'deferred' ELSE 'ok' END AS status_code,
          fail_pos, CASE code WHEN 'waiting' THEN 'Waiting for players' WHEN 'not_your_turn' THEN 'Wait for your turn'
@@ -630,7 +668,8 @@ oracle(
                     CASE WHEN card_on_table IS NULL THEN 'waiting'
                          WHEN current_player IS DISTINCT FROM username THEN 'not_your_turn'
                          WHEN game_phase = 11 THEN 'wrong_phase' ELSE 'ok' END AS code
-             FROM accounts JOIN verdicts v ON split_part(v.attempt_id, '-', 1) = username)""",
+             FROM accounts JOIN verdicts v ON split_part(v.attempt_id, '-', 1) = username)"""
+_CLAIM_VIEWS = dict(
     claims="SELECT DISTINCT attempt_id, phase FROM hand_claims",
     claim_cards="SELECT attempt_id, pos, id, rank, color FROM hand_claims",
     hand_claims="""
@@ -640,8 +679,35 @@ oracle(
         JOIN (SELECT username, least(game_phase, 10) AS phase FROM players JOIN games USING (game_id)) USING (username)
         JOIN claim_sizes USING (phase)""",
 )
+oracle("claim_phase", _CLAIM, **_CLAIM_VIEWS)
 
 # --- tables after a batch ---
+_WON = """
+    SELECT a.username, a.game_id, a.game_phase, a.next_player, a.hand_size
+    FROM judged_claims JOIN accounts a ON a.username = login WHERE status_code = 'ok'"""
+_AFTER_CLAIMS = """
+    SELECT g.game_id, CASE WHEN w.hand_size = 11 AND w.game_phase < 10 THEN
+             (SELECT arg_min(card_id, md5('7:' || card_id)) FROM decks d WHERE d.game_id = g.game_id AND card_id NOT IN (SELECT card_id FROM hands))
+           ELSE card_on_table END AS card_on_table,
+           (g.game_phase + CASE WHEN w.game_id IS NULL THEN 0 ELSE 1 END)::INT AS game_phase
+    FROM games g LEFT JOIN won w ON w.game_id = g.game_id"""
+for _name, _sql in {
+    "claim_games": "SELECT game_id, card_on_table, game_phase FROM after_claims",
+    "claim_players": """SELECT p.username, (points + CASE WHEN w.username IS NULL THEN 0 ELSE 2 * w.game_phase - 1 END)::INT AS points,
+                               p.next_player, p.game_id FROM players p LEFT JOIN won w ON w.username = p.username""",
+    "claim_turns": """SELECT current_player FROM turns WHERE current_player NOT IN (SELECT username FROM won)
+                      UNION ALL SELECT next_player FROM won WHERE game_phase < 10""",
+    "claim_hands": """SELECT card_id, username FROM hands WHERE username NOT IN (
+                        SELECT username FROM players WHERE game_id IN (SELECT game_id FROM won WHERE game_phase < 10))
+                      UNION ALL
+                      SELECT c.card_id, s.username
+                      FROM (SELECT game_id, d.card_id, row_number() OVER (PARTITION BY game_id ORDER BY md5('7:' || d.card_id), d.card_id) AS k
+                            FROM decks d JOIN after_claims USING (game_id) WHERE d.card_id IS DISTINCT FROM card_on_table) c
+                      JOIN (SELECT game_id, username, row_number() OVER (PARTITION BY game_id ORDER BY username) AS s FROM players) s
+                        ON s.game_id = c.game_id AND (c.k - 1) // 10 + 1 = s.s
+                      WHERE c.game_id IN (SELECT game_id FROM won WHERE game_phase < 10)""",
+}.items():
+    oracle(_name, _sql, won=_WON, after_claims=_AFTER_CLAIMS, judged_claims=_CLAIM, **_CLAIM_VIEWS)
 oracle(
     "draw_hands",
     "SELECT card_id, username FROM hands UNION ALL SELECT card_id, login FROM drawn WHERE card_id IS NOT NULL",
@@ -662,6 +728,43 @@ oracle(
     placed=_DISCARD,
     **_DISCARD_VIEWS,
 )
+oracle(
+    "discard_hands",
+    "SELECT card_id, username FROM hands WHERE card_id NOT IN (SELECT card_id FROM placed WHERE status_code = 'ok')",
+    placed=_DISCARD,
+    **_DISCARD_VIEWS,
+)
+oracle(
+    "discard_turns",
+    """SELECT coalesce(next_turn, current_player) AS current_player
+       FROM turns LEFT JOIN (SELECT * FROM placed WHERE next_turn IS NOT NULL) ON login = current_player""",
+    placed=_DISCARD,
+    **_DISCARD_VIEWS,
+)
+oracle(
+    "leave_hands",
+    "SELECT card_id, username FROM hands WHERE username NOT IN (SELECT login FROM gone WHERE route IS NOT NULL)",
+    gone=_LEAVE,
+    **_LEAVE_VIEWS,
+)
+oracle(
+    "leave_users",
+    """SELECT username, u_password, activity,
+              CASE WHEN username IN (SELECT login FROM gone WHERE route IS NOT NULL) THEN 2 ELSE p_count END AS p_count FROM users""",
+    gone=_LEAVE,
+    **_LEAVE_VIEWS,
+)
+oracle(
+    "leave_turns",
+    """SELECT current_player FROM turns WHERE current_player NOT IN (SELECT login FROM gone WHERE route IS NOT NULL)
+       UNION ALL
+       SELECT arg_min(s.username, (h.seat - s.seat + h.seats) % h.seats)
+       FROM seats h JOIN seats s ON s.game_id = h.game_id AND s.username NOT IN (SELECT login FROM gone WHERE route IS NOT NULL)
+       WHERE h.username IN (SELECT current_player FROM turns) AND h.username IN (SELECT login FROM gone WHERE route = 'unlink')
+       GROUP BY h.username""",
+    gone=_LEAVE,
+    **_LEAVE_VIEWS,
+)
 oracle(
     "leave_players",
     """SELECT username, CASE WHEN lag(username) OVER w IS NOT NULL THEN lag(username) OVER w
@@ -691,6 +794,35 @@ oracle(
     **_JOIN_VIEWS,
 )
 
+_NEWCOMERS = """
+    SELECT login, j.game_id, row_number() OVER (PARTITION BY j.game_id ORDER BY o_orderdate, request_id) AS place
+    FROM joined j JOIN orders ON o_orderkey = request_id WHERE status_code = 'ok'"""
+_FREE = """
+    SELECT game_id, card_id, row_number() OVER (PARTITION BY game_id ORDER BY md5('7:' || card_id), card_id) AS nth
+    FROM decks WHERE card_id NOT IN (SELECT card_id FROM hands)"""
+oracle(
+    "join_hands",
+    """SELECT card_id, username FROM hands
+       UNION ALL SELECT card_id, login FROM free_deck JOIN newcomers USING (game_id) WHERE (nth - 1) // 10 + 1 = place""",
+    newcomers=_NEWCOMERS,
+    free_deck=_FREE,
+    joined=_JOIN,
+    **_JOIN_VIEWS,
+)
+oracle(
+    "join_tables",
+    """SELECT game_id, CASE WHEN n.came > 0 AND s.seated + n.came >= s.wants THEN
+                (SELECT arg_min(card_id, nth) FROM free_deck f WHERE f.game_id = g.game_id AND nth > 10 * n.came)
+              ELSE card_on_table END AS card_on_table, game_phase
+       FROM games g LEFT JOIN (SELECT game_id, count(*) AS came FROM newcomers GROUP BY 1) n USING (game_id)
+       LEFT JOIN (SELECT game_id, count(*) AS seated, max(CASE WHEN seat = 1 THEN p_count END) AS wants
+                  FROM seats JOIN users USING (username) GROUP BY 1) s USING (game_id)""",
+    newcomers=_NEWCOMERS,
+    free_deck=_FREE,
+    joined=_JOIN,
+    **_JOIN_VIEWS,
+)
+
 # --- streaming ---
 oracle(
     "stream_last_activity",

@@ -466,6 +466,20 @@ def teardown_games(spark, d):
     )
 
 
+@query
+def teardown_rows(spark, d):
+    """Key and game or owner of every row that stays after finished games are removed, by table."""
+    state = roles.state(spark, d)
+    after = changes.teardown(state, state["games"].filter("game_phase = 11"))
+    shown = {
+        "hands": ("card_id", "username"), "turns": ("current_player", "current_player"), "players": ("username", "game_id"),
+        "games": ("game_id", "game_phase"), "decks": ("card_id", "game_id"), "cards": ("card_id", "id"),
+    }
+    return audits.union_all(
+        [after[t].select(lit(t).alias("table_name"), col(a).cast("string").alias("a"), col(b).cast("string").alias("b")) for t, (a, b) in shown.items()]
+    )
+
+
 @query
 def serialise_requests(spark, d):
     seat = roles.players(spark, d).select(col("username").alias("login"), "game_id")
@@ -540,6 +554,12 @@ def register_users(spark, d):
     return lobby.register(roles.users(spark, d), _sign_ups(spark, d))
 
 
+@query
+def sign_up_users(spark, d):
+    """All accounts after the batch of sign-ups."""
+    return lobby.register_users({"users": roles.users(spark, d)}, _sign_ups(spark, d), roles.as_of(), F.md5("pw"))[1]["users"]
+
+
 @query
 def initial_deal(spark, d):
     return deal.initial_deal(roles.seats(spark, d), SEED)
@@ -602,6 +622,18 @@ def discard_games(spark, d):
     return _discard(spark, d)[1]["games"]
 
 
+@query
+def discard_hands(spark, d):
+    """All hands after the batch of places."""
+    return _discard(spark, d)[1]["hands"]
+
+
+@query
+def discard_turns(spark, d):
+    """Who is on turn after the batch of places."""
+    return _discard(spark, d)[1]["turns"]
+
+
 def _leaves(spark, d):
     return roles.requests(spark, d).filter("kind = 'leave'").select("request_id", "ts", "login", "pw")
 
@@ -617,6 +649,24 @@ def leave_players(spark, d):
     return turns.leave(roles.state(spark, d), _leaves(spark, d))[1]["players"].select("username", "next_player", "game_id")
 
 
+@query
+def leave_hands(spark, d):
+    """All hands after the batch of leaves."""
+    return turns.leave(roles.state(spark, d), _leaves(spark, d))[1]["hands"]
+
+
+@query
+def leave_turns(spark, d):
+    """Who is on turn after the batch of leaves: of a leaver, the next one who stays."""
+    return turns.leave(roles.state(spark, d), _leaves(spark, d))[1]["turns"]
+
+
+@query
+def leave_users(spark, d):
+    """All accounts after the batch of leaves."""
+    return turns.leave(roles.state(spark, d), _leaves(spark, d))[1]["users"]
+
+
 @query
 def attempt_cards(spark, d):
     """Each hand cut into claims of five cards, checked for ownership.
@@ -701,19 +751,44 @@ def phase_progress(spark, d):
     return lobby.progress(roles.state(spark, d))
 
 
+def _from_seatless(row_id: str, login: str):
+    """Every second request comes from an account without a seat."""
+    return F.expr(f"CASE WHEN {row_id} % 2 = 0 THEN concat('s', 1 + {row_id} % 61) ELSE {login} END")
+
+
+def _creates(spark, d):
+    asked = roles.requests(spark, d).withColumn("by", _from_seatless("request_id", "login")).selectExpr(
+        "request_id", "ts", "by AS login", "CASE WHEN by = login THEN pw ELSE md5(concat('pw:', by)) END AS pw",
+        "number AS pl_count", "1000000 + request_id AS game_id",
+    )
+    return lobby.create_games(roles.state(spark, d), asked, roles.as_of(), SEED)
+
+
 @query
 def create_games(spark, d):
-    asked = roles.requests(spark, d).selectExpr(
-        "request_id", "ts", "login", "pw", "number AS pl_count", "1000000 + request_id AS game_id"
-    )
-    return lobby.create_games(roles.state(spark, d), asked, roles.as_of(), SEED)[0]
+    return _creates(spark, d)[0]
+
+
+@query
+def create_hands(spark, d):
+    """All hands after the batch of new games."""
+    return _creates(spark, d)[1]["hands"]
+
+
+@query
+def create_players(spark, d):
+    """All seats after the batch of new games."""
+    return _creates(spark, d)[1]["players"]
 
 
 def _joins(spark, d):
-    """Customers without a table ask for one; so do some who have one."""
-    asked = schema.load(spark, d, "orders").selectExpr(
-        "o_orderkey AS request_id", "o_orderdate AS ts", "concat('u', o_custkey) AS login",
-        "md5(concat('pw:u', o_custkey)) AS pw", "o_custkey div 20 * 4 AS game_id",
+    """Accounts without a table ask for one; so do those who have one."""
+    asked = (
+        schema.load(spark, d, "orders").withColumn("login", _from_seatless("o_orderkey", "concat('u', o_custkey)"))
+        .selectExpr(
+            "o_orderkey AS request_id", "o_orderdate AS ts", "login",
+            "md5(concat('pw:', login)) AS pw", "o_custkey div 20 * 4 AS game_id",
+        )
     )
     return lobby.join_games(roles.state(spark, d), asked, roles.as_of(), SEED)
 
@@ -730,7 +805,18 @@ def join_players(spark, d):
 
 
 @query
-def claim_phase(spark, d):
+def join_hands(spark, d):
+    """All hands after the batch of joins."""
+    return _joins(spark, d)[1]["hands"]
+
+
+@query
+def join_tables(spark, d):
+    """All games after the batch of joins: those that filled up have a table card."""
+    return _joins(spark, d)[1]["games"]
+
+
+def _claims(spark, d):
     """Everyone claims the phase of the table with all cards of the hand, as many at a time as it asks for."""
     state = roles.state(spark, d)
     size = F.create_map(*[lit(x) for p in catalog.PHASES for x in (p, catalog.claim_size(p))])
@@ -749,9 +835,36 @@ def claim_phase(spark, d):
             "cards",
         )
     )
-    return phases.claim(state, asked, SEED)[0].select(
-        "request_id", "login", "status_code", "fail_pos", "message"
-    )
+    return phases.claim(state, asked, SEED)
+
+
+@query
+def claim_phase(spark, d):
+    return _claims(spark, d)[0].select("request_id", "login", "status_code", "fail_pos", "message")
+
+
+@query
+def claim_hands(spark, d):
+    """All hands after the batch of claims: whoever sits with a winner got a new one."""
+    return _claims(spark, d)[1]["hands"]
+
+
+@query
+def claim_games(spark, d):
+    """All games after the batch of claims."""
+    return _claims(spark, d)[1]["games"]
+
+
+@query
+def claim_players(spark, d):
+    """All seats with their points after the batch of claims."""
+    return _claims(spark, d)[1]["players"]
+
+
+@query
+def claim_turns(spark, d):
+    """Who is on turn after the batch of claims."""
+    return _claims(spark, d)[1]["turns"]
 
 
 # --- streaming ---------------------------------------------------------------

@@ -111,12 +111,16 @@ def hands(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every customer has an account; activity is the latest event."""
+    """Customers and suppliers have accounts; activity is the latest event. Suppliers have no seat."""
     seen = (
         load(spark, sf_dir, "events")
         .groupBy(F.col("user_id").alias("c_custkey"))
         .agg(F.max("ts").alias("seen"))
     )
+    seatless = load(spark, sf_dir, "supplier").selectExpr(
+        "concat('s', s_suppkey) AS username", "md5(concat('pw:s', s_suppkey)) AS u_password",
+        "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS activity", "2 + s_nationkey % 5 AS p_count",
+    )
     return (
         load(spark, sf_dir, "customer")
         .join(seen, "c_custkey", "left")
@@ -126,6 +130,7 @@ def users(spark: SparkSession, sf_dir: str) -> DataFrame:
             "coalesce(seen, TIMESTAMP_NTZ '2024-01-01 00:00:00') AS activity",
             "2 + c_nationkey % 5 AS p_count",
         )
+        .unionByName(seatless)
     )
 
 
