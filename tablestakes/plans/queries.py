@@ -90,7 +90,8 @@ def pk_violations(spark, d):
 
 @query
 def fk_orphans(spark, d):
-    child = roles.requests(spark, d).select("request_id", "login")
+    """Requests of logins without a seat."""
+    child = roles.requests(spark, d).select("request_id", _from_seatless("request_id", "login").alias("login"))
     return audits.fk_orphans(child, "login", roles.players(spark, d), "username", "request_id")
 
 
@@ -881,8 +882,8 @@ def stream_last_activity(spark, d):
 
 
 def _replayed(spark, d, resend=False):
-    """The events as files that come about in time order, read one a batch."""
-    path = feeds.replay(schema.load(spark, d, "events"), scratch_dir(spark, "events"), resend=resend)
+    """The events as files that come about in time order and a closing mark, read one a batch."""
+    path = feeds.replay(schema.load(spark, d, "events"), scratch_dir(spark, "events"), resend=resend, mark=True)
     return feeds.read_events(spark, path, 1)
 
 
@@ -897,15 +898,15 @@ def _moves(events):
 @query
 def stream_state_changes(spark, d):
     events = _replayed(spark, d).selectExpr("concat('u', user_id) AS username", "ts", "event_id", "event_type AS fp")
-    return feeds.state_changes(events, scratch_dir(spark, "changes"))
+    return feeds.state_changes(events, scratch_dir(spark, "changes"), close=False)
 
 
 @query
 def stream_move_ledger(spark, d):
-    return feeds.ledger_stream(_moves(_replayed(spark, d)), scratch_dir(spark, "ledger"))
+    return feeds.ledger_stream(_moves(_replayed(spark, d)), scratch_dir(spark, "ledger"), close=False)
 
 
 @query
 def stream_resent_events(spark, d):
     """The move ledger when every event but the last ones is sent twice."""
-    return feeds.ledger_stream(_moves(_replayed(spark, d, resend=True)), scratch_dir(spark, "resent"), resent=True)
+    return feeds.ledger_stream(_moves(_replayed(spark, d, resend=True)), scratch_dir(spark, "resent"), close=False, resent=True)

@@ -18,7 +18,7 @@ from tablestakes.operators.joins import HOT_ROWS
 from tablestakes.operators.numbering import with_slices
 from tablestakes.sources.catalog import HAND_SIZE
 from tablestakes.sources.schema import INPUTS
-from tablestakes.streaming.ordered import EventOrder, finish, folder, in_event_order, run_to_files, written
+from tablestakes.streaming.ordered import EventOrder, closing_mark, finish, folder, in_event_order, run_to_files, written
 
 DELAY = "7 hours"
 
@@ -30,9 +30,10 @@ def read_events(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path)
 
 
-def replay(events: DataFrame, path: str, parts: int = 3, jitter_hours: int = 6, resend: bool = False) -> str:
+def replay(events: DataFrame, path: str, parts: int = 3, jitter_hours: int = 6, resend: bool = False, mark: bool = False) -> str:
     """Write a table as the files of a stream, about in time order: a row may come up to
-    `jitter_hours` late. With `resend`, every file also holds the rows of the one before."""
+    `jitter_hours` late. With `resend`, every file also holds the rows of the one before.
+    With `mark` the last file also closes the stream."""
     spread = jitter_hours * 3600
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(at)).scalar(), events.agg(F.max(at)).scalar()
@@ -40,8 +41,9 @@ def replay(events: DataFrame, path: str, parts: int = 3, jitter_hours: int = 6,
     dealt = events.withColumn("_part", F.floor(shifted * parts / (high - low + spread + 1)))
     folder(events.sparkSession, path)
     for p in range(parts):  # one write after the other, as the source reads by age
-        found = dealt.where(F.col("_part").between(p - 1, p) if resend else F.col("_part") == p)
-        found.drop("_part").coalesce(1).write.mode("append").parquet(path)
+        found = dealt.where(F.col("_part").between(p - 1, p) if resend else F.col("_part") == p).drop("_part")
+        last = found.unionByName(closing_mark(events)) if mark and p == parts - 1 else found
+        last.coalesce(1).write.mode("append").parquet(path)
     return path
 
 

@@ -19,8 +19,11 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+# Keyed state of processors needs this store; a batch writes its changes instead of a whole snapshot.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 # A closing mark's stamp lies behind all events.
 END = "TIMESTAMP '9999-01-01 00:00:00'"
 
@@ -110,8 +113,9 @@ def in_event_order(events: DataFrame, root: str, key: str, delay: str, processor
 def run_to_files(stream: DataFrame, root: str) -> None:
     """Process what is there into files, one batch after the other, and stop."""
     conf = stream.sparkSession.conf
-    before = conf.get(PROVIDER)
-    conf.set(PROVIDER, ROCKSDB)  # the query keeps the settings it starts with
+    before = {name: conf.get(name, None) for name in STORE}
+    for name, value in STORE.items():  # the query keeps the settings it starts with
+        conf.set(name, value)
     try:
         query = (
             stream.writeStream.outputMode("append").format("parquet")
@@ -120,15 +124,20 @@ def run_to_files(stream: DataFrame, root: str) -> None:
             .start(folder(stream.sparkSession, f"{root}/out"))
         )
     finally:
-        conf.set(PROVIDER, before)
+        for name, value in before.items():
+            conf.unset(name) if value is None else conf.set(name, value)
     query.awaitTermination()
 
 
+def closing_mark(events: DataFrame) -> DataFrame:
+    """One row: a stamp behind all events, and nothing else."""
+    names = [F.expr(END).cast(f.dataType).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]
+    return events.sparkSession.range(1).select(*names)
+
+
 def finish(stream: DataFrame, events: DataFrame, root: str) -> None:
     """Close the stream: one more run whose mark moves the watermark behind all that waits."""
-    spark = events.sparkSession
-    names = [F.expr(END).cast(f.dataType).alias("ts") if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]
-    spark.range(1).select(*names).write.mode("append").parquet(f"{root}/marks")
+    closing_mark(events).coalesce(1).write.mode("append").parquet(f"{root}/marks")
     run_to_files(stream, root)
 
 

@@ -112,3 +112,15 @@ def test_unlink_closes_long_gaps(spark):
     gone = spark.createDataFrame([(f"u{i:02d}",) for i in range(2, 19)], "username string")
     left = {r.username: r.next_player for r in ring.unlink(players, gone).collect()}
     assert left == {"u00": "u01", "u01": "u19", "u19": "u00"}
+
+
+def test_seats_and_slots_beyond_the_deck_are_shown(spark):
+    seats = spark.createDataFrame([(1, f"p{n:02d}", n) for n in range(1, 13)], "game_id long, username string, seat int")
+    dealt = deal.initial_deal(seats, 7).collect()
+    assert {r.username for r in dealt if r.card_id is None} == {"p11", "p12"}
+    assert len({r.card_id for r in dealt if r.card_id is not None}) == 100
+    decks = deal.build_decks(spark.createDataFrame([(1,)], "game_id long")).select("card_id", "game_id")
+    games = spark.createDataFrame([(1, 1490)], "game_id long, card_on_table long")
+    slots = deal.redeal_hands(seats, decks, games, 7).collect()
+    assert len(slots) == 120 and sum(r.card_id is None for r in slots) == 13
+    assert 1490 not in {r.card_id for r in slots}

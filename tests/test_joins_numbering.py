@@ -136,3 +136,21 @@ def test_hashed_ids_are_numbered_in_ranges_of_equal_size(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "SinglePartition" not in plan.split("BroadcastExchange")[0]
     assert numbering.range_numbered(df.where("k is null"), ["k"]).count() == 0
+
+
+def test_long_groups_are_numbered_in_blocks(spark):
+    rows = [(g, n, n % 3) for g, size in (("a", 5000), ("b", 3), ("c", 1200)) for n in range(size)] + [("b", 1, 9)]
+    df = spark.createDataFrame(rows, "g string, n int, x int").repartition(4)
+    got = numbering.numbered_in_blocks(df, ["g"], ["n", "x"], F.expr("n div 1000"), "pos").collect()
+    for g in "abc":
+        mine = sorted((r for r in got if r.g == g), key=lambda r: (r.n, r.x))
+        assert [r.pos for r in mine] == list(range(1, len(mine) + 1)) and len(mine) == sum(r[0] == g for r in rows)
+
+
+def test_a_null_key_is_sliced_like_others(spark):
+    rows = [(None if n % 2 else "k", n, n // 40) for n in range(400)]
+    df = spark.createDataFrame(rows, "k string, n int, block int")
+    sliced = numbering.with_slices(df, ["k"], F.col("block"), hot_rows=50)
+    assert sliced.where("_slice IS NULL").count() == 0 and sliced.count() == 400
+    got = as_map(numbering.running_sum(df, ["k"], ["n"], F.col("block"), F.lit(1), "s", hot_rows=50), "n", "s")
+    assert got == {n: n // 2 + 1 for n in range(400)}
