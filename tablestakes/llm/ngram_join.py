@@ -20,9 +20,9 @@ hash are first tied to one hub each, and the blocks of step 3 only count pairs a
 the groups so formed. Ties are verified like all other pairs. Where some fail and a
 group falls apart, pairs across its parts are sought in blocks of bounded numbers of
 nodes: step 2 again, in the order by frequency inside the block, then whole sets
-multiplied. One link per pair of parts is kept: pairs stay inside a block and never
-become rows. Every pair of nodes is thus verified, below its bound, or inside one
-component already.
+multiplied. Of a block's links only a forest over its parts is kept: pairs stay inside a
+block and never become rows. Every pair of nodes is thus verified, below its bound, or
+inside one component already.
 """
 
 from __future__ import annotations
@@ -422,8 +422,31 @@ def near_pairs(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[
     return a[near], b[near]
 
 
+def forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
+    """Places of links (a, b) that join what all of them join, without a cycle; ends are below `size`.
+
+    Every tree hooks on one with a smaller label, so at most size - 1 links are kept.
+    """
+    label, at, kept = np.arange(size), np.arange(len(a)), []
+    while True:
+        ends = np.sort(np.stack((label[a[at]], label[b[at]])), axis=0)
+        apart = ends[0] != ends[1]
+        at, (low, high) = at[apart], ends[:, apart]
+        if not len(at):
+            return np.concatenate(kept) if kept else np.empty(0, np.int64)
+        picked = np.full(size, -1)
+        picked[high] = np.arange(len(high))
+        picked = picked[picked >= 0]
+        kept.append(at[picked])
+        hook = np.arange(size)
+        hook[high[picked]] = low[picked]
+        while (hook[hook] != hook).any():
+            hook = hook[hook]
+        label = hook[label]
+
+
 def links_across(parts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Links between the parts of each tied group, from whole sets: one per pair of parts and block.
+    """Links between the parts of each tied group, from whole sets: a forest per pair of blocks.
 
     `parts`: node, tie, part. A group's nodes are dealt to blocks of about BLOCK nodes, and
     every pair of its blocks is one product of bounded size.
@@ -443,8 +466,8 @@ def links_across(parts: DataFrame, members: DataFrame, percent: int) -> DataFram
             return
         sets = [np.frombuffer(g[2], np.uint64) for g in group]
         a, b = near_pairs(sets, part, percent)
-        _, first = np.unique(np.stack((np.minimum(part[a], part[b]), np.maximum(part[a], part[b])), axis=1), axis=0, return_index=True)
-        for at in first:
+        _, place = np.unique(part, return_inverse=True)
+        for at in forest(place[a], place[b], int(place.max()) + 1):
             yield int(node[a[at]]), int(node[b[at]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

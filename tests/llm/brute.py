@@ -116,6 +116,16 @@ def shingles(text, k=5):
     return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)}
 
 
+def joined(size, links):
+    group = {k: {k} for k in range(size)}
+    for a, b in links:
+        if group[a] is not group[b]:
+            group[a] |= group[b]
+            for k in group[b]:
+                group[k] = group[a]
+    return list({id(g): g for g in group.values()}.values())
+
+
 def components(rows):
     sets = [(i, shingles(t)) for i, t in rows]
     parent = list(range(len(sets)))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -198,6 +199,33 @@ def test_ngram_join_near_copies(spark, monkeypatch):
     assert ngram_join.keep_first(frame).count() == len({c for *_, c in expected})
 
 
+def test_forest_joins_what_the_links_join():
+    rng = np.random.default_rng(2)
+    for size in (1, 2, 9, 60):
+        for many in (0, 1, 20, 400):
+            a, b = rng.integers(0, size, (2, many))
+            kept = ngram_join.forest(a, b, size)
+            group = lambda at: {frozenset(g) for g in brute.joined(size, zip(a[at], b[at]))}
+            assert group(kept) == group(np.arange(many)) and len(kept) == size - len(group(kept))
+
+
+@pytest.mark.parametrize("copies", [200, 400])
+def test_links_grow_with_near_copies(spark, monkeypatch, copies):
+    given = []
+    across = ngram_join.links_across
+    monkeypatch.setattr(ngram_join, "links_across", lambda *a: given.append(across(*a).count()) or across(*a))
+    rng = random.Random(6)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for i in range(copies):
+        copy = base[:]
+        for _ in range(4):
+            copy[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((i, " ".join(copy)))
+    same(ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")), brute.components(rows))
+    assert sum(given) < copies
+
+
 def test_quality_rules(docs, rows):
     judged = quality_rules.judge(docs)
     same(judged.select("doc_id", *quality_rules.MEASURES, "base_failed"), brute.quality(rows))
