@@ -3,12 +3,13 @@
 The documents' sets of n-grams are the rows of a sparse 0/1 matrix. Its product with
 its own transpose holds every pair's overlap; it is never built. What is computed:
 
-1. One pass over the texts: 63-bit n-gram hashes, distinct and sorted. Documents with
-   equal sets become one node, so exact copies cost nothing further.
+1. One pass over the texts: 63-bit n-gram hashes from 64-bit word hashes, distinct and
+   sorted. Documents with equal sets become one node, so exact copies cost nothing further.
 2. Columns. In any fixed order of the n-grams, two sets of at least the wanted
    similarity share one of each other's first n - ceil(t n) + 1 members, so only that
-   part of each row enters the product. The order puts n-grams that are frequent in a
-   bounded sample of documents last; it changes the work, not the result.
+   part of each row enters the product. The order puts n-grams that are frequent last,
+   told by counts of all n-grams of all documents in a fixed number of buckets; it
+   changes the work, not the result.
 3. Blocks of columns are multiplied in numpy: for the nodes of a shared n-gram the
    overlap counts of their pairs grow by one. Counts are summed over blocks, and pairs
    below the bound their sizes set are discarded: if x's last entered n-gram comes no
@@ -28,6 +29,7 @@ inside one component already.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -39,48 +41,39 @@ from .common import column_bytes, cut, drop, emit
 from .components import components
 
 WORDS, PERCENT = 5, 80
-# Documents sampled for the order of n-grams, how many must hold one to put it last, and how many are.
-ORDER_SAMPLE, ORDER_COUNT, ORDER_MOST = 8_000, 4, 65_536
+# Buckets in which all n-grams are counted for their order, and when one is put last:
+# how far above the mean, and at least how many.
+ORDER_BITS, ORDER_ABOVE, ORDER_LEAST = 18, 2, 4
 HUBS = 3
 # Nodes per block, and columns per step, of the products inside a group of near copies;
 # up to how many candidates per node they are compared pair by pair instead.
 BLOCK, COLUMNS, PAIRWISE = 2_048, 4_096, 16
+# Nodes per piece of one column that very many nodes share.
+COLUMN = 8_192
 
 LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 BASE = 0x9E3779B97F4A7C15
+STEP = np.uint64(BASE)
 MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)]
 SEEDS = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 TOP = np.uint64(1 << 63)
 
 
 class Hasher:
-    """Distinct n-gram hashes of a text: polynomial over bytes, from prefix sums."""
+    """Distinct n-gram hashes of a text: from the words' xxh3 hashes, in their order."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.powers, self.inverses = words, np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-    def _reach(self, size: int) -> None:
-        if size > len(self.powers):
-            size = max(size, 2 * len(self.powers))
-            inverse = pow(BASE, -1, 1 << 64)
-            for name, base in (("powers", BASE), ("inverses", inverse)):
-                table = np.full(size, base, np.uint64)
-                table[0] = 1
-                setattr(self, name, np.multiply.accumulate(table))
+        self.words = words
 
     def __call__(self, text: bytes) -> np.ndarray:
         words = text.translate(LOWER).split()
         if not words:
             return np.empty(0, np.uint64)
-        data = np.frombuffer(b" ".join(words) + b" ", np.uint8)
-        self._reach(len(data) + 1)
-        ends = np.flatnonzero(data == 32)
-        starts = np.concatenate(([0], ends[:-1] + 1))
+        hashed = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
         n = min(self.words, len(words))
-        first, last = starts[: len(words) - n + 1], ends[n - 1 :]
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * self.powers[: len(data)], out=sums[1:])
-        found = (sums[last] - sums[first]) * self.inverses[first] + (last - first).astype(np.uint64)
+        found = np.full(len(words) - n + 1, n, np.uint64)
+        for k in range(n):
+            found = found * STEP + hashed[k : k + len(found)]
         return np.unique(_mixed(found) >> np.uint64(1))
 
 
@@ -101,38 +94,43 @@ def entered(n, percent: int = PERCENT):
 
 
 def first_members(grams: np.ndarray, last: np.ndarray, count: int) -> np.ndarray:
-    """The first `count` n-grams in the order (not in `last`, hash), as signed keys in that order."""
-    size = min(len(grams), 2 * count + 64)
-    while True:
-        head = grams[:size]
-        at = np.searchsorted(last, head)
-        late = last[np.minimum(at, len(last) - 1)] == head if len(last) else np.zeros(len(head), bool)
-        early = head[~late]
-        if len(early) >= count or size == len(grams):
-            break
-        size = len(grams)
-    keys = np.concatenate((early, head[late] | TOP)) if len(early) < count else early
-    return (keys[:count] ^ TOP).view(np.int64)
-
-
-def sample_order(rows: DataFrame, words: int) -> np.ndarray:
-    """N-grams held by many documents of a bounded sample, sorted; they come last."""
-    total = rows.count()
-    if not total:
-        return np.empty(0, np.uint64)
-    share = max(1, -(-total // ORDER_SAMPLE))
-    picked = rows.select("text").distinct() if share == 1 else rows.where(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(share)) == 0).select("text").distinct()
-
-    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher = Hasher(words)
+    """The first `count` n-grams in the order (not in a bucket of `last`, hash), as signed keys in that order."""
+    late = last[bucket(grams)]
+    keys = grams[~late][:count]
+    if len(keys) < count:
+        keys = np.concatenate((keys, grams[late][: count - len(keys)] | TOP))
+    return (keys ^ TOP).view(np.int64)
+
+
+def frequent_buckets(rows: DataFrame, words: int) -> np.ndarray:
+    """For each of 2^ORDER_BITS buckets of n-grams, whether all rows together fill it far above the mean.
+
+    The n-grams of these buckets come last in the order. At most 1 / ORDER_ABOVE of the
+    buckets can be so, which bounds what the driver takes.
+    """
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher, total = Hasher(words), np.zeros(1 << ORDER_BITS, np.int64)
         for batch in batches:
             found = [hasher(t) for t in column_bytes(batch, "text")]
             if found:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64))], names=["gram"])
+                total += np.bincount(bucket(np.concatenate(found)), minlength=len(total))
+        filled = np.flatnonzero(total)
+        for at in range(0, len(filled), 65536):
+            part = filled[at : at + 65536]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
+
+    sums = cut(rows.select("text").mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
+    mean = (sums.agg(F.sum("n")).first()[0] or 0) / (1 << ORDER_BITS)
+    most = sums.where(F.col("n") > max(ORDER_ABOVE * mean, ORDER_LEAST)).select("bucket").toArrow()
+    drop(sums)
+    out = np.zeros(1 << ORDER_BITS, bool)
+    out[most.column("bucket").to_numpy()] = True
+    return out
 
-    often = picked.mapInArrow(grams, "gram long").groupBy("gram").count().where(F.col("count") >= ORDER_COUNT)
-    often = often.orderBy(F.desc("count"), "gram").limit(ORDER_MOST)
-    return np.sort(np.array([r.gram for r in often.select("gram").collect()], np.int64).view(np.uint64))
+
+def bucket(grams: np.ndarray) -> np.ndarray:
+    return (grams >> np.uint64(63 - ORDER_BITS)).astype(np.int64)
 
 
 ROWS = "doc_id long, hash long, node long, proof long, n int, m0 long, m1 long, m2 long, reach long, grams binary"
@@ -140,7 +138,7 @@ ROWS = "doc_id long, hash long, node long, proof long, n int, m0 long, m1 long,
 
 def matrix_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
     """ROWS of every document: node (fingerprint of its set), size, minimum hashes, entered n-grams."""
-    last = rows.sparkSession.sparkContext.broadcast(sample_order(rows, words))
+    last = rows.sparkSession.sparkContext.broadcast(frequent_buckets(rows, words))
     names = [part.split()[0] for part in ROWS.split(", ")]
     kinds = [*[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 4, pa.binary()]
     schema = pa.schema(list(zip(names, kinds)))
@@ -194,8 +192,9 @@ def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _multiplied(percent: int):
-    """Partial overlap counts of the pairs in a block of columns, each with its bound."""
+    """Partial overlap counts of the pairs in the pieces of columns, each with its bound."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int32()), ("n_shared", pa.int32())])
+    names = ("gram", "i", "k", "own", "node", "n", "reach", "part")
 
     def summed(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pairs = np.concatenate(found)
@@ -206,31 +205,37 @@ def _multiplied(percent: int):
             part = pairs[fresh[at : at + 65536]]
             yield pa.RecordBatch.from_arrays([pa.array(part[:, k]).cast(f.type) for k, f in enumerate(list(schema)[:3])] + [pa.array(counts[at : at + 65536], pa.int32())], schema=schema)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ("gram", "node", "n", "reach", "part")
-        parts = [[batch.column(c).to_numpy() for c in names] for batch in batches if batch.num_rows]
-        if not parts:
-            return
-        gram, node, n, reach, part = (np.concatenate(c).astype(np.int64) for c in zip(*parts))
-        order = np.lexsort((node, gram))
-        gram, node, n, reach, part = (c[order] for c in (gram, node, n, reach, part))
-        fresh = np.concatenate(([True], (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])))
-        gram, node, n, reach, part = (c[fresh] for c in (gram, node, n, reach, part))
-        starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))
-        found, held = [], 0
-        for start, end in zip(starts, np.append(starts[1:], len(gram))):
-            for at in range(start, end - 1):  # a row of the product against the nodes after it
-                other = np.arange(at + 1, end)
-                other = other[(part[other] != part[at]) & (100 * np.minimum(n[other], n[at]) >= percent * np.maximum(n[other], n[at]))]
-                if not len(other):
-                    continue
+    def piece(across, own, node, n, reach, part) -> Iterator[np.ndarray]:
+        """Rows a, b, need of a piece's nodes, each pair once with a < b; `across`: of its two sides only."""
+        _, order = np.unique(node, return_index=True)  # repeated rows count once
+        own, node, n, reach, part = (c[order] for c in (own, node, n, reach, part))
+        for at in range(len(node) - 1):  # a row of the product against the nodes after it
+            other = np.arange(at + 1, len(node))
+            other = other[(part[other] != part[at]) & (100 * np.minimum(n[other], n[at]) >= percent * np.maximum(n[other], n[at]))]
+            other = other[own[other] != own[at]] if across else other
+            if len(other):
                 inner = np.where((reach[other] > reach[at]) | ((reach[other] == reach[at]) & (n[at] <= n[other])), n[at], n[other])
                 need = least_overlap(n[at], n[other], percent) - inner + entered(inner, percent)
-                found.append(np.stack((np.full(len(other), node[at]), node[other], need), axis=1))
-                held += len(other)
-                if held > 1_000_000:
-                    yield from summed(found)
-                    found, held = [], 0
+                yield np.stack((np.full(len(other), node[at]), node[other], need), axis=1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held, rest = [], 0, [np.empty(0, np.int64)] * len(names)
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                rest = [np.concatenate((old, batch.column(c).to_numpy().astype(np.int64))) for old, c in zip(rest, names)]
+            gram, i, k = rest[:3]
+            starts = np.flatnonzero(np.concatenate(([True], (gram[1:] != gram[:-1]) | (i[1:] != i[:-1]) | (k[1:] != k[:-1])))) if len(gram) else np.empty(0, np.int64)
+            ends = np.append(starts[1:], len(gram))
+            whole = len(starts) if batch is None else len(starts) - 1  # the last piece may go on in the next batch
+            for start, end in zip(starts[:whole], ends[:whole]):
+                for pairs in piece(i[start] != k[start], *(c[start:end] for c in rest[3:])):
+                    found.append(pairs)
+                    held += len(pairs)
+                    if held > 1_000_000:
+                        yield from summed(found)
+                        found, held = [], 0
+            if whole > 0:
+                rest = [c[ends[whole - 1] :] for c in rest]
         if found:
             yield from summed(found)
 
@@ -241,15 +246,28 @@ def shared_pairs(entries: DataFrame, parts: DataFrame, percent: int) -> DataFram
     """Pairs (a, b) of nodes in different parts whose overlap counts reach their bounds.
 
     `parts`: node, part; nodes without a row are parts of their own. Columns all of
-    whose nodes are in one part are left out before the blocks are dealt.
+    whose nodes are in one part are left out before the blocks are dealt. A column of many
+    nodes is dealt in pieces of about COLUMN nodes, and every pair of its pieces is a
+    product of its own; counts of one pair of nodes are summed whichever piece they are from.
     """
     at = entries.join(parts.select(F.col("node").alias("p_node"), "part"), F.col("node") == F.col("p_node"), "left").select(
         "gram", "node", "n", "reach", F.coalesce("part", "node").alias("part")
     )
-    mixed = at.groupBy("gram").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("gram").alias("x_gram"))
+    mixed = (
+        at.groupBy("gram")
+        .agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.ceil(F.count(F.lit(1)) / COLUMN).cast("int").alias("pieces"))
+        .where("lo <> hi")
+        .select(F.col("gram").alias("x_gram"), "pieces")
+    )
+    own = F.pmod(F.xxhash64("node"), F.col("pieces")).cast("int")
+    dealt = (
+        at.join(mixed, F.col("gram") == F.col("x_gram"))
+        .select("gram", "node", "n", "reach", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("other"))
+        .select("gram", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "own", "node", "n", "reach", "part")
+    )
     counted = (
-        at.join(mixed, F.col("gram") == F.col("x_gram"), "left_semi")
-        .repartition("gram")
+        dealt.repartition("gram", "i", "k")
+        .sortWithinPartitions("gram", "i", "k")
         .mapInArrow(_multiplied(percent), "a long, b long, need int, n_shared int")
         .groupBy("a", "b", "need")
         .agg(F.sum("n_shared").alias("total"))

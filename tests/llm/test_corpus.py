@@ -183,6 +183,7 @@ def test_ngram_join(docs, rows):
 def test_ngram_join_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "COLUMNS", 64)
+    monkeypatch.setattr(ngram_join, "COLUMN", 4)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(300)]
     rows = []
@@ -199,6 +200,24 @@ def test_ngram_join_near_copies(spark, monkeypatch):
     assert ngram_join.keep_first(frame).count() == len({c for *_, c in expected})
 
 
+def test_ngrams_that_a_polynomial_confuses():
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    hasher = ngram_join.Hasher()
+    prints = [hasher(t.encode()).tolist() for t in (word, word.translate(str.maketrans("ab", "ba")), f"x {word}", f"{word} x", "a b a b", "a b b a", "a b")]
+    assert len({tuple(p) for p in prints}) == len(prints)
+
+
+def test_frequent_ngrams_come_last():
+    rng = np.random.default_rng(1)
+    grams = np.unique(rng.integers(0, 1 << 63, 300, dtype=np.uint64))
+    last = np.zeros(1 << ngram_join.ORDER_BITS, bool)
+    last[ngram_join.bucket(grams[::3])] = True
+    for count in (1, 150, 250, 300):
+        keys = ngram_join.first_members(grams, last, count)
+        assert len(keys) == count and (np.diff(keys.astype(object)) > 0).all()
+        assert {int(k) & (1 << 63) == 0 for k in keys[200:].view(np.uint64) ^ ngram_join.TOP} <= {False}
+
+
 def test_forest_joins_what_the_links_join():
     rng = np.random.default_rng(2)
     for size in (1, 2, 9, 60):
