@@ -18,7 +18,8 @@ its own transpose holds every pair's overlap; it is never built. What is compute
 
 Large groups of near copies would still be all pairs. So nodes that share a minimum
 hash are first tied to one hub each, and the blocks of step 3 only count pairs across
-the groups so formed. Ties are verified like all other pairs. Where some fail and a
+the groups so formed. Frequent n-grams do not tie sets that are mostly of others, so
+that a passage many documents share makes no group of them. Ties are verified like all other pairs. Where some fail and a
 group falls apart, pairs across its parts are sought in blocks of bounded numbers of
 nodes: step 2 again, in the order by frequency inside the block, then whole sets
 multiplied. Of a block's links only a forest over its parts is kept: pairs stay inside a
@@ -42,12 +43,14 @@ from .components import components
 
 WORDS, PERCENT = 5, 80
 # Buckets in which all n-grams are counted for their order, and when one is put last:
-# how far above the mean, and at least how many.
-ORDER_BITS, ORDER_ABOVE, ORDER_LEAST = 18, 2, 4
+# how many median deviations above the median, and above how many at least.
+ORDER_BITS, ORDER_ABOVE, ORDER_LEAST = 18, 6, 4
 HUBS = 3
 # Nodes per block, and columns per step, of the products inside a group of near copies;
 # up to how many candidates per node they are compared pair by pair instead.
 BLOCK, COLUMNS, PAIRWISE = 2_048, 4_096, 16
+# Rows of such a product that are compared with their bounds at once.
+SLAB = 256
 # Nodes per piece of one column that very many nodes share.
 COLUMN = 8_192
 
@@ -103,10 +106,10 @@ def first_members(grams: np.ndarray, last: np.ndarray, count: int) -> np.ndarray
 
 
 def frequent_buckets(rows: DataFrame, words: int) -> np.ndarray:
-    """For each of 2^ORDER_BITS buckets of n-grams, whether all rows together fill it far above the mean.
+    """For each of 2^ORDER_BITS buckets of n-grams, whether all rows together fill it far above the median.
 
-    The n-grams of these buckets come last in the order. At most 1 / ORDER_ABOVE of the
-    buckets can be so, which bounds what the driver takes.
+    The n-grams of these buckets come last in the order. The driver takes one number per
+    bucket, whatever the size of the corpus.
     """
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,13 +123,11 @@ def frequent_buckets(rows: DataFrame, words: int) -> np.ndarray:
             part = filled[at : at + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["bucket", "n"])
 
-    sums = cut(rows.select("text").mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")))
-    mean = (sums.agg(F.sum("n")).first()[0] or 0) / (1 << ORDER_BITS)
-    most = sums.where(F.col("n") > max(ORDER_ABOVE * mean, ORDER_LEAST)).select("bucket").toArrow()
-    drop(sums)
-    out = np.zeros(1 << ORDER_BITS, bool)
-    out[most.column("bucket").to_numpy()] = True
-    return out
+    sums = rows.select("text").mapInArrow(counted, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    total = np.zeros(1 << ORDER_BITS, np.int64)
+    total[sums.column("bucket").to_numpy()] = sums.column("n").to_numpy()
+    median = np.median(total)
+    return total > max(median + ORDER_ABOVE * np.median(np.abs(total - median)), ORDER_LEAST)
 
 
 def bucket(grams: np.ndarray) -> np.ndarray:
@@ -155,7 +156,9 @@ def matrix_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
                     continue
                 print_ = xxhash.xxh3_128_digest(grams.tobytes())
                 keys = first_members(grams, last.value, entered(n, percent))
-                least = [int(_mixed(grams * s).min().view(np.int64)) for s in SEEDS]
+                rare = grams[~last.value[bucket(grams)]]
+                tying = rare if 2 * len(rare) >= n else grams
+                least = [int(_mixed(tying * s).min().view(np.int64)) for s in SEEDS]
                 node, proof = (int.from_bytes(print_[k : k + 8], signed=True) for k in (0, 8))
                 out.append((doc, key, node, proof, n, *least, int(keys[-1]), keys.tobytes()))
             yield from emit(out, schema, 4096)
@@ -411,8 +414,8 @@ def product(rows: np.ndarray, column: np.ndarray, many: np.ndarray, left: np.nda
     return total
 
 
-def near_pairs(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (a, b) of the similar pairs of a block that are in different parts.
+def near_pairs(sets: list[np.ndarray], part: np.ndarray, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows (a, b) of the similar pairs of a block that are in different parts, some at a time.
 
     Candidates are decided one by one, or where they are many by a product of the rows
     concerned; both count whole sets.
@@ -420,24 +423,28 @@ def near_pairs(sets: list[np.ndarray], part: np.ndarray, percent: int) -> tuple[
     sizes = np.array([len(s) for s in sets])
     rows, column, many = incidence(sets)
     met = candidates(rows, column, many, sizes, percent)
-    met &= part[:, None] != part[None, :]
-    met &= 100 * np.minimum(sizes[:, None], sizes) >= percent * np.maximum(sizes[:, None], sizes)
-    a, b = np.nonzero(np.triu(met, 1))
-    if len(a) <= PAIRWISE * len(sets):
+    for at in range(0, len(sets), SLAB):
+        slab = slice(at, at + SLAB)
+        met[slab] &= part[slab, None] != part
+        met[slab] &= 100 * np.minimum(sizes[slab, None], sizes) >= percent * np.maximum(sizes[slab, None], sizes)
+    if np.count_nonzero(met) <= 2 * PAIRWISE * len(sets):
+        a, b = np.nonzero(np.triu(met, 1))
         both = (np.sort(np.concatenate((sets[x], sets[y]))) for x, y in zip(a, b))
         overlaps = np.array([int((s[1:] == s[:-1]).sum()) for s in both], np.int64)
-    else:
-        names, counts = np.unique(part, return_counts=True)
-        involved = np.zeros(len(sets), bool)
-        involved[a] = involved[b] = True
-        main = part == names[counts.argmax()]  # no pair lies inside it, so it is a right side only
-        left, right = np.flatnonzero(involved & ~main), np.flatnonzero(involved)
-        place = np.full((2, len(sets)), -1)
-        place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
-        a, b = np.where(main[a], b, a), np.where(main[a], a, b)
-        overlaps = product(rows, column, many, left, right)[place[0, a], place[1, b]]
-    near = overlaps >= least_overlap(sizes[a], sizes[b], percent)
-    return a[near], b[near]
+        near = overlaps >= least_overlap(sizes[a], sizes[b], percent)
+        yield a[near], b[near]
+        return
+    names, counts = np.unique(part, return_counts=True)
+    involved = met.any(axis=1)
+    main = part == names[counts.argmax()]  # no pair lies inside it, so it is a right side only
+    left, right = np.flatnonzero(involved & ~main), np.flatnonzero(involved)
+    overlaps = product(rows, column, many, left, right)
+    for at in range(0, len(left), SLAB):
+        own = left[at : at + SLAB]
+        near = met[own][:, right] & (main[right] | (own[:, None] < right))
+        near &= overlaps[at : at + SLAB] >= least_overlap(sizes[own][:, None], sizes[right], percent)
+        a, b = np.nonzero(near)
+        yield own[a], right[b]
 
 
 def forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
@@ -483,10 +490,13 @@ def links_across(parts: DataFrame, members: DataFrame, percent: int) -> DataFram
         if len(group) < 2 or (part == part[0]).all():
             return
         sets = [np.frombuffer(g[2], np.uint64) for g in group]
-        a, b = near_pairs(sets, part, percent)
         _, place = np.unique(part, return_inverse=True)
-        for at in forest(place[a], place[b], int(place.max()) + 1):
-            yield int(node[a[at]]), int(node[b[at]])
+        kept = np.empty((2, 0), np.int64)
+        for pairs in near_pairs(sets, part, percent):
+            kept = np.concatenate((kept, pairs), axis=1)
+            kept = kept[:, forest(*place[kept], int(place.max()) + 1)]
+        for a, b in node[kept].T:
+            yield int(a), int(b)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def results() -> Iterator[tuple]:

@@ -184,6 +184,7 @@ def test_ngram_join_near_copies(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 8)
     monkeypatch.setattr(ngram_join, "COLUMNS", 64)
     monkeypatch.setattr(ngram_join, "COLUMN", 4)
+    monkeypatch.setattr(ngram_join, "SLAB", 5)
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(300)]
     rows = []
