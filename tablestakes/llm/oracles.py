@@ -109,10 +109,14 @@ base AS (
 judged AS (
   SELECT *, n_words < {quality_rules.MIN_WORDS} OR 100 * n_repeat_words > {quality_rules.MAX_REPEAT_PERCENT} * n_words AS base_failed FROM base),
 host AS (SELECT source, count(*) AS n, count(*) FILTER (WHERE base_failed) AS f FROM judged WHERE source IS NOT NULL GROUP BY 1),
-moments AS (SELECT sum(f)::DOUBLE / sum(n) AS m, sum(f::DOUBLE * f / n) / sum(n) - (sum(f)::DOUBLE / sum(n)) ** 2 AS v FROM host),
+moments AS (
+  SELECT sum(f)::DOUBLE / sum(n) AS m, sum(f::DOUBLE * f / n) AS squares, sum(n)::DOUBLE AS n, count(*) - 1.0::DOUBLE AS chance,
+    sum(n)::DOUBLE - sum(n::DOUBLE * n) / sum(n) - (count(*) - 1) AS room FROM host),
+alike AS (
+  SELECT m, CASE WHEN m * (1 - m) > 0 AND room > 1e-9 THEN ((squares - n * m * m) / (m * (1 - m)) - chance) / room ELSE 0 END AS r FROM moments),
 prior AS (
-  SELECT m, least(greatest(CASE WHEN v > 1e-12 THEN m * (1 - m) / v - 1 ELSE {quality_rules.FLAT_PRIOR_WEIGHT} END, 1e-3),
-    {quality_rules.FLAT_PRIOR_WEIGHT}) AS k FROM moments),
+  SELECT m, CASE WHEN r > 1e-12 THEN least(greatest(1 / r - 1, 1e-3), {quality_rules.FLAT_PRIOR_WEIGHT})
+    ELSE {quality_rules.FLAT_PRIOR_WEIGHT} END AS k FROM alike),
 verdict AS (SELECT source, (f + m * k) / (n + k) > {quality_rules.MAX_HOST_RATE} AS failed FROM host, prior)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT coalesce(failed, FALSE) AS kept

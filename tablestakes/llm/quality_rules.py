@@ -2,8 +2,8 @@
 
 Every text is measured once. Failures are summed per host (map-side combine, so a
 host with a third of all rows costs no more than others), each host's rate is
-shrunk towards the rate of all hosts by a beta prior fitted to the hosts'
-rates (method of moments), and hosts whose shrunken rate is above a limit take
+shrunk towards the rate of all hosts by a beta prior fitted to the hosts' counts
+(beta-binomial moments: what chance alone scatters is taken out first), and hosts whose shrunken rate is above a limit take
 their documents with them.
 """
 
@@ -24,7 +24,7 @@ MAX_REPEAT_PERCENT = 50
 SYMBOLS = b"#*$%&|<>"
 # A host goes when its shrunken failure rate is above this.
 MAX_HOST_RATE = 0.5
-# Weight of the prior where hosts do not differ at all (no variance to fit).
+# Weight of the prior where hosts differ no more than by chance.
 FLAT_PRIOR_WEIGHT = 1e6
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -72,12 +72,17 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def beta_prior(n: float, failed: float, squares: float) -> tuple[float, float]:
-    """Beta prior by moments: rows, failures and the sum of failed^2/n over hosts."""
+def beta_prior(n: float, failed: float, squares: float, hosts: float, sizes: float) -> tuple[float, float]:
+    """Beta prior by moments: rows, failures, sum of failed^2/n, hosts and sum of n^2.
+
+    Of the scatter of the rates, hosts - 1 parts are chance; the rest gives the correlation
+    of two rows of one host. Hosts of one row each tell nothing of it: the prior is flat.
+    """
     mean = failed / n if n else 0.5
-    variance = squares / n - mean * mean if n else 0.0
-    weight = mean * (1 - mean) / variance - 1 if variance > 1e-12 else FLAT_PRIOR_WEIGHT
-    weight = min(max(weight, 1e-3), FLAT_PRIOR_WEIGHT)
+    spread = mean * (1 - mean)
+    room = n - sizes / n - (hosts - 1) if n else 0.0
+    alike = ((squares - n * mean * mean) / spread - (hosts - 1)) / room if spread > 0 and room > 1e-9 else 0.0
+    weight = min(max(1 / alike - 1, 1e-3), FLAT_PRIOR_WEIGHT) if alike > 1e-12 else FLAT_PRIOR_WEIGHT
     return mean * weight, (1 - mean) * weight
 
 
@@ -88,12 +93,14 @@ def host_verdicts(measured: DataFrame, max_rate: float = MAX_HOST_RATE) -> DataF
         .groupBy("host")
         .agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("base_failed").alias("n_failed"))
     )
-    n, failed, squares = counted.agg(
+    n, failed, squares, hosts, sizes = counted.agg(
         F.sum("n_docs").cast("double"),
         F.sum("n_failed").cast("double"),
         F.sum(F.col("n_failed").cast("double") * F.col("n_failed") / F.col("n_docs")),
+        F.count(F.lit(1)).cast("double"),
+        F.sum(F.col("n_docs").cast("double") * F.col("n_docs")),
     ).first()
-    alpha, beta = beta_prior(n or 0.0, failed or 0.0, squares or 0.0)
+    alpha, beta = beta_prior(n or 0.0, failed or 0.0, squares or 0.0, hosts, sizes or 0.0)
     rate = (F.col("n_failed") + F.lit(alpha)) / (F.col("n_docs") + F.lit(alpha + beta))
     return counted.select(
         F.col("host").alias("v_host"), "n_docs", "n_failed", rate.alias("host_rate"), (rate > F.lit(max_rate)).alias("host_failed")

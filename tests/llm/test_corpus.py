@@ -263,6 +263,16 @@ def test_hosts_shrink_towards_all(spark):
     assert not judged.where("doc_id = 2001").first().kept
 
 
+def test_small_hosts_shrink_unless_hosts_differ(spark):
+    bad, good = "no", " ".join(f"w{i}" for i in range(60))
+    pairs = [(good, good)] * 36 + [(bad, good)] * 48 + [(bad, bad)] * 16  # as two throws at 0.4 fall
+    rows = [(2 * h + k, t, f"h{h}") for h, pair in enumerate(pairs) for k, t in enumerate(pair)]
+    judged = quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert judged.where("host_failed").count() == 0 and judged.where("kept").count() == 120
+    assert quality_rules.beta_prior(1000, 400, 400, 1000, 1000) == (0.4 * 1e6, 0.6 * 1e6)
+    assert sum(quality_rules.beta_prior(1000, 400, 390, 10, 100_000)) < 1 < sum(quality_rules.beta_prior(1000, 400, 172, 10, 100_000))
+
+
 PAGES = [
     (1, "http://A.Example.org/es/1?q", "p" * 1200), (2, "https://b.example.org/en/12#x", "p" * 1200), (3, None, None), (4, "no scheme", ""),
     (5, "x://EXAMPLE.com/fr/9", "p" * 999), (6, "x://a.com", "p" * 999), (7, "http://u/ space\n/a", "é\r\n\r\nWARC/1.1\r\n" * 90),
