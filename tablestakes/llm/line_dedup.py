@@ -209,8 +209,12 @@ def report(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
     )
 
 
-def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars") -> DataFrame:
-    """The documents with repeated runs of lines taken out of `text`, and `n_chars` to match where it is a column."""
+def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars: str = "n_chars", drop_emptied: bool = False) -> DataFrame:
+    """The documents with repeated runs of lines taken out of `text`, and `n_chars` to match where it is a column.
+
+    `drop_emptied`: documents go of which no word is left, all of their lines being
+    elsewhere. Those without words before stay as they are.
+    """
     new = {text: F.col("kept"), n_chars: F.length("kept").cast("long")}
     kinds = dict(docs.dtypes)
     columns = [
@@ -219,4 +223,7 @@ def clean(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", n_chars:
         else F.col("row").getField(c).alias(c)
         for c in docs.columns
     ]
-    return deduplicate(docs, doc_id, text, runs).select(*columns)
+    found = deduplicate(docs, doc_id, text, runs)
+    if drop_emptied:
+        found = found.where((F.col("n_removed_chunks") == 0) | F.col("kept").rlike(r"[^\x20\x09-\x0D]"))
+    return found.select(*columns)

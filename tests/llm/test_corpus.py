@@ -173,6 +173,8 @@ def test_line_dedup_clean_takes_whole_runs(spark):
     expected |= dict(copied) | {60: "", 61: "tiny\ncopy", 62: "tiny\ncopy", 63: "\n".join([short] * 4)}
     found = {r.doc_id: r.text for r in line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
     assert found == expected
+    left = line_dedup.clean(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), drop_emptied=True).collect()
+    assert {r.doc_id: r.text for r in left} == {i: t for i, t in expected.items() if i != 60}
 
 
 def test_ngram_join(docs, rows):
