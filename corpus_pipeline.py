@@ -18,8 +18,8 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def remove_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the line chunks that occur in an earlier document or place."""
-    return line_dedup.clean(docs)
+    """Documents without the runs of lines that occur in an earlier document or place; those left without a word go."""
+    return line_dedup.clean(docs, drop_emptied=True)
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
