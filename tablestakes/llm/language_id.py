@@ -48,18 +48,20 @@ def trigrams(text: bytes) -> np.ndarray:
     return ((packed * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int64)
 
 
-def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE) -> np.ndarray:
+def fit(docs: DataFrame, text: str = "text", label: str = "lang", per_language: int = SAMPLE_PER_LANGUAGE, row_id: str = "doc_id") -> np.ndarray:
     """Log-likelihood table (languages x buckets) from a bounded sample of labelled rows.
 
-    The sample takes about `per_language` rows of each language by hash; the counts are
-    summed in Spark. Labels outside LANGUAGES are not used.
+    The sample takes about `per_language` rows of each language by the hash of id and
+    text, so copies of a text under many ids are sampled like other rows; the counts are
+    summed in Spark. Labels outside LANGUAGES and null texts are not used; without any
+    row all languages are alike.
     """
-    rows = docs.select(F.col(text).alias("text"), F.col(label).alias("label")).where(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull())
+    rows = docs.select(F.col(row_id).alias("row_id"), F.col(text).alias("text"), F.col(label).alias("label")).where(F.col("label").isin(*LANGUAGES) & F.col("text").isNotNull())
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     share = F.lit(0.0)
     for language, n in sizes.items():
         share = F.when(F.col("label") == language, F.lit(min(1.0, per_language / n))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
+    picked = rows.where(F.pmod(F.xxhash64("row_id", "text"), F.lit(1 << 20)) < share * (1 << 20)).select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros((len(LANGUAGES), BUCKETS), np.int64)
