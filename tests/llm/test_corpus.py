@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from collections import Counter
 
@@ -304,6 +305,52 @@ def test_arc_parser_walks_by_length(version):
         list(warc.from_arc("f.arc", [data[:-20]]))
 
 
+def arc_file(*records):
+    """A file of version 1 with raw records (url, date, content type, block)."""
+    lines = [f"{u} 1.2.3.4 {d} {c} {len(b)}".encode() + b"\n" + b + b"\n" for u, d, c, b in records]
+    return warc.arc_file_header(1, "old.arc").encode() + b"\n" + b"".join(lines)
+
+
+def test_legacy_archives(spark, tmp_path):
+    latin = "caf\xe9 ".encode("latin-1") * 300
+    http = lambda page, body, end=b"\r\n": end.join([b"HTTP/1.0 404 Nope \xe9", b"X-Page-Id: %d" % page, b"", body])
+    sound = arc_file(
+        ("http://a/", "199901011230", "text/html", http(1, latin)), ("http://b/", "1999", "text/html", http(2, latin, b"\n")),
+        ("dns:a", "19990101", "text/dns", b"1.2.3"), ("http://c/", "never", "text/html", b"HTTP/1.1 200 OK\r\n\r\n"),
+        ("http://d/", "19990101123045", "text/html", http(3, b"")),
+    )
+    (tmp_path / "in").mkdir()
+    for name, data in (("sound.arc", sound), ("short.arc", sound[:-8]), ("junk.arc", b"no archive\n"), ("none.arc", b"")):
+        (tmp_path / "in" / name).write_bytes(data)
+    records = warc.read_arc(spark, str(tmp_path / "in"))
+    damage = sorted(r.error.split(":")[0] for r in records.where("error is not null").collect())
+    assert damage == ["junk.arc", "short.arc"] and records.count() == 5 + 4 + 2
+    rows = [r for r in records.where("error is null").collect() if r.page_id != 1]
+    assert {r.warc_date for r in rows if r.url == "http://c/"} == {"1970-01-01T00:00:00Z"}
+    whole = records.where("error is null").dropDuplicates(["url"])
+    warc.write_warc(whole, str(tmp_path / "out"))
+    back = {r.url: r for r in warc.read_warc(spark, str(tmp_path / "out")).collect()}
+    assert [back[u].record_type for u in ("http://a/", "http://b/", "dns:a", "http://c/", "http://d/")] == ["revisit", "response", "resource", "response", "response"]
+    assert back["http://a/"].refers_to_id == back["http://b/"].record_id and back["http://a/"].refers_to == 2
+    assert back["http://a/"].payload_digest == back["http://b/"].payload_digest == hashlib.sha1(latin).hexdigest()
+    assert back["http://a/"].payload_bytes == len(latin) and back["dns:a"].payload_bytes == 5
+    assert [back[u].warc_date for u in ("http://a/", "http://b/", "http://d/")] == ["1999-01-01T12:30:00Z", "1999-01-01T00:00:00Z", "1999-01-01T12:30:45Z"]
+    with pytest.raises(Exception, match="archive ends"):
+        warc.read_arc(spark, str(tmp_path / "in" / "short.arc"), strict=True).count()
+
+
+def test_foreign_warc(spark, tmp_path):
+    block = b"HTTP/1.1 200 OK\r\n\r\n\xff"
+    record = lambda kind, body, *more: b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x:%d>" % len(more), *more, b"Content-Length: %d" % len(body), b"", body]) + b"\r\n\r\n"
+    wrong = b"WARC-Payload-Digest: sha1:" + b"A" * 32
+    (tmp_path / "f.warc").write_bytes(record(b"warcinfo", b"x: y") + record(b"response", block) + record(b"response", block, wrong) + record(b"resource", b"abc"))
+    rows = warc.read_warc(spark, str(tmp_path)).collect()
+    assert [(r.record_type, r.payload_bytes, r.error is None) for r in rows] == [("response", 1, True), ("response", 1, False), ("resource", 3, True)]
+    assert all(r.page_id is None and r.refers_to is None for r in rows)
+    with pytest.raises(Exception, match="differs from its digest"):
+        warc.read_warc(spark, str(tmp_path), strict=True).collect()
+
+
 def test_url_filter(spark, pages):
     rules = url_filter.rule_table(spark, url_filter.RULES)
     expected = []
