@@ -8,25 +8,27 @@ whose entries are picked by their first block and then compared word by word.
 
 The benchmark is the stated query set. It is read in blocks of bounded size, each
 broadcast by itself; the documents pass through the blocks one after another,
-without a shuffle.
+without a shuffle, and are written after every few blocks.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column_bytes
+from .common import column_bytes, cut, drop
 
 WINDOW = 10
 # Benchmark text per broadcast block.
 BLOCK_BYTES = 16 << 20
+# Blocks one task searches before its rows are written.
+BLOCKS_AT_ONCE = 4
 
 # A-Z to a-z; digits, letters and all bytes of non-ASCII characters stay; the rest parts words.
 FOLD = bytes(
@@ -130,6 +132,19 @@ def search_block(state: DataFrame, block: list[tuple[str, bytes]], window: int)
     return state.mapInArrow(run, state.schema)
 
 
+def _by_blocks(rows: DataFrame, blocks: Iterable[list[tuple[str, bytes]]], step: Callable[[DataFrame, list], DataFrame]) -> DataFrame:
+    """One step per block; written after every BLOCKS_AT_ONCE, which bounds the workers and tables a task has at once."""
+    written = None
+    for k, block in enumerate(blocks):
+        if k and k % BLOCKS_AT_ONCE == 0:
+            spent, written = written, cut(rows)
+            rows = written
+            if spent is not None:
+                drop(spent)
+        rows = step(rows, block)
+    return rows
+
+
 def scan(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -152,8 +167,7 @@ def scan(
         F.lit(None).cast("binary").alias("hit"),
         F.array().cast("array<string>").alias("items"),
     )
-    for block in benchmark_blocks(benchmark, item_id, item_text, block_bytes):
-        state = search_block(state, block, window)
+    state = _by_blocks(state, benchmark_blocks(benchmark, item_id, item_text, block_bytes), lambda rows, block: search_block(rows, block, window))
     kind = state.schema["doc_id"].dataType.simpleString()
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,9 +196,7 @@ def clean(
 
     Documents without text stay. Nothing is shuffled; rows pass as they are.
     """
-    for block in benchmark_blocks(benchmark, item_id, item_text):
-        docs = _drop_hits(docs, block, text, window)
-    return docs
+    return _by_blocks(docs, benchmark_blocks(benchmark, item_id, item_text), lambda rows, block: _drop_hits(rows, block, text, window))
 
 
 def _drop_hits(docs: DataFrame, block: list[tuple[str, bytes]], text: str, window: int) -> DataFrame:

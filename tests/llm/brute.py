@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -175,3 +176,80 @@ def archive(rows):
         revisit = len(p) >= 1000 and i is not None and largest[p] > i
         out.append((i, len(p), hashlib.sha1(p).hexdigest(), "revisit" if revisit else "response", largest[p] if revisit else None))
     return out
+
+
+# ---- language ID --------------------------------------------------------------------
+
+
+def _softmax(scores):
+    top = max(scores)
+    weights = [math.exp(s - top) for s in scores]
+    return [w / sum(weights) for w in weights]
+
+
+def identify(rows, model):
+    """(id, text, declared, suffix, host, domain) rows to (id, text_lang, lang, posterior), one loop per step."""
+    from tablestakes.llm.language_id import BUCKETS, DOMAIN_WEIGHT, EVIDENCE, HOST_WEIGHT, LANGUAGES
+
+    every = range(len(LANGUAGES))
+
+    def code(value):
+        found = re.match(r"\s*([A-Za-z]{2})(?:[^A-Za-z]|$)", value or "")
+        return None if not found else found[1].lower() if found[1].lower() in LANGUAGES else "other"
+
+    def likelihoods(text):
+        letters = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in (text or "").encode())
+        padded = b" " + b" ".join(letters.split()) + b" "
+        grams = [(padded[i] << 16 | padded[i + 1] << 8 | padded[i + 2]) * 2654435761 % 2**32 >> 17 for i in range(len(padded) - 2)] if len(padded) >= 4 else []
+        assert all(g < BUCKETS for g in grams)
+        if not grams:
+            return [0.0] * len(LANGUAGES)
+        scores = [sum(float(model[x][g]) for g in grams) / len(grams) * min(len(grams), EVIDENCE) for x in every]
+        return [s - max(scores) for s in scores]
+
+    scores = [likelihoods(text) for _, text, *_ in rows]
+    shares = [_softmax(s) if any(s) else [0.0] * len(LANGUAGES) for s in scores]
+
+    def sums(keys):
+        found = defaultdict(lambda: [0.0] * len(LANGUAGES))
+        for key, share in zip(keys, shares):
+            if key is not None:
+                found[key] = [a + b for a, b in zip(found[key], share)]
+        return found
+
+    declared, suffix = [code(r[2]) for r in rows], [code(r[3]) for r in rows]
+    tables = []
+    for keys in (declared, suffix):
+        found = sums(keys)
+        totals = [sum(s[x] for s in found.values()) for x in every]
+        tables.append({k: [math.log((s[x] + 1) / (totals[x] + len(LANGUAGES) + 1)) for x in every] for k, s in found.items()})
+    hosts, domains = sums([r[4] for r in rows]), sums([r[5] if r[4] is not None else None for r in rows])
+    total = [sum(s[x] for s in shares) for x in every]
+    out = []
+    for k, (row_id, _, _, _, host, domain) in enumerate(rows):
+        prior = [(total[x] + 1) / (sum(total) + len(LANGUAGES)) for x in every]
+        if host is not None:
+            for found, weight in ((domains[domain], DOMAIN_WEIGHT), (hosts[host], HOST_WEIGHT)):
+                others = [max(found[x] - shares[k][x], 0.0) for x in every]
+                prior = [(others[x] + weight * prior[x]) / (sum(others) + weight) for x in every]
+        fused = [scores[k][x] + math.log(prior[x]) for x in every]
+        for key, table in zip((declared[k], suffix[k]), tables):
+            fused = [fused[x] + (table[key][x] if key is not None else 0.0) for x in every]
+        final = _softmax(fused)
+        first = lambda values: LANGUAGES[max(every, key=lambda x: (values[x], -x))]
+        out.append((row_id, first(scores[k]), first(final), max(final)))
+    return out
+
+
+def page_facts(page_id, url, html):
+    """Visible text, declared language, suffix, host and domain of a page."""
+    host = re.match(r".*?://(?:[^/?#@]*@)?([^/?#:]*)", url or "")
+    host = (host[1].lower() if host else "") or None
+    if url is None:
+        host = None
+    label, domain = re.search(r"\.([a-z]{2})\Z", host or ""), re.search(r"([^.]+\.[^.]+)\Z", host or "")
+    segment = re.match(r".*?://[^/?#]*/([A-Za-z]{2})(?:[/?#]|\Z)", url or "")
+    lang = re.search(r"(?is)<html\b[^>]*?\blang\s*=\s*[\"']?([A-Za-z-]+)", html or "", re.ASCII)
+    bare = re.sub(r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>", " ", html or "", flags=re.ASCII)
+    bare = re.sub(r"&#?\w{1,10};", " ", bare, flags=re.ASCII)
+    return page_id, bare, lang and lang[1], label[1] if label else segment and segment[1], host, None if host is None else domain[1] if domain else ""

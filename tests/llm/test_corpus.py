@@ -381,6 +381,36 @@ def test_language_id(spark, sf_dir, pages):
     assert language_id.identify_pages(pages.where("1 = 0"), model).count() == 0
 
 
+def test_evidence_is_fused_as_by_hand(spark, sf_dir, pages):
+    """Whole pages, repeated rows, null and empty columns, hosts of one and of many rows, one very long page."""
+    model = language_id.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    given = [(r.page_id, r.url, r.html) for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    rows = given + PAGES + [(1, "http://a.de/x", "le et la les " * 30000), (None, "http://a.de/fr/", None), (1, None, ""), (2, "http://h/", "der die das und")] + given[:5]
+    found = language_id.identify_pages(spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, lang string").repartition(3), model)
+    expected = brute.identify([brute.page_facts(*r) for r in rows], model)
+    key = lambda r: tuple(map(str, r[:3])) + (round(r[3], 6),)
+    mine = sorted(((r.page_id, r.text_lang, r.lang, r.posterior) for r in found.collect()), key=key)
+    assert [key(r) for r in mine] == [key(r) for r in sorted(expected, key=key)]
+
+
+def test_the_fitting_sample_is_bounded_on_copies(spark, sf_dir):
+    rows = [(k, "der die das und" if k % 3 else f"text {k} und wort", "de") for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = np.exp(language_id.fit(docs, per_language=300)[0].astype(float))
+    n = (counts / counts.min() * 0.1 - 0.1).sum()  # trigrams of the sampled rows
+    assert 150 * 13 < n < 450 * 19
+    flat = language_id.fit(docs.where("1 = 0"))
+    assert flat.shape == (4, language_id.BUCKETS) and np.ptp(flat) == 0
+
+
+def test_benchmark_blocks_are_searched_a_few_at_a_time(docs, rows, spark, monkeypatch):
+    monkeypatch.setattr(decontamination, "BLOCKS_AT_ONCE", 2)
+    benchmark = spark.createDataFrame(ITEMS, "item_id long, text string")
+    one, many = decontamination.scan(docs, benchmark), decontamination.scan(docs, benchmark, block_bytes=12)
+    same(many, [tuple(r) for r in one.collect()])
+    assert many._jdf.queryExecution().executedPlan().toString().count("MapInArrow") <= 3
+
+
 def test_other_languages_and_letter_junk_are_rejected(spark, sf_dir):
     documents = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
     rng = random.Random(4)
