@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablestakes.functions.scalars import first_match
@@ -148,6 +148,24 @@ def place_rules() -> list:
     ]
 
 
+def told(hints: Mapping[str, str] = {}) -> dict[str, Column]:
+    """What a client is told beside the text of a refusal, by its status.
+
+    How many players wait; who is on turn and which card lies on the table; the next
+    thing to do (`hints`: status to key of MESSAGES).
+    """
+    code = F.col("status_code")
+    hint = F.lit(None).cast("string")
+    for status, key in hints.items():
+        hint = F.when(code == status, MESSAGES[key]).otherwise(hint)
+    return {
+        "waiting_players": F.when(code == "waiting", F.col("players_in_game")),
+        "turn_holder": F.when(code == "not_your_turn", F.col("current_player")),
+        "table_card": F.when(code == "not_your_turn", F.col("card_on_table")),
+        "hint": hint,
+    }
+
+
 def claim_rules() -> list:
     """Guards of a claim before its cards are looked at; `number` is the phase asked for."""
     return [

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from tablestakes.functions.scalars import first_match, phase_points
 from tablestakes.operators.changes import append, apply_deletes, apply_increment, apply_updates, serialise
 from tablestakes.operators.deal import pick, redeal
-from tablestakes.operators.guards import CLAIM_MESSAGES, account_guards, accounts, of_batch
+from tablestakes.operators.guards import CLAIM_MESSAGES, account_guards, accounts, of_batch, told
 from tablestakes.operators.joins import free_cards, lookup
+from tablestakes.operators.lobby import standings
 from tablestakes.session import cut
 from tablestakes.sources.catalog import (
     ACCEPTED, COLORS, LAST_PHASE, MAX_CLAIM, PHASES, SPECIAL_COLOR, WILD, WRONG_CARDS,
@@ -132,7 +133,9 @@ def claim(
     """A batch of phase claims (request_id, ts, login, pw, phase, cards).
 
     Returns the status of every claim and the new state. One claim per game
-    is carried out; a later one that would pass too is deferred.
+    is carried out; a later one that would pass too is deferred. A client is told
+    how many players wait, or the phase its game is in; `final_standings` answers
+    the claims that end their games.
     """
     seen = account_guards(lookup(attempts, accounts(of_batch(state, attempts)).withColumnRenamed("username", "login"), ["login"], "request_id"))
     turn_free = [p for p, (_, _, checked) in PHASES.items() if not checked]
@@ -170,8 +173,12 @@ def claim(
     # Six tables follow from the status: judge the batch once.
     status = cut(
         seen.join(judged, "request_id", "left").select(
-            "request_id", "ts", "login", "game_id", "hand_size", "game_phase", "next_player", "fail_pos", code, text
+            "request_id", "ts", "login", "game_id", "hand_size", "game_phase", "next_player", "fail_pos", code, text,
+            "players_in_game", "current_player", "card_on_table",
         )
+        .withColumn("waiting_players", told()["waiting_players"])
+        .withColumn("current_phase", F.when(F.col("status_code") == "wrong_phase", F.col("game_phase")))
+        .drop("players_in_game", "current_player", "card_on_table")
     )
     winners = serialise(status.filter("status_code = 'ok'")).filter("admitted").select(
         "request_id", "game_id", F.col("login").alias("username"), "hand_size", "game_phase", "next_player"
@@ -181,7 +188,7 @@ def claim(
         "request_id", "login", "game_id", "game_phase", "fail_pos",
         F.when((F.col("status_code") == "ok") & F.col("_done").isNull(), "deferred")
         .otherwise(F.col("status_code")).alias("status_code"),
-        "message",
+        "message", "waiting_players", "current_phase",
     )
     out = advance(state, winners.select("game_id", "username"))
     going = winners.filter(F.col("game_phase") < LAST_PHASE)
@@ -198,3 +205,15 @@ def claim(
     )
     return status, out
 
+
+
+def final_standings(status: DataFrame, state: Mapping[str, DataFrame]) -> DataFrame:
+    """What a claim of the last phase is answered with: the standings of its game.
+
+    `status` and `state` are the results of `claim`. One row per player of each game that
+    the batch ended, with the request that ended it; other claims have none.
+    """
+    ended = status.filter((F.col("status_code") == "ok") & (F.col("game_phase") == LAST_PHASE))
+    return ended.select("request_id", "game_id").join(standings(state), "game_id").select(
+        "request_id", "game_id", "info", "players", "points", "place"
+    )

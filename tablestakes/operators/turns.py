@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tablestakes.functions.scalars import first_match, seeded_hash
 from tablestakes.operators.changes import append, apply_deletes, apply_updates, serialise, teardown
-from tablestakes.operators.guards import MESSAGES, entry_rules, place_rules, take_rules, with_account
+from tablestakes.operators.guards import MESSAGES, entry_rules, place_rules, take_rules, told, with_account
 from tablestakes.operators.joins import HOT_ROWS, lookup
 from tablestakes.operators.numbering import with_slices
 from tablestakes.operators.ring import unlink
@@ -20,6 +20,7 @@ from tablestakes.sources.catalog import HAND_SIZE, LAST_PHASE, SKIP
 
 # What the effects of a judged request need; judged once, then written.
 JUDGED = ["request_id", "ts", "login", "game_id", "hand_size", "next_player", "card_on_table"]
+TOLD = ["waiting_players", "turn_holder", "table_card", "hint"]
 
 
 def _settle(judged: DataFrame, detail: list[str]) -> tuple[DataFrame, DataFrame]:
@@ -61,11 +62,14 @@ def draw(
     """Take requests (request_id, ts, login, pw, source).
 
     From the deck at ten cards the turn goes on; at nine it ends, and a skip
-    card on the table passes it twice. The table card is only for ten.
+    card on the table passes it twice. The table card is only for ten. Refusals
+    carry what the client is told with them (TOLD).
     """
     seen = with_account(state, requests, table_rank=True)
     judged = cut(
-        seen.select(*JUDGED, "source", "table_rank", *first_match(take_rules(), ("ok", "ok")))
+        seen.select(*JUDGED, "players_in_game", "current_player", "source", "table_rank", *first_match(take_rules(), ("ok", "ok")))
+        .withColumns(told({"hand_full": "place_to_finish"}))
+        .drop("players_in_game", "current_player")
     )
     winners, done = _settle(judged, ["source", "table_rank"])
 
@@ -91,10 +95,10 @@ def draw(
         )
     )
     status = (
-        judged.select("request_id", "login", "status_code", "message")
+        judged.select("request_id", "login", "status_code", "message", *TOLD)
         .join(done, "request_id", "left")
         .join(moves.select("request_id", "card_id", "next_turn"), "request_id", "left")
-        .select("request_id", "login", _final_code(), "message", "card_id", "next_turn")
+        .select("request_id", "login", _final_code(), "message", "card_id", "next_turn", *TOLD)
     )
     out = dict(state)
     out["hands"] = append(
@@ -110,12 +114,18 @@ def discard(
     """Place requests (request_id, ts, login, pw, card_id).
 
     The card must be in the player's own hand. At eleven cards the turn ends
-    (a skip card passes it twice); at ten a card has still to be taken.
+    (a skip card passes it twice); at ten a card has still to be taken, which the
+    client is told with the new table card (TOLD).
     """
     owners = state["hands"].select("card_id", F.col("username").alias("owner"))
     seen = with_account(state, lookup(requests, owners, ["card_id"], "request_id"), counted=requests)
-    judged = cut(seen.select(*JUDGED, "card_id", *first_match(place_rules(), ("ok", "ok"))))
+    judged = cut(
+        seen.select(*JUDGED, "players_in_game", "current_player", "card_id", *first_match(place_rules(), ("ok", "ok")))
+        .withColumns(told({"already_placed": "take_to_finish"}))
+        .drop("players_in_game", "current_player")
+    )
     winners, done = _settle(judged, ["card_id"])
+    unfinished = F.col("_done") & (F.col("hand_size") == HAND_SIZE)
 
     faces = state["cards"].join(F.broadcast(state["card_type"]), "id").select("card_id", "rank")
     ranked = winners.join(faces, "card_id", "left")
@@ -123,10 +133,12 @@ def discard(
         _next_turn(state["players"], ranked, F.col("hand_size") == 11, F.col("rank") == SKIP), "request_id", "left"
     )
     status = (
-        judged.select("request_id", "login", "card_id", "status_code", "message")
+        judged.select("request_id", "login", "hand_size", "card_id", "status_code", "message", *TOLD)
         .join(done, "request_id", "left")
         .join(moves.select("request_id", "next_turn"), "request_id", "left")
-        .select("request_id", "login", "card_id", _final_code(), "message", "next_turn")
+        .withColumn("table_card", F.when(unfinished, F.col("card_id")).otherwise(F.col("table_card")))
+        .withColumn("hint", F.when(unfinished, MESSAGES["take_to_finish"]).otherwise(F.col("hint")))
+        .select("request_id", "login", "card_id", _final_code(), "message", "next_turn", *TOLD)
     )
     out = dict(state)
     out["hands"] = apply_deletes(state["hands"], winners.select("card_id"), "card_id")

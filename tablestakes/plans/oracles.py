@@ -44,6 +44,14 @@ oracle(
        FROM players GROUP BY game_id""",
 )
 
+oracle(
+    "columnar_pieces",
+    """SELECT event_type, piece, count(*) AS n,
+              to_json({'event_id': list(event_id ORDER BY event_id), 'user_id': list(user_id ORDER BY event_id)})::VARCHAR AS result
+       FROM (SELECT *, (row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1) // 512 + 1 AS piece FROM events)
+       GROUP BY event_type, piece""",
+)
+
 # --- audits ---
 oracle(
     "pk_violations",
@@ -457,6 +465,16 @@ _DRAW_VIEWS = dict(
         LEFT JOIN faces f ON f.face_card = a.card_on_table""",
 )
 oracle("draw_cards", _DRAW, **_DRAW_VIEWS)
+_TOLD = """CASE j.code WHEN 'waiting' THEN j.players_in_game END AS waiting_players,
+         CASE j.code WHEN 'not_your_turn' THEN j.current_player END AS turn_holder"""
+oracle(
+    "draw_replies",
+    f"""SELECT request_id, d.status_code, {_TOLD}, CASE j.code WHEN 'not_your_turn' THEN j.card_on_table END AS table_card,
+         CASE j.code WHEN 'hand_full' THEN 'Call p_card to finish your turn' END AS hint
+       FROM judged j JOIN drawn d USING (request_id)""",
+    drawn=_DRAW,
+    **_DRAW_VIEWS,
+)
 _DISCARD = """SELECT j.request_id, j.login, j.card_id,
          CASE WHEN code = 'ok' AND w.request_id IS NULL THEN 'deferred' ELSE code END AS status_code,
          CASE code WHEN 'wrong_password' THEN 'Wrong password'
@@ -482,6 +500,15 @@ _DISCARD_VIEWS = dict(
         LEFT JOIN accounts a ON a.username = r.login LEFT JOIN faces f ON f.face_card = r.card_id""",
 )
 oracle("discard_cards", _DISCARD, **_DISCARD_VIEWS)
+oracle(
+    "discard_replies",
+    f"""SELECT request_id, p.status_code, {_TOLD},
+         CASE WHEN p.status_code = 'ok' AND j.hand_size = 10 THEN j.card_id WHEN j.code = 'not_your_turn' THEN j.card_on_table END AS table_card,
+         CASE WHEN j.code = 'already_placed' OR (p.status_code = 'ok' AND j.hand_size = 10) THEN 'Call t_card to finish your turn' END AS hint
+       FROM judged j JOIN discarded p USING (request_id)""",
+    discarded=_DISCARD,
+    **_DISCARD_VIEWS,
+)
 _LEAVE = """SELECT request_id, login, game_id, CASE WHEN late THEN 'not_seated' ELSE code END AS status_code,
          CASE WHEN late OR code = 'not_seated' THEN 'You are not in game now'
               WHEN code = 'wrong_password' THEN 'Wrong password' WHEN code = 'end_turn' THEN 'End your turn first'
@@ -682,6 +709,33 @@ _CLAIM_VIEWS = dict(
         JOIN claim_sizes USING (phase)""",
 )
 oracle("claim_phase", _CLAIM, **_CLAIM_VIEWS)
+oracle(
+    "claim_replies",
+    """SELECT request_id, status_code, CASE status_code WHEN 'waiting' THEN players_in_game END AS waiting_players,
+              CASE status_code WHEN 'wrong_phase' THEN game_phase END AS current_phase
+       FROM judged_claims JOIN accounts ON username = login""",
+    judged_claims=_CLAIM,
+    **_CLAIM_VIEWS,
+)
+_LAST_CLAIMS = """SELECT substr(username, 2)::BIGINT AS request_id, username AS claimant, game_id,
+                         CASE WHEN card_on_table IS NULL THEN 'waiting' WHEN game_phase <> 10 THEN 'wrong_phase' ELSE 'ok' END AS status_code,
+                         game_phase
+                  FROM accounts WHERE current_player = username"""
+oracle(
+    "claim_last_phase",
+    """SELECT request_id, status_code, CASE status_code WHEN 'waiting' THEN 'Waiting for players' WHEN 'wrong_phase' THEN 'Sorry'
+              ELSE 'You get points!' END AS message, CASE status_code WHEN 'wrong_phase' THEN game_phase END AS current_phase
+       FROM last_claims""",
+    last_claims=_LAST_CLAIMS,
+)
+oracle(
+    "claim_standings",
+    """SELECT request_id, game_id, 'Game is over' AS info, username AS players, scored AS points,
+              rank() OVER (PARTITION BY game_id ORDER BY scored)::INT AS place
+       FROM (SELECT request_id, game_id, username, (points + CASE WHEN username = claimant THEN 19 ELSE 0 END)::INT AS scored
+             FROM last_claims JOIN players USING (game_id) WHERE status_code = 'ok')""",
+    last_claims=_LAST_CLAIMS,
+)
 
 # --- tables after a batch ---
 _WON = """

@@ -80,6 +80,15 @@ def columnar_json(spark, d):
     )
 
 
+@query
+def columnar_pieces(spark, d):
+    """Events of a type in pieces of 512 rows, whatever their number."""
+    events = schema.load(spark, d, "events")
+    return columnar.columnar_pieces(
+        events, ["event_type"], ["event_id"], ["event_id", "user_id"], numbering.id_slice("event_id"), piece_rows=512
+    )
+
+
 # --- audits ------------------------------------------------------------------
 
 
@@ -588,7 +597,13 @@ def _takes(spark, d):
 
 @query
 def draw_cards(spark, d):
-    return turns.draw(roles.state(spark, d), _takes(spark, d), SEED)[0]
+    return turns.draw(roles.state(spark, d), _takes(spark, d), SEED)[0].drop(*turns.TOLD)
+
+
+@query
+def draw_replies(spark, d):
+    """What the client is told with each refused take."""
+    return turns.draw(roles.state(spark, d), _takes(spark, d), SEED)[0].select("request_id", "status_code", *turns.TOLD)
 
 
 @query
@@ -614,7 +629,13 @@ def _discard(spark, d):
 
 @query
 def discard_cards(spark, d):
-    return _discard(spark, d)[0]
+    return _discard(spark, d)[0].drop(*turns.TOLD)
+
+
+@query
+def discard_replies(spark, d):
+    """What the client is told with each place that is refused or leaves the turn open."""
+    return _discard(spark, d)[0].select("request_id", "status_code", *turns.TOLD)
 
 
 @query
@@ -844,6 +865,45 @@ def claim_phase(spark, d):
     return _claims(spark, d)[0].select("request_id", "login", "status_code", "fail_pos", "message")
 
 
+@query
+def claim_replies(spark, d):
+    """What the client is told with each refused claim."""
+    return _claims(spark, d)[0].select("request_id", "status_code", "waiting_players", "current_phase")
+
+
+def _last_claims(spark, d):
+    """Whoever is on turn holds four pairs and two more cards, and claims the last phase with the pairs."""
+    state = roles.state(spark, d)
+    on = state["turns"].select(col("current_player").alias("username"))
+    sets = (
+        state["cards"].where(col("id").isin(10, 11, 50, 51, 90, 91, 130, 131, 170, 171)).join(state["decks"], "card_id")
+        .join(state["players"].join(on, "username", "left_semi"), "game_id").select("card_id", "id", "username")
+    )
+    others = state["hands"].join(on, "username", "left_anti").join(sets, "card_id", "left_anti")
+    state["hands"] = changes.append(others.select("card_id", "username"), sets.select("card_id", "username"))
+    asked = (
+        sets.where("id < 170").groupBy(col("username").alias("login"))
+        .agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "card_id"))), lambda x: x["card_id"]).alias("cards"))
+        .select(
+            F.expr("cast(substr(login, 2) as bigint)").alias("request_id"), roles.as_of().alias("ts"), "login",
+            F.expr("md5(concat('pw:', login))").alias("pw"), lit(10).alias("phase"), "cards",
+        )
+    )
+    return phases.claim(state, asked, SEED)
+
+
+@query
+def claim_last_phase(spark, d):
+    """Claims of the last phase: other games answer with the phase they are in."""
+    return _last_claims(spark, d)[0].select("request_id", "status_code", "message", "current_phase")
+
+
+@query
+def claim_standings(spark, d):
+    """Standings of the games that those claims ended."""
+    return phases.final_standings(*_last_claims(spark, d))
+
+
 @query
 def claim_hands(spark, d):
     """All hands after the batch of claims: whoever sits with a winner got a new one."""

@@ -1,3 +1,4 @@
+import json
 import random
 
 from pyspark.sql import functions as F
@@ -123,6 +124,24 @@ def test_serialise_admits_the_first_of_each_game(spark):
     assert got == {min((t, i) for i, t, g in rows if g == game)[1] for game in (1, 2)}
 
 
+def test_columnar_pieces(spark):
+    """A hot group, a NULL group, NULL values and clashing names; pieces put together are the group."""
+    rows = [(g, i, None if i % 7 == 0 else i * 3) for g, size in (("hot", 1000), (None, 130), ("one", 1)) for i in range(size)]
+    df = spark.createDataFrame(rows, "piece_of string, n_ int, v int").repartition(3)
+    for hot_rows in (100, 10**6):
+        got = columnar.columnar_pieces(df, ["piece_of"], ["n_"], ["n_", "v"], F.floor(F.col("n_") / 50), piece_rows=64, hot_rows=hot_rows)
+        whole = {}
+        for r in sorted(got.collect(), key=lambda r: (str(r.piece_of), r.piece)):
+            values = json.loads(r.result)
+            assert len(values["n_"]) == len(values["v"]) == r.n <= 64
+            whole.setdefault(r.piece_of, []).append((r.piece, r.n, list(zip(values["n_"], values["v"]))))
+        for group, pieces in whole.items():
+            assert [p for p, *_ in pieces] == list(range(1, len(pieces) + 1)) and all(n == 64 for _, n, _ in pieces[:-1])
+            assert [x for *_, part in pieces for x in part] == [(i, v) for g, i, v in rows if g == group]
+        assert set(whole) == {"hot", None, "one"}
+    assert columnar.columnar_pieces(df.where("1 = 0"), ["piece_of"], ["n_"], ["v"], F.col("n_")).count() == 0
+
+
 def test_columnar_json(spark):
     df = spark.createDataFrame([(1, "b", 2), (1, "a", None)], "g int, n string, v int")
     assert columnar.columnar_json(df, ["g"], "n", ["n", "v"]).first().result == '{"n":["a","b"],"v":[null,2]}'

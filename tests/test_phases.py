@@ -152,6 +152,8 @@ def test_claim_statuses(spark):
         7: ("ok", ACCEPTED),
         8: ("deferred", ACCEPTED),
     }
+    told = {r.request_id: (r.waiting_players, r.current_phase) for r in status.collect()}
+    assert told.pop(2)[0] == 1 and told.pop(4) == (None, 1) and set(told.values()) == {(None, None)}
 
 
 @pytest.mark.parametrize("extra", [(), (1340,)])
@@ -191,6 +193,10 @@ def test_last_phase_ends_the_game(spark):
     assert as_map(after["games"], "game_id", "game_phase")[1] == 11
     assert as_map(after["players"], "username", "points")["a"] == 5 + 19
     assert as_set(after["turns"], "current_player") == {"p"}
+    told = {tuple(r) for r in phases.final_standings(status, after).collect()}
+    assert told == {(0, 1, "Game is over", "a", 24, 3), (0, 1, "Game is over", "b", 0, 1), (0, 1, "Game is over", "c", 0, 1)}
+    other, later = phases.claim(table(spark), claims(spark, ("a", None, 1, [1000 + c for c in SET6])), 7)
+    assert other.first().status_code == "ok" and phases.final_standings(other, later).count() == 0
 
 
 def test_turn_check_of_three_phases_can_be_left_out(spark):

@@ -102,6 +102,25 @@ def test_discard(spark):
     assert as_set(after["turns"], "current_player") == {f"{c[4] or 'a'}{g}" for g, c in enumerate(cases, 1)}
 
 
+def test_clients_are_told_what_to_do(spark):
+    state = site(spark, dict(held=11), dict(held=9), dict(held=10), dict(held=10, phase=11))
+    taken, _ = turns.draw(state, ask(spark, TAKE, *[(n, "deck") for n in ("w", "b1", "a1", "a3", "a3", "a4", "ghost", "idle")]), 7)
+    rows = {r.request_id: (r.status_code, r.waiting_players, r.turn_holder, r.table_card, r.hint) for r in taken.collect()}
+    nothing = (None, None, None, None)
+    assert rows == {
+        0: ("waiting", 1, None, None, None), 1: ("not_your_turn", None, "a1", 1330, None),
+        2: ("hand_full", None, None, None, "Call p_card to finish your turn"), 3: ("ok", *nothing), 4: ("deferred", *nothing),
+        5: ("game_over", *nothing), 6: ("wrong_password", *nothing), 7: ("not_in_game", *nothing),
+    }
+    placed, _ = turns.discard(state, ask(spark, PLACE, ("a1", 1010), ("a2", 2010), ("a3", 3020), ("a3", 3010), ("b3", 1), ("w", None)))
+    rows = {r.request_id: (r.status_code, r.waiting_players, r.turn_holder, r.table_card, r.hint) for r in placed.collect()}
+    take = "Call t_card to finish your turn"
+    assert rows == {
+        0: ("ok", *nothing), 1: ("already_placed", None, None, None, take), 2: ("ok", None, None, 3020, take), 3: ("deferred", *nothing),
+        4: ("not_your_turn", None, "a3", 3330, None), 5: ("waiting", 1, None, None, None),
+    }
+
+
 LEAVE = "request_id long, ts timestamp_ntz, login string, pw string"
 
 
