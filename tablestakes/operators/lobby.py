@@ -182,6 +182,8 @@ def join_games(
     its later ones are deferred to the next batch.
     A game asked for by millions costs as many rows per map task as a game has
     free seats at most, because the rank filter runs below the shuffle.
+    `place` counts those who got a seat of a game in this batch; `info` tells who
+    filled it up that the game starts.
     """
     waiting = state["games"].filter(F.col("card_on_table").isNull()).select("game_id")
     seats = (
@@ -225,7 +227,8 @@ def join_games(
         .select("request_id", "login", "game_id", "place", "seats", "p_count", "host", "last_in")
     )
     first = one_each.withColumn("_first", F.lit(True))
-    seated = taken.select("login", F.col("request_id").alias("_seat"))
+    starts = F.col("seats") + F.col("place") >= F.col("p_count")
+    seated = taken.select("login", F.col("request_id").alias("_seat"), F.col("place").alias("_place"), starts.alias("_starts"))
     settled = lookup(judged.join(first, "request_id", "left"), seated, ["login"], "request_id", counted=judged)
     ok = F.col("status_code") == "ok"
     code, text = first_match(
@@ -236,7 +239,9 @@ def join_games(
         ],
         ("deferred", "ok"),
     )
-    status = settled.select("request_id", "login", "game_id", code, text)
+    mine = F.col("_seat") == F.col("request_id")
+    told = {"place": F.when(mine, F.col("_place")), "info": F.when(mine & F.col("_starts"), MESSAGES["started"])}
+    status = settled.select("request_id", "login", "game_id", code, text, *[c.alias(n) for n, c in told.items()])
     by_place = W.partitionBy("game_id").orderBy("place")
     joined = taken.select(
         "*", F.coalesce(F.lag("login").over(by_place), F.col("last_in")).alias("next_player")
@@ -348,3 +353,19 @@ def progress(state: Mapping[str, DataFrame]) -> DataFrame:
             F.sum("_held").cast("bigint").alias("points_held"),
         )
     )
+
+
+def players_shown(status: DataFrame, state: Mapping[str, DataFrame]) -> DataFrame:
+    """What a request that got a seat is answered with: the players at its table.
+
+    `status` and `state` are the results of `join_games`. One row per player and request,
+    as if the requests were served one by one: who sat there before the batch and who
+    came in it up to the request itself.
+    """
+    got = status.filter("status_code = 'ok'").select("request_id", "login", "game_id", "place", "info")
+    came = got.select(F.col("login").alias("username"), F.col("place").alias("_came"))
+    table = state["players"].join(got.select("game_id").distinct(), "game_id", "left_semi").select("username", "game_id")
+    shown = got.drop("login").join(table.join(came, "username", "left"), "game_id")
+    return shown.filter(F.coalesce("_came", F.lit(0)) <= F.col("place")).select(
+        "request_id", "game_id", "info", F.col("username").alias("players_in_game")
+    )

@@ -853,6 +853,17 @@ oracle(
 _NEWCOMERS = """
     SELECT login, j.game_id, row_number() OVER (PARTITION BY j.game_id ORDER BY o_orderdate, request_id) AS place
     FROM joined j JOIN orders ON o_orderkey = request_id WHERE status_code = 'ok'"""
+oracle(
+    "join_replies",
+    """SELECT w.request_id, w.game_id, CASE WHEN w.place = w.free THEN 'Game start!' END AS info, l.username AS players_in_game
+       FROM (SELECT n.*, a.request_id, a.free FROM newcomers n JOIN joined j USING (login, game_id) JOIN asked a USING (request_id)
+             WHERE j.status_code = 'ok') w
+       JOIN (SELECT username, game_id, 0 AS came FROM players UNION ALL SELECT login, game_id, place FROM newcomers) l
+         ON l.game_id = w.game_id AND l.came <= w.place""",
+    newcomers=_NEWCOMERS,
+    joined=_JOIN,
+    **_JOIN_VIEWS,
+)
 _FREE = """
     SELECT game_id, card_id, row_number() OVER (PARTITION BY game_id ORDER BY md5('7:' || card_id), card_id) AS nth
     FROM decks WHERE card_id NOT IN (SELECT card_id FROM hands)"""

@@ -817,7 +817,13 @@ def _joins(spark, d):
 
 @query
 def join_games(spark, d):
-    return _joins(spark, d)[0]
+    return _joins(spark, d)[0].drop("place", "info")
+
+
+@query
+def join_replies(spark, d):
+    """The players at the table for everyone who got a seat, and who made the game start."""
+    return lobby.players_shown(*_joins(spark, d))
 
 
 @query

@@ -168,6 +168,12 @@ def test_seats_go_to_the_first_comers_and_the_ring_closes(spark, logins):
     assert as_map(after["players"], "username", "next_player") == {"h": "n3", "n1": "h", "n2": "n1", "n3": "n2"}
     assert as_set(after["turns"], "current_player") == {"n2"}
     assert as_map(after["users"], "username", "p_count")["n1"] == 4
+    shown = {}
+    for r in lobby.players_shown(status, after).collect():
+        shown.setdefault((r.request_id, r.info), set()).add(r.players_in_game)
+    assert shown == {(0, None): {"h", "n1"}, (1, None): {"h", "n1", "n2"}, (2, "Game start!"): {"h", "n1", "n2", "n3"}}
+    again, later = lobby.join_games(after, asked, as_of(), 7)
+    assert lobby.players_shown(again, later).count() == 0
 
 
 def test_snapshot_and_reports(spark):
