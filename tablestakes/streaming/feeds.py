@@ -21,6 +21,7 @@ from tablestakes.sources.schema import INPUTS
 from tablestakes.streaming.ordered import EventOrder, closing_mark, finish, folder, in_event_order, run_to_files, written
 
 DELAY = "7 hours"
+FILE_ROWS = 1 << 18  # rows of a replayed file
 
 
 def read_events(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -30,20 +31,34 @@ def read_events(spark: SparkSession, path: str, max_files: int | None = None) ->
     return reader.parquet(path)
 
 
-def replay(events: DataFrame, path: str, parts: int = 3, jitter_hours: int = 6, resend: bool = False, mark: bool = False) -> str:
-    """Write a table as the files of a stream, about in time order: a row may come up to
-    `jitter_hours` late. With `resend`, every file also holds the rows of the one before.
-    With `mark` the last file also closes the stream."""
+def _dealt(events: DataFrame, parts: int, jitter_hours: int) -> DataFrame:
+    """Adds `_part`: the part of the stream a row comes with, up to `jitter_hours` late."""
     spread = jitter_hours * 3600
     at = F.unix_seconds(F.col("ts").cast("timestamp"))
     low, high = events.agg(F.min(at)).scalar(), events.agg(F.max(at)).scalar()
     shifted = at - low + F.pmod(F.xxhash64("event_id"), F.lit(spread))
-    dealt = events.withColumn("_part", F.floor(shifted * parts / (high - low + spread + 1)))
+    return events.withColumn("_part", F.floor(shifted * parts / (high - low + spread + 1)))
+
+
+def files_a_part(events: DataFrame, parts: int = 3, jitter_hours: int = 6, file_rows: int = FILE_ROWS) -> int:
+    """Into how many files `replay` can cut every part: the smallest has `file_rows` rows for each."""
+    sizes = _dealt(events, parts, jitter_hours).where("_part IS NOT NULL").groupBy("_part").count()
+    n, least = sizes.agg(F.count("*"), F.min("count")).first()
+    return max(1, least // file_rows) if n == parts else 1
+
+
+def replay(events: DataFrame, path: str, parts: int = 3, jitter_hours: int = 6, resend: bool = False, mark: bool = False, files: int = 1) -> str:
+    """Write a table as the files of a stream, about in time order: a row may come up to
+    `jitter_hours` late. With `resend`, every part also holds the rows of the one before.
+    With `mark` the last part also closes the stream. Every part is `files` files, so that
+    many a batch read part by part; a part needs as many rows (`files_a_part`)."""
+    dealt = _dealt(events, parts, jitter_hours)
     folder(events.sparkSession, path)
     for p in range(parts):  # one write after the other, as the source reads by age
         found = dealt.where(F.col("_part").between(p - 1, p) if resend else F.col("_part") == p).drop("_part")
         last = found.unionByName(closing_mark(events)) if mark and p == parts - 1 else found
-        last.coalesce(1).write.mode("append").parquet(path)
+        # Dealt in turn, so no file stays away for want of rows.
+        (last.coalesce(1) if files == 1 else last.repartition(files)).write.mode("append").parquet(path)
     return path
 
 

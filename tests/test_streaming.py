@@ -113,3 +113,24 @@ def test_dedup_drops_events_sent_twice(spark, sf_dir):
     root, seen = scratch_dir(spark, "d"), []
     feeds.run_available(feeds.dedup(feeds.read_events(spark, path)), root, lambda b, n: seen.append(b.count()))
     assert sum(seen) == events.count()
+
+
+def test_parts_of_several_files_are_the_same_batches(spark, sf_dir):
+    """A part was one file, so one task wrote it and few read it."""
+    events, found = schema.load(spark, sf_dir, "events"), {}
+    for files in (1, 4):
+        path = feeds.replay(events, scratch_dir(spark, "events"), resend=True, mark=True, files=files)
+        assert spark.read.format("binaryFile").load(f"{path}/*.parquet").count() == 3 * files
+        root = scratch_dir(spark, "resent")
+        moves = feeds.read_events(spark, path, files).selectExpr(*MOVES)
+        got = feeds.ledger_stream(moves, root, close=False, resent=True)
+        found[files] = (batches(spark, root), sorted(map(str, got.collect())))
+    assert found[1] == found[4] and len(found[1][1]) == events.count()
+
+
+def test_every_file_of_a_part_has_its_rows(spark, sf_dir):
+    events = schema.load(spark, sf_dir, "events")
+    least = feeds.files_a_part(events, file_rows=1)
+    assert 1 < least <= events.count() // 3
+    assert feeds.files_a_part(events, file_rows=least // 3) == 3
+    assert feeds.files_a_part(events.limit(0)) == feeds.files_a_part(events.limit(1), file_rows=1) == 1
