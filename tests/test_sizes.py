@@ -1,6 +1,7 @@
 """What the planner believes of the tables that are made larger than what they are made of."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tablestakes.operators import deal, joins
 from tablestakes.sources import roles
@@ -46,3 +47,29 @@ def test_hands_are_ten_cards_a_seat_but_for_who_is_on_turn(spark, sf_dir):
             want.add((1000 * s.game_id + card, s.username))
     got = roles.hands(spark, sf_dir)
     assert as_set(got, "card_id", "username") == want and got.count() == len(want)
+
+
+def test_unpacked_keeps_every_row_and_its_partition(spark):
+    rows = spark.createDataFrame([(1,), (1,), (None,)], "k int").repartition(5, "k")
+    assert sorted(joins.unpacked(rows).collect(), key=str) == [(1,), (1,), (None,)]
+    assert joins.unpacked(rows).columns == ["k"] and joins.unpacked(rows).rdd.getNumPartitions() == 5
+    assert believed(joins.unpacked(rows)) >= joins.PACKED * believed(rows)
+
+
+@pytest.fixture(scope="module")
+def many_customers(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("many"))
+    spark.range(600_000, numPartitions=1).selectExpr(
+        "id AS c_custkey", "'c' AS c_name", "cast(id % 25 as int) AS c_nationkey", "rand(1) AS c_acctbal", "'m' AS c_mktsegment"
+    ).write.parquet(f"{d}/customer.parquet")
+    return d
+
+
+@pytest.mark.parametrize("table", ["seats", "players"])
+def test_tables_of_packed_files_are_not_broadcast(spark, many_customers, table):
+    """A file of a few bytes a row passed for a small table, so all seats went through the driver."""
+    df = getattr(roles, table)(spark, many_customers).select("username")
+    both = df.join(roles.seats(spark, many_customers).select("username", "seat"), "username").agg(F.count("*"))
+    assert both.collect()[0][0] == 600_000
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
