@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tablestakes.functions.scalars import first_match, seeded_hash
+from tablestakes.functions.scalars import first_match
 from tablestakes.operators.changes import append, apply_deletes, apply_updates, serialise, teardown
+from tablestakes.operators.deal import pick
 from tablestakes.operators.guards import MESSAGES, entry_rules, place_rules, take_rules, told, with_account
 from tablestakes.operators.joins import HOT_ROWS, lookup
 from tablestakes.operators.numbering import with_slices
@@ -77,11 +78,7 @@ def draw(
     offered = state["decks"].join(from_deck, "game_id").filter(F.col("card_id") != F.col("card_on_table"))
     held = state["hands"].select("card_id").join(offered.select("card_id"), "card_id", "left_semi")
     free = offered.join(held, "card_id", "left_anti")
-    drawn = (
-        free.groupBy("request_id")
-        .agg(F.min(F.struct(seeded_hash("card_id", seed).alias("h"), "card_id")).alias("_m"))
-        .select("request_id", F.col("_m.card_id").alias("drawn"))
-    )
+    drawn = pick(free, seed, "request_id").withColumnRenamed("card_id", "drawn")
     moves = (
         winners.join(drawn, "request_id", "left")
         .join(

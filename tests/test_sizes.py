@@ -1,5 +1,7 @@
 """What the planner believes of the tables that are made larger than what they are made of."""
 
+from hashlib import md5
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,3 +75,16 @@ def test_tables_of_packed_files_are_not_broadcast(spark, many_customers, table):
     assert both.collect()[0][0] == 600_000
     plan = both._jdf.queryExecution().executedPlan().toString()
     assert "isFinalPlan=true" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_pick_sorts_no_deck_and_takes_the_least_hash(spark):
+    """A minimum of structs made a sort of all cards."""
+    rows = [(g, c) for g in (1, 2, None) for c in range(50)] + [(1, 7), (3, None), (3, 5), (4, None)]
+    decks = spark.createDataFrame(rows, "game_id bigint, card_id bigint")
+    got = deal.pick(decks, 7)
+    assert "Sort" not in got._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for g, c in rows:
+        order = (c is not None, md5(f"7:{c}".encode()).hexdigest(), c or 0)
+        want[g] = min(want.get(g, (order, c)), (order, c), key=lambda x: x[0])
+    assert as_set(got, "game_id", "card_id") == {(g, c) for g, (_, c) in want.items()}
