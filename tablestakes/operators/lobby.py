@@ -186,22 +186,24 @@ def join_games(
     filled it up that the game starts.
     """
     waiting = state["games"].filter(F.col("card_on_table").isNull()).select("game_id")
-    seats = (
-        state["players"].join(waiting, "game_id", "left_semi")
-        .join(state["users"].select("username", F.col("p_count").alias("_wants")), "username")
+    # Seats, rooms and turns follow from it: join the accounts once, and merge what grows with the tables.
+    seats = cut(
+        state["players"].join(waiting.hint("merge"), "game_id", "left_semi")
+        .join(state["users"].select("username", F.col("p_count").alias("_wants")).hint("merge"), "username")
+        .select("username", "next_player", "game_id", "_wants")
     )
     pointed = seats.filter(F.col("next_player").isNotNull()).select(F.col("next_player").alias("username"))
-    last = seats.join(pointed, "username", "left_anti").select("game_id", F.col("username").alias("last_in"))
-    room = (
+    last = seats.join(pointed.hint("merge"), "username", "left_anti").select("game_id", F.col("username").alias("last_in"))
+    room = cut(
         seats.groupBy("game_id")
         .agg(
             F.count("*").alias("seats"),
             F.max(F.when(F.col("next_player").isNull(), F.col("_wants"))).alias("p_count"),
             F.max(F.when(F.col("next_player").isNull(), F.col("username"))).alias("host"),
         )
-        .join(last, "game_id")
+        .join(last.hint("merge"), "game_id")
     )
-    tables = state["games"].select("game_id", F.lit(True).alias("_known")).join(room, "game_id", "left")
+    tables = state["games"].select("game_id", F.lit(True).alias("_known")).join(room.hint("merge"), "game_id", "left")
     judged = lookup(_checked(state, requests), tables, ["game_id"], "request_id", counted=requests).select(
         "request_id", "ts", "login", "game_id", "seats", "p_count", "host", "last_in",
         *first_match(

@@ -5,9 +5,9 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from tablestakes.operators import deal, joins
+from tablestakes.operators import deal, joins, lobby
 from tablestakes.sources import roles
-from tables import as_set
+from tables import NOW, as_map, as_set, build
 
 
 def believed(df):
@@ -88,3 +88,29 @@ def test_pick_sorts_no_deck_and_takes_the_least_hash(spark):
         order = (c is not None, md5(f"7:{c}".encode()).hexdigest(), c or 0)
         want[g] = min(want.get(g, (order, c)), (order, c), key=lambda x: x[0])
     assert as_set(got, "game_id", "card_id") == {(g, c) for g, (_, c) in want.items()}
+
+
+@pytest.fixture(scope="module")
+def one_table(spark):
+    games = {1: dict(ring=[("a", "b"), ("b", "a")], table=1010, wants=2), 2: dict(ring=[("h", None)], table=None, wants=3)}
+    return build(spark, games, {"a": [1020, 1030], "b": [1040]}, users=["n", "m"], turns=["a"])
+
+
+def test_joins_read_the_accounts_once_for_the_rooms(spark, one_table):
+    """Seats were joined to all accounts again for rooms, the largest room and the turns."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(n):
+        read.add(1)
+        return n
+
+    users = spark.createDataFrame(one_table["users"].collect(), one_table["users"].schema).withColumn("p_count", counted("p_count"))
+    asked = spark.createDataFrame(
+        [(1, NOW, "n", "pw-n", 2), (2, NOW, "m", "pw-m", 2), (3, NOW, "a", "pw-a", 2)],
+        "request_id long, ts timestamp_ntz, login string, pw string, game_id long",
+    )
+    status, after = lobby.join_games({**one_table, "users": users}, asked, F.lit(NOW), 7)
+    assert as_map(status, "request_id", "status_code") == {1: "ok", 2: "ok", 3: "seated"}
+    assert as_set(after["turns"], "current_player") == {"a", "n"}
+    assert 0 < read.value <= 5
