@@ -45,11 +45,12 @@ def accounts(state: Mapping[str, DataFrame], table_rank: bool = False) -> DataFr
     """One row per user: password digest, seat, table and hand size.
 
     All inputs are unique on their join key, so these joins cannot skew;
-    requests then need a single lookup.
+    requests then need a single lookup. Tables of the whole state are merged: a
+    broadcast of each, just below the planner's limit, would meet in the driver.
     """
     hand_size = state["hands"].groupBy("username").agg(F.count("*").alias("hand_size"))
     turn = state["turns"].select(F.col("current_player").alias("username"), F.lit(True).alias("_turn"))
-    seated = state["players"].select("username", "next_player", "game_id").join(turn, "username", "left")
+    seated = state["players"].select("username", "next_player", "game_id").join(turn.hint("merge"), "username", "left")
     games = state["games"]
     if table_rank:
         faces = state["cards"].join(F.broadcast(state["card_type"]), "id").select(
@@ -62,11 +63,14 @@ def accounts(state: Mapping[str, DataFrame], table_rank: bool = False) -> DataFr
             F.count("*").alias("players_in_game"),
             F.max(F.when(F.col("_turn"), F.col("username"))).alias("current_player"),
         )
-        .join(games, "game_id", "left")
+        .join(games.hint("merge"), "game_id", "left")
+    )
+    seats = (
+        seated.drop("_turn").join(hand_size.hint("merge"), "username", "left")
+        .join(tables.hint("merge"), "game_id", "left")
     )
-    seats = seated.drop("_turn").join(hand_size, "username", "left").join(tables, "game_id", "left")
     return (
-        state["users"].select("username", "u_password").join(seats, "username", "left")
+        state["users"].select("username", "u_password").join(seats.hint("merge"), "username", "left")
         .withColumn("hand_size", F.coalesce("hand_size", F.lit(0)))
     )
 

@@ -5,7 +5,7 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from tablestakes.operators import deal, joins, lobby
+from tablestakes.operators import deal, guards, joins, lobby
 from tablestakes.sources import roles
 from tables import NOW, as_map, as_set, build
 
@@ -96,6 +96,17 @@ def one_table(spark):
     return build(spark, games, {"a": [1020, 1030], "b": [1040]}, users=["n", "m"], turns=["a"])
 
 
+@pytest.mark.parametrize("table_rank", [False, True])
+def test_accounts_send_no_table_of_the_state_through_the_driver(spark, one_table, table_rank):
+    """Turns, games and seats just below the planner's limit were all broadcast in one query."""
+    facts = guards.accounts(one_table, table_rank)
+    got = {r.username: (r.game_id, r.hand_size, r.players_in_game, r.current_player) for r in facts.collect()}
+    assert got == {"a": (1, 2, 2, "a"), "b": (1, 1, 2, "a"), "h": (2, 0, 1, None), "n": (None, 0, None, None), "m": (None, 0, None, None)}
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert all("LeftOuter" not in line or "card_on_table" in line for line in plan.splitlines() if "BroadcastHashJoin" in line)
+    assert plan.count("SortMergeJoin") >= 5
+
+
 def test_joins_read_the_accounts_once_for_the_rooms(spark, one_table):
     """Seats were joined to all accounts again for rooms, the largest room and the turns."""
     read = spark.sparkContext.accumulator(0)
