@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tablestakes.operators import deal, guards, joins, lobby
+from tablestakes.plans import queries
 from tablestakes.sources import roles
 from tables import NOW, as_map, as_set, build
 
@@ -125,3 +126,11 @@ def test_joins_read_the_accounts_once_for_the_rooms(spark, one_table):
     assert as_map(status, "request_id", "status_code") == {1: "ok", 2: "ok", 3: "seated"}
     assert as_set(after["turns"], "current_player") == {"a", "n"}
     assert 0 < read.value <= 5
+
+
+def test_claims_are_put_together_without_a_broadcast_of_the_games(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(queries.phases, "claim", lambda state, asked, seed: asked)
+    asked = queries._claims(spark, sf_dir)
+    plan = asked._jdf.queryExecution().executedPlan().toString()
+    assert not any("BroadcastHashJoin [game_id" in line for line in plan.splitlines())
+    assert asked.count() > 0
