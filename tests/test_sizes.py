@@ -5,8 +5,9 @@ from hashlib import md5
 import pytest
 from pyspark.sql import functions as F
 
-from tablestakes.operators import deal, guards, joins, lobby
+from tablestakes.operators import deal, guards, joins, lobby, phases
 from tablestakes.plans import queries
+from tablestakes.session import cut
 from tablestakes.sources import roles
 from tables import NOW, as_map, as_set, build
 
@@ -134,3 +135,38 @@ def test_claims_are_put_together_without_a_broadcast_of_the_games(spark, sf_dir,
     plan = asked._jdf.queryExecution().executedPlan().toString()
     assert not any("BroadcastHashJoin [game_id" in line for line in plan.splitlines())
     assert asked.count() > 0
+
+
+def test_a_batch_of_claims_is_put_together_once(spark, one_table):
+    """Accounts, hands, lists and key counts each held the whole plan of the claims, in one query."""
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def counted(n):
+        read.add(1)
+        return n
+
+    asked = spark.createDataFrame(
+        [(1, NOW, "a", "pw-a", 1, [1020, 1030]), (2, NOW, "b", "wrong", 1, [1040]), (3, NOW, "x", "pw-x", 1, None)],
+        "request_id long, ts timestamp_ntz, login string, pw string, phase int, cards array<long>",
+    )
+    status, after = phases.claim(one_table, asked.withColumn("phase", counted("phase")), 7)
+    assert as_map(status, "request_id", "status_code") == {1: "refused", 2: "wrong_password", 3: "wrong_password"}
+    assert as_set(after["players"], "username", "points") == {("a", 0), ("b", 0), ("h", 0)}
+    assert read.value == 3
+
+
+def test_no_step_of_a_claim_holds_the_whole_job(spark, sf_dir, monkeypatch):
+    """One query had 199 joins of what claims and hands are made of, and all their broadcasts at one time."""
+    joined = []
+
+    def counted(df):
+        joined.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+        return cut(df)
+
+    for module in (phases, queries, deal):
+        monkeypatch.setattr(module, "cut", counted, raising=False)
+    last = queries.claim_standings(spark, sf_dir)
+    joined.append(last._jdf.queryExecution().optimizedPlan().toString().count("Join"))
+    assert last.count() > 0
+    assert max(joined) <= 50, joined
