@@ -18,18 +18,25 @@ its own transpose holds every pair's overlap; it is never built. What is compute
 
 Large groups of near copies would still be all pairs. So nodes that share a minimum
 hash are first tied to one hub each, and the blocks of step 3 only count pairs across
-the groups so formed. Frequent n-grams do not tie sets that are mostly of others, so
+the groups so formed. A tie also needs some likeness in a short sketch of both sets: in a
+large corpus nearly every node shares a minimum hash with some other by chance, and such
+ties would join most of the corpus to one group. Frequent n-grams do not tie sets that are mostly of others, so
 that a passage many documents share makes no group of them. Ties are verified like all other pairs. Where some fail and a
 group falls apart, pairs across its parts are sought in blocks of bounded numbers of
 nodes: step 2 again, in the order by frequency inside the block, then whole sets
-multiplied. Of a block's links only a forest over its parts is kept: pairs stay inside a
+multiplied. Blocks of a group's largest part are not paired with each other. Of a block's links only a forest over its parts is kept: pairs stay inside a
 block and never become rows. Every pair of nodes is thus verified, below its bound, or
 inside one component already.
+
+What lies on disk at a time is bounded by slices: n-grams are entered a share of them at
+a time, and whole sets are made and verified for a share of the candidates' components
+at a time, their texts being written once. The slices change no result.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import chain
 
 import numpy as np
@@ -46,6 +53,11 @@ WORDS, PERCENT = 5, 80
 # how many median deviations above the median, and above how many at least.
 ORDER_BITS, ORDER_ABOVE, ORDER_LEAST = 18, 6, 4
 HUBS = 3
+# Bytes of a node's sketch, from how many of its least n-grams, and one in how many of the
+# filled ones must agree for a tie.
+SKETCH, SKETCHED, ALIKE = 16, 256, 4
+# Into how many slices the work on all n-grams is cut at most, and n-grams below which it is not.
+SLICES, ENTRY_SLICES, SLICE_GRAMS = 8, 4, 1 << 25
 # Nodes per block, and columns per step, of the products inside a group of near copies;
 # up to how many candidates per node they are compared pair by pair instead.
 BLOCK, COLUMNS, PAIRWISE = 2_048, 4_096, 16
@@ -134,14 +146,30 @@ def bucket(grams: np.ndarray) -> np.ndarray:
     return (grams >> np.uint64(63 - ORDER_BITS)).astype(np.int64)
 
 
-ROWS = "doc_id long, hash long, node long, proof long, n int, m0 long, m1 long, m2 long, reach long, grams binary"
+def sketch(grams: np.ndarray) -> np.ndarray:
+    """Two longs of SKETCH bytes: of the least n-gram in each class of low bits a byte over 0, or 0 where there is none."""
+    grams = grams[:SKETCHED][::-1]
+    out = np.zeros(SKETCH, np.uint8)
+    out[(grams % np.uint64(SKETCH)).astype(np.int64)] = (grams >> np.uint64(8)) % np.uint64(255) + np.uint64(1)  # of a class the last stays, its least
+    return out.view(np.int64)
+
+
+def alike(*sides: tuple[str, str]):
+    """Whether enough of the filled bytes of two sketches agree; `sides`: names of their longs, pair by pair."""
+    byte = [[F.shiftrightunsigned(c, 8 * k).bitwiseAND(255) for c in pair] for pair in sides for k in range(8)]
+    same = sum((F.when((x == y) & (x != 0), 1).otherwise(0) for x, y in byte), F.lit(0))
+    filled = sum((F.when((x != 0) | (y != 0), 1).otherwise(0) for x, y in byte), F.lit(0))
+    return ALIKE * same >= filled
+
+
+ROWS = "doc_id long, hash long, node long, proof long, n int, m0 long, m1 long, m2 long, s0 long, s1 long, reach long, grams binary"
 
 
 def matrix_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
-    """ROWS of every document: node (fingerprint of its set), size, minimum hashes, entered n-grams."""
+    """ROWS of every document: node (fingerprint of its set), size, minimum hashes, sketch, entered n-grams."""
     last = rows.sparkSession.sparkContext.broadcast(frequent_buckets(rows, words))
     names = [part.split()[0] for part in ROWS.split(", ")]
-    kinds = [*[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 4, pa.binary()]
+    kinds = [*[pa.int64()] * 4, pa.int32(), *[pa.int64()] * 6, pa.binary()]
     schema = pa.schema(list(zip(names, kinds)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +180,7 @@ def matrix_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 grams = hasher(text)
                 n = len(grams)
                 if not n:
-                    out.append((doc, key, None, None, 0, None, None, None, None, None))
+                    out.append((doc, key, None, None, 0, *[None] * 7))
                     continue
                 print_ = xxhash.xxh3_128_digest(grams.tobytes())
                 keys = first_members(grams, last.value, entered(n, percent))
@@ -160,15 +188,15 @@ def matrix_rows(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 tying = rare if 2 * len(rare) >= n else grams
                 least = [int(_mixed(tying * s).min().view(np.int64)) for s in SEEDS]
                 node, proof = (int.from_bytes(print_[k : k + 8], signed=True) for k in (0, 8))
-                out.append((doc, key, node, proof, n, *least, int(keys[-1]), keys.tobytes()))
+                out.append((doc, key, node, proof, n, *least, *sketch(tying).tolist(), int(keys[-1]), keys.tobytes()))
             yield from emit(out, schema, 4096)
 
     return rows.mapInArrow(run, ROWS)
 
 
 def node_table(matrix: DataFrame) -> DataFrame:
-    """One row per distinct set: node, size, minimum hashes, reach, least doc_id, and one text that has it."""
-    same = ["n", "m0", "m1", "m2", "reach"]
+    """One row per distinct set: node, size, minimum hashes, sketch, reach, least doc_id, and one text that has it."""
+    same = ["n", "m0", "m1", "m2", "s0", "s1", "reach"]
     by_text = matrix.where("node is not null").groupBy("node", "hash").agg(F.min("doc_id").alias("doc"), *[F.min(c).alias(c) for c in same], F.min("proof").alias("lo"), F.max("proof").alias("hi"))
     return by_text.groupBy("node").agg(
         *[F.min(c).alias(c) for c in same],
@@ -183,15 +211,38 @@ def node_table(matrix: DataFrame) -> DataFrame:
 ENTRIES = "gram long, node long"
 
 
-def _entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
-        nodes = np.repeat(batch.column("node").to_numpy(), [len(g) for g in grams])
-        whole = pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(nodes)], names=["gram", "node"])
-        for at in range(0, whole.num_rows, 65536):
-            yield whole.slice(at, 65536)
+def slices(grams: int, of: int, most: int) -> int:
+    """Into how many slices work on `grams` of all `of` n-grams is cut, so that each has at most one in `most` of all."""
+    return max(1, min(-(-most * grams // max(of, 1)), grams // SLICE_GRAMS))
+
+
+def _entries(part: int, parts: int):
+    """Rows (gram, node) of the entered n-grams of one slice of all."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            grams = [np.frombuffer(g, np.int64) for g in batch.column("grams").to_pylist()]
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(g) for g in grams])
+            grams = np.concatenate(grams)
+            own = grams % parts == part
+            whole = pa.RecordBatch.from_arrays([pa.array(grams[own]), pa.array(nodes[own])], names=["gram", "node"])
+            for at in range(0, whole.num_rows, 65536):
+                yield whole.slice(at, 65536)
+
+    return run
+
+
+def shared_entries(kept: DataFrame, sizes: DataFrame, part: int, parts: int) -> DataFrame:
+    """gram, node, n, reach of the entered n-grams of one slice that several rows of `kept` (node, grams) have."""
+    entries = kept.mapInArrow(_entries(part, parts), ENTRIES)
+    shared = entries.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("s_gram"))
+    return (
+        entries.join(shared, F.col("gram") == F.col("s_gram"), "left_semi")
+        .join(sizes, F.col("node") == F.col("z_node"))
+        .select("gram", "node", "n", "reach")
+    )
 
 
 def _multiplied(percent: int):
@@ -279,11 +330,15 @@ def shared_pairs(entries: DataFrame, parts: DataFrame, percent: int) -> DataFram
 
 
 def hub_pairs(nodes: DataFrame) -> DataFrame:
-    """Pairs (a, b): every node with the least node of the same minimum hash."""
+    """Pairs (a, b): every node with the least node of the same minimum hash, if their sketches are alike.
+
+    Which pairs are given out changes the work, not the result.
+    """
     pairs = None
     for k in range(HUBS):
-        hubs = nodes.groupBy(f"m{k}").agg(F.min("node").alias("a"), F.count(F.lit(1)).alias("many")).where("many > 1").withColumnRenamed(f"m{k}", "m")
-        found = nodes.join(hubs, F.col(f"m{k}") == F.col("m")).where("node <> a").select("a", F.col("node").alias("b"))
+        least = [F.min("node").alias("a"), F.min_by("s0", "node").alias("a0"), F.min_by("s1", "node").alias("a1")]
+        hubs = nodes.groupBy(F.col(f"m{k}").alias("m")).agg(*least, F.count(F.lit(1)).alias("many")).where("many > 1")
+        found = nodes.join(hubs, F.col(f"m{k}") == F.col("m")).where("node <> a").where(alike(("s0", "a0"), ("s1", "a1"))).select("a", F.col("node").alias("b"))
         pairs = found if pairs is None else pairs.unionByName(found)
     return pairs.distinct()
 
@@ -295,10 +350,20 @@ def of_like_size(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * F.least("a_n", "b_n").cast("long") >= percent * F.greatest("a_n", "b_n").cast("long")).select("a", "b")
 
 
-def sets_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) -> DataFrame:
-    """(node, members) of the nodes in `pairs`: whole sets, made anew from one text of each node."""
+def wanted_nodes(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, n and one text (w_doc, w_text) of the nodes in `pairs`."""
     named = pairs.select("a").unionByName(pairs.select("b").withColumnRenamed("b", "a")).distinct()
-    wanted = cut(nodes.join(named, F.col("node") == F.col("a"), "left_semi").select("node", F.col("rep_doc").alias("w_doc"), F.col("rep_hash").alias("w_text")))
+    return nodes.join(named, F.col("node") == F.col("a"), "left_semi").select("node", "n", F.col("rep_doc").alias("w_doc"), F.col("rep_hash").alias("w_text"))
+
+
+def texts_of(wanted: DataFrame, rows: DataFrame) -> DataFrame:
+    """node, slice, text of the nodes in `wanted` (node, slice, w_doc, w_text)."""
+    same = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("hash") == F.col("w_text"))
+    return rows.join(wanted.hint("merge"), same).select("node", "slice", "text")
+
+
+def sets_of(texts: DataFrame, words: int) -> DataFrame:
+    """node, size, half, members of the nodes in `texts` (node, text): whole sets, made anew."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = Hasher(words)
@@ -313,10 +378,7 @@ def sets_of(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, words: int) ->
             ]
             yield pa.RecordBatch.from_arrays(columns, names=["node", "size", "half", "members"])
 
-    same = F.col("doc_id").eqNullSafe(F.col("w_doc")) & (F.col("hash") == F.col("w_text"))
-    found = cut(rows.join(wanted.hint("merge"), same).select("node", "text").mapInArrow(sets, "node long, size int, half binary, members binary"))
-    drop(wanted)
-    return found
+    return texts.select("node", "text").mapInArrow(sets, "node long, size int, half binary, members binary")
 
 
 def _passing(pairs: DataFrame, members: DataFrame, column: str, holds) -> DataFrame:
@@ -470,20 +532,40 @@ def forest(a: np.ndarray, b: np.ndarray, size: int) -> np.ndarray:
         label = hook[label]
 
 
+def block_pairs(parts: DataFrame) -> DataFrame:
+    """tie, i, k, node, part: every node once per pair of blocks (i, k) of its group that it is compared in.
+
+    The largest part of a group has blocks of its own, after those of all other nodes. No
+    link is sought inside it, so its nodes meet the other nodes' blocks only and are copied as
+    often as there are such blocks. A group of up to BLOCK nodes is one block.
+    """
+    counts = parts.groupBy(F.col("tie").alias("t_tie"), "part").agg(F.count(F.lit(1)).alias("many"))
+    sizes = counts.groupBy("t_tie").agg(F.sum("many").alias("all"), F.max(F.struct("many", "part")).alias("main"))
+    blocks = lambda many: F.ceil(many / BLOCK).cast("int")
+    dealt = sizes.select(
+        "t_tie",
+        F.when(F.col("all") > BLOCK, F.col("main.part")).alias("main"),
+        F.when(F.col("all") > BLOCK, blocks(F.col("all") - F.col("main.many"))).otherwise(1).alias("rest"),
+        F.when(F.col("all") > BLOCK, blocks(F.col("main.many"))).otherwise(0).alias("more"),
+    )
+    inside = F.coalesce(F.col("part") == F.col("main"), F.lit(False))
+    at = F.xxhash64("node")
+    own = F.when(inside, F.col("rest") + F.pmod(at, F.greatest("more", F.lit(1)))).otherwise(F.pmod(at, F.col("rest"))).cast("int")
+    last = F.when(inside, F.col("rest")).otherwise(F.col("rest") + F.col("more")) - 1
+    return (
+        parts.join(dealt, F.col("tie") == F.col("t_tie"))
+        .select("tie", "node", "part", own.alias("own"), F.explode(F.sequence(F.lit(0), last)).alias("other"))
+        .select("tie", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "node", "part")
+    )
+
+
 def links_across(parts: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     """Links between the parts of each tied group, from whole sets: a forest per pair of blocks.
 
     `parts`: node, tie, part. A group's nodes are dealt to blocks of about BLOCK nodes, and
-    every pair of its blocks is one product of bounded size.
+    every pair of its blocks that block_pairs() names is one product of bounded size.
     """
-    blocks = parts.groupBy("tie").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).withColumnRenamed("tie", "t_tie")
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    dealt = (
-        parts.join(blocks, F.col("tie") == F.col("t_tie"))
-        .join(members.withColumnRenamed("node", "m_node"), F.col("node") == F.col("m_node"))
-        .select("tie", "node", "part", "members", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("tie", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("k"), "node", "part", "members")
-    )
+    dealt = block_pairs(parts).join(members.withColumnRenamed("node", "m_node"), F.col("node") == F.col("m_node")).select("tie", "i", "k", "node", "part", "members")
 
     def linked(group: list[tuple]) -> Iterator[tuple]:
         node, part = (np.array([g[c] for g in group]) for c in (0, 1))
@@ -529,49 +611,65 @@ def link(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     nodes = cut(node_table(matrix))
     if clash := nodes.where("lo <> hi").select("node").first():
         raise ValueError(f"two sets share the fingerprint {clash.node}; change BASE")
+    total = nodes.agg(F.sum(F.col("n").cast("long")).alias("n")).first().n or 0
 
     rep = nodes.select(F.col("node").alias("r_node"), F.col("rep_doc").alias("r_doc"), F.col("rep_hash").alias("r_hash"))
     own = (F.col("node") == F.col("r_node")) & (F.col("hash") == F.col("r_hash")) & F.col("doc_id").eqNullSafe(F.col("r_doc"))
-    entries = matrix.join(rep, own, "left_semi").select("node", "grams").mapInArrow(_entries, ENTRIES)
-    shared = entries.groupBy("gram").count().where("count > 1").select(F.col("gram").alias("s_gram"))
+    kept = cut(matrix.join(rep, own, "left_semi").select("node", "grams"))
+    node_of = cut(matrix.select("doc_id", "node", "n"))
+    drop(matrix)
     sizes = nodes.select(F.col("node").alias("z_node"), "n", "reach")
-    entries = cut(
-        entries.join(shared, F.col("gram") == F.col("s_gram"), "left_semi")
-        .join(sizes, F.col("node") == F.col("z_node"))
-        .select("gram", "node", "n", "reach")
-    )
+    parts = slices(total, total, ENTRY_SLICES)
+    sliced = [cut(shared_entries(kept, sizes, k, parts)) for k in range(parts)]
+    drop(kept)
 
     hubs = cut(hub_pairs(nodes))
     tied = components(hubs).withColumnRenamed("component", "part")
-    shared = cut(shared_pairs(entries, tied, percent))
-    drop(entries)
-    members = sets_of(hubs.unionByName(shared), nodes, rows, words)
+    shared = cut(shared_pairs(reduce(DataFrame.unionByName, sliced), tied, percent))
+    drop(*sliced)
     pairs = cut(of_like_size(hubs, sizes, percent).unionByName(shared).distinct())
-    links = verified(pairs, members, percent)
-    drop(shared, pairs)
-    found = components(links)
-
-    # Groups whose ties did not all hold: look across their parts too.
-    now = cut(
-        tied.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").select(
-            "node", F.col("part").alias("tie"), F.coalesce("component", "node").alias("part")
+    wanted = cut(wanted_nodes(hubs.unionByName(shared), nodes))
+    parts = slices(wanted.agg(F.sum(F.col("n").cast("long")).alias("n")).first().n or 0, total, SLICES)
+    if parts > 1:  # a component lies in one slice, and with it all that its pairs and ties need
+        ends = cut(shared.unionByName(tied.select(F.col("node").alias("a"), F.col("part").alias("b"))))
+        at = F.pmod(F.xxhash64("component"), F.lit(parts)).cast("int").alias("slice")
+        dealt = cut(wanted.join(components(ends).select(F.col("node").alias("w_node"), at), F.col("node") == F.col("w_node")).drop("w_node"))
+        drop(wanted, ends)
+        wanted = dealt
+    else:
+        dealt = wanted.withColumn("slice", F.lit(0))
+    texts = cut(texts_of(dealt, rows))
+
+    edges = []
+    for k in range(parts):
+        part = dealt.where(F.col("slice") == k).select(F.col("node").alias("w_node"))
+        of_slice = lambda df, name: df.join(part, F.col(name) == F.col("w_node"), "left_semi") if parts > 1 else df  # noqa: B023, E731
+        members = cut(sets_of(texts.where(F.col("slice") == k), words))
+        links = verified(of_slice(pairs, "a"), members, percent)
+        found = components(links)
+
+        # Groups whose ties did not all hold: look across their parts too.
+        now = cut(
+            of_slice(tied, "node").join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").select(
+                "node", F.col("part").alias("tie"), F.coalesce("component", "node").alias("part")
+            )
         )
-    )
-    drop(hubs)  # `tied` may still have been read from them
-    broken = now.groupBy("tie").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("tie").alias("b_tie"))
-    broken = cut(now.join(broken, F.col("tie") == F.col("b_tie"), "left_semi"))
-    across = cut(links_across(broken, members, percent))
-    drop(now, broken, members)
-    found = components(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across))
+        broken = now.groupBy("tie").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo <> hi").select(F.col("tie").alias("b_tie"))
+        broken = cut(now.join(broken, F.col("tie") == F.col("b_tie"), "left_semi"))
+        across = cut(links_across(broken, members, percent))
+        edges.append(cut(found.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(across)))
+        drop(now, broken, members, links, across)
+    drop(hubs, shared, pairs, wanted, texts)  # `tied` may still have been read from the hubs
+    found = components(reduce(DataFrame.unionByName, edges))
 
     labelled = nodes.join(found.withColumnRenamed("node", "f_node"), F.col("node") == F.col("f_node"), "left").select(
         "node", "first_doc", F.coalesce("component", "node").alias("component")
     )
     labelled = cut(labelled)
-    drop(nodes, links, across)
+    drop(nodes, *edges)
     least = labelled.groupBy("component").agg(F.min("first_doc").alias("component_id")).withColumnRenamed("component", "c")
     named = labelled.join(least, F.col("component") == F.col("c")).select(F.col("node").alias("l_node"), "component_id")
-    return matrix.select("doc_id", "node", "n").join(named, F.col("node") == F.col("l_node"), "left").select(
+    return node_of.join(named, F.col("node") == F.col("l_node"), "left").select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id")
     )
 

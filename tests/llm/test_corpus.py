@@ -249,6 +249,55 @@ def test_links_grow_with_near_copies(spark, monkeypatch, copies):
     assert sum(given) < copies
 
 
+def test_chance_makes_no_ties(spark):
+    """Sets that share hardly more than one minimum hash were tied, most of a large corpus to one group."""
+    rng = np.random.default_rng(4)
+    grams = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    apart = [np.unique(np.append(grams(300), np.uint64(5))) for _ in range(40)]
+    base = grams(300)
+    near = [np.unique(np.append(rng.choice(base, 270, replace=False), grams(30))) for _ in range(40)]
+    rows = [(k, 5, 100 + k, 200 + k, *ngram_join.sketch(g).tolist()) for k, g in enumerate(apart)]
+    rows += [(100 + k, 6, 300 + k, 400 + k, *ngram_join.sketch(g).tolist()) for k, g in enumerate(near)]
+    pairs = ngram_join.hub_pairs(spark.createDataFrame(rows, "node long, m0 long, m1 long, m2 long, s0 long, s1 long")).collect()
+    assert sorted(map(tuple, pairs)) == [(100, 100 + k) for k in range(1, 40)]
+
+
+def test_sketches_of_small_sets_count_filled_bytes(spark):
+    a, b = np.array([16, 33], np.uint64), np.array([16, 35], np.uint64)
+    rows = [(*ngram_join.sketch(x).tolist(), *ngram_join.sketch(y).tolist()) for x, y in ((a, a), (a, b), (a, b[1:]), (a[:1], b))]
+    frame = spark.createDataFrame(rows, "s0 long, s1 long, a0 long, a1 long")
+    assert [r[0] for r in frame.select(ngram_join.alike(("s0", "a0"), ("s1", "a1"))).collect()] == [True, True, False, True]
+
+
+def test_slices_change_no_result(spark, monkeypatch):
+    """All texts and whole sets of near copies lay on disk at once."""
+    made = []
+    sets_of = ngram_join.sets_of
+    monkeypatch.setattr(ngram_join, "sets_of", lambda *a: made.append(sets_of(*a).count()) or sets_of(*a))
+    monkeypatch.setattr(ngram_join, "SLICE_GRAMS", 1)
+    monkeypatch.setattr(ngram_join, "SLICES", 3)
+    rng = random.Random(8)
+    rows = []
+    for _ in range(9):
+        base = [f"w{rng.randrange(200)}" for _ in range(60)]
+        for k in range(4):
+            rows.append((len(rows), " ".join(base[: 60 - k]) + f" z{k}"))
+    rows += [(None, rows[0][1]), (3, "other text, same id"), (50, None), rows[5]]
+    same(ngram_join.link(spark.createDataFrame(rows, "doc_id long, text string")), brute.components(rows))
+    assert len(made) == 3 and max(made) < sum(made)
+
+
+def test_blocks_of_the_largest_part_are_not_paired(spark, monkeypatch):
+    """Every node was copied to as many pairs as its group has blocks."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    rows = [(n, 1, 0 if n < 90 else n) for n in range(100)] + [(n, 2, n % 2) for n in range(200, 208)]
+    found = ngram_join.block_pairs(spark.createDataFrame(rows, "node long, tie long, part long")).collect()
+    assert [(r.i, r.k) for r in found if r.tie == 2] == [(0, 0)] * 8
+    met = {frozenset((x.node, y.node)) for x in found for y in found if x.tie == y.tie == 1 and (x.i, x.k) == (y.i, y.k)}
+    assert {frozenset((x, y)) for x in range(100) for y in range(90, 100)} <= met
+    assert len(found) == 8 + 90 * 2 + 10 * 14
+
+
 def test_quality_rules(docs, rows):
     judged = quality_rules.judge(docs)
     same(judged.select("doc_id", *quality_rules.MEASURES, "base_failed"), brute.quality(rows))
