@@ -22,6 +22,7 @@ only these get their totals back, so neither tokens nor links are ever shuffled.
 from __future__ import annotations
 
 import base64
+import ctypes
 import hashlib
 import re
 from collections.abc import Iterator
@@ -34,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop
+from .common import cut, settings
 from .token_counts import SETTLED, load
 
 A_FILE = "byte_bpe_50k.json"
@@ -46,6 +47,10 @@ PIECE = 1 << 16
 # bound a worker's memory, up to one text.
 RUN_BYTES = 1 << 20
 CHUNK_LINKS = 2 << 20
+# Pairs and entries, and texts, of a chunk in one row, and bytes after which a row group of its file is closed.
+ROW_ENTRIES, ROW_TEXTS, GROUP_BYTES = 1 << 15, 1 << 11, 4 << 20
+# Texts that are read and handed to a worker at once, each of which both sides hold several times over.
+BATCH = "1024"
 # Units a worker remembers; with at most 8 ids each on average.
 UNITS = 250_000
 # White space of the pre-token pattern (fixed: Unicode White_Space).
@@ -338,6 +343,14 @@ def groups(
     return picked.mapInArrow(run, f"doc_id {kind}, groups string")
 
 
+def give_back() -> None:
+    """Freed memory goes back to the system: a worker lives on for other tasks, and its allocators keep what it held at most."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 class Chunk:
     """Texts of a worker until they hold `limit` links: their figures and distinct id pairs."""
 
@@ -356,13 +369,15 @@ class Chunk:
         self.sizes.append(np.bincount(doc, minlength=len(digests)))
         self.links += int(part.n_links.sum())
 
-    def row(self, name: int, schema: pa.Schema) -> pa.RecordBatch:
-        """One row: the figures of all texts, the chunk's pairs with their texts, and each text's pairs by number."""
+    def rows(self, name: int, schema: pa.Schema, most_texts: int, most_entries: int) -> Iterator[pa.RecordBatch]:
+        """The figures of all texts, the chunk's pairs with their texts, and each text's pairs by number, in numbered rows of bounded size."""
         keys = np.concatenate([np.zeros(0, np.int64), *self.keys])
         pairs, number, texts = np.unique(keys, return_inverse=True, return_counts=True)
-        values = [name, *self.columns, pairs, texts, np.concatenate(self.sizes), number, np.concatenate([keys[:0], *self.often])]
-        arrays = [pa.array([v], f.type) for v, f in zip(values, schema, strict=True)]
-        return pa.RecordBatch.from_arrays(arrays, schema=schema)
+        by_text = [*self.columns, np.concatenate(self.sizes)]
+        by_entry = [pairs, texts, number, np.concatenate([keys[:0], *self.often])]
+        for k in range(max(-(-len(by_text[0]) // most_texts), -(-len(keys) // most_entries))):
+            values = [v[k * most : (k + 1) * most] for part, most in ((by_text, most_texts), (by_entry, most_entries)) for v in part]
+            yield pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip([name, k, *values], schema, strict=True)], schema=schema)
 
 
 def report(
@@ -379,21 +394,21 @@ def report(
     Repeated rows are texts of their own. An empty table gives no rows. Other columns,
     whatever their names, are not read.
 
-    A chunk is a bounded number of links (or one text); its pairs travel as one row per
-    distinct pair, summed map-side. The highest count per A id is broadcast: it has at
+    A chunk is a bounded number of links (or one text), written as rows of bounded size, and
+    its files as small row groups, so that no task holds many of them decoded at once; its
+    pairs travel as one row per distinct pair, summed map-side. The highest count per A id is broadcast: it has at
     most as many rows as A has ids.
     """
     paths = _paths(a_path, a_ranks, b_path)
     picked, kind = _picked(docs, doc_id, text)
     id_type = pa.schema(_arrow_types(picked)).field("doc_id").type
-    many = lambda t: pa.list_(t)
     figures = ["n_a", "n_b", "n_groups", "n_links"]
-    schema = pa.schema(
-        [("chunk", pa.int64()), ("doc_id", many(id_type)), *[(f, many(pa.int64())) for f in figures], ("groups_sha256", many(pa.string()))]
-        + [(f, many(pa.int64())) for f in ("pairs", "texts", "sizes", "number", "often")]
-    )
-    ddl = f"chunk long, doc_id array<{kind}>, " + ", ".join(f"{f} array<long>" for f in figures)
-    ddl += ", groups_sha256 array<string>, " + ", ".join(f"{f} array<long>" for f in ("pairs", "texts", "sizes", "number", "often"))
+    lists = [("doc_id", kind, id_type), *[(f, "long", pa.int64()) for f in figures], ("groups_sha256", "string", pa.string())]
+    lists += [("sizes", "int", pa.int32()), ("pairs", "long", pa.int64()), *[(f, "int", pa.int32()) for f in ("texts", "number", "often")]]
+    schema = pa.schema([("chunk", pa.int64()), ("piece", pa.int32()), *[(f, pa.list_(t)) for f, _, t in lists]])
+    ddl = "chunk long, piece int, " + ", ".join(f"{f} array<{k}>" for f, k, _ in lists)
+
+    bounds = ROW_TEXTS, ROW_ENTRIES
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Vocabularies(*paths)
@@ -405,12 +420,16 @@ def report(
                 digests = [hashlib.sha256(g).hexdigest() if g else "" for g in part.written(strings)]
                 chunk.add(batch.column("doc_id").slice(start, end - start), part, digests)
                 if chunk.links >= chunk_links:
-                    yield chunk.row(name, schema)
+                    yield from chunk.rows(name, schema, *bounds)
                     name, chunk = name + 1, Chunk()
+                    give_back()
         if chunk.sizes:
-            yield chunk.row(name, schema)
+            yield from chunk.rows(name, schema, *bounds)
+        del words, strings, chunk
+        give_back()
 
-    chunks = cut(picked.mapInArrow(encode, ddl))
+    with settings(docs.sparkSession, spark_sql_parquet_columnarReaderBatchSize=BATCH, spark_sql_execution_arrow_maxRecordsPerBatch=BATCH):
+        chunks = cut(picked.mapInArrow(encode, ddl), **{"parquet.block.size": GROUP_BYTES})
     held = chunks.select("chunk", F.explode(F.arrays_zip("pairs", "texts")).alias("p")).select(F.col("chunk").alias("holder"), "p.pairs", "p.texts")
     totals = cut(held.groupBy("pairs").agg(F.sum("texts").alias("total")))
     a_of = F.expr(f"pairs div {_b_size(paths[2])}")
@@ -425,7 +444,8 @@ def report(
         order = np.argsort(right.column("pairs").to_numpy())
         total = right.column("total").to_numpy()[order]
         best = right.column("best").to_numpy(zero_copy_only=False)[order]
-        lists = {f: left.column(f).combine_chunks().flatten() for f in left.column_names if f != "chunk"}
+        pieces = np.argsort(left.column("piece").to_numpy()).tolist()
+        lists = {f: pa.concat_arrays([left.column(f)[k].values for k in pieces]) for f in left.column_names if f not in ("chunk", "piece")}
         number, often, sizes = (lists[f].to_numpy() for f in ("number", "often", "sizes"))
         ends = np.cumsum(sizes)
         sums = [np.concatenate([[0], np.cumsum(v)]) for v in (often * best[number], often * total[number])]

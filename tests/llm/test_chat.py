@@ -105,6 +105,20 @@ def test_merge_path_pieces_have_equal_work():
             assert sorted(got) == sorted(want)
 
 
+def test_chunks_are_rows_of_bounded_size(spark, monkeypatch):
+    """A chunk was one row, tens of MB that each of its tasks held several of."""
+    monkeypatch.setattr(alignment, "ROW_ENTRIES", 5)
+    monkeypatch.setattr(alignment, "ROW_TEXTS", 2)
+    written = []
+    cut = alignment.cut
+    monkeypatch.setattr(alignment, "cut", lambda *a, **b: written.append(cut(*a, **b)) or written[-1])
+    rows = alignment_rows()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    same(alignment.report(docs), [e for e, _ in plain_alignment(rows)])
+    sizes = written[0].selectExpr("max(size(number))", "max(size(pairs))", "max(size(doc_id))", "count(*) > count(distinct chunk)").first()
+    assert tuple(sizes) == (5, 5, 2, True)
+
+
 def test_alignment_query(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     short = {r.doc_id for r in docs if len(r.text or "") < 300}
