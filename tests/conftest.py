@@ -20,6 +20,19 @@ def spark():
     session.stop()
 
 
+@pytest.fixture(autouse=True)
+def partitions(request):
+    """test_sizes has the session's own number of shuffle partitions, whatever a test before it has set."""
+    if request.module.__name__ != "test_sizes":
+        yield
+        return
+    spark, name = request.getfixturevalue("spark"), "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, spark.sparkContext.getConf().get(name))
+    yield
+    spark.conf.set(name, before)
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
